@@ -66,19 +66,18 @@ def histogram_by_image(histogram: DataFrame) -> DataFrame:
 def histogram_report(total: DataFrame, newline: bool = True) -> DataFrame:
     """The report of one histogram as a text: pairs for all 256 bytes, then the total.
 
-    The input has 256 rows at most, so the report is built by one aggregate.
+    One pair per line, or all pairs on one line. The input has 256 rows at most, so the report is
+    built by one aggregate.
     """
     every = total.sparkSession.range(256).select(F.col("id").cast("int").alias("byte"))
     filled = every.join(total, "byte", "left").select("byte", F.coalesce("n", F.lit(0)).alias("n"))
     pairs = F.array_sort(F.collect_list(F.struct("byte", "n")))
-    separator = "\n" if newline else " "
-    lines = F.transform(pairs, lambda p: F.concat_ws(" ", p["byte"].cast("string"), p["n"].cast("string")))
-    report = filled.agg(lines.alias("pairs"), F.sum("n").alias("total"))
-    return report.select(
-        F.concat_ws(
-            separator, F.array_join("pairs", separator), F.concat(F.lit("total: "), F.col("total"))
-        ).alias("report")
+    texts = F.transform(pairs, lambda p: F.concat_ws(" ", p["byte"].cast("string"), p["n"].cast("string")))
+    body = F.concat(F.array_join(texts, "\n"), F.lit("\n")) if newline else F.concat(
+        F.array_join(texts, " "), F.lit(" \n")
     )
+    end = F.lit("") if newline else F.lit("\n")
+    return filled.agg(F.concat(body, F.lit("total: "), F.sum("n").cast("string"), end).alias("report"))
 
 
 def total_bytes(images: DataFrame) -> DataFrame:

@@ -131,12 +131,8 @@ def scan_email_anchor(
     return hits.withColumn("feature", narrow16(F.col("feature")))
 
 
-def scan_pattern(slices: DataFrame, pattern: str) -> DataFrame:
-    """Matches of any regular expression over the Latin-1 text, leftmost and without overlap.
-
-    A match may be as long as the context around the slices. The pattern must not match the empty
-    text.
-    """
+def found_by_pattern(pattern: str) -> str:
+    """SQL for the matches of `pattern` in `buffer`: array of (pos, feature), NULL if none."""
     rx = sql_literal(pattern)
     pair = f"struct(split(t, {rx}, -1) as gaps, regexp_extract_all(t, {rx}, 0) as hits)"
     step = (
@@ -144,17 +140,21 @@ def scan_pattern(slices: DataFrame, pattern: str) -> DataFrame:
         "named_struct('pos', a.pos + length(s.gaps[k]), 'feature', s.hits[k]))))"
     )
     start = f"named_struct('pos', 0L, 'found', cast(array() as {_FOUND}))"
-    found = bind(
+    found = f"aggregate(sequence(0, size(s.hits) - 1), {start}, (a, k) -> {step}).found"
+    return bind(
         "decode(buffer, 'ISO-8859-1')",
         "t",
-        bind(
-            pair,
-            "s",
-            f"if(size(s.hits) = 0, null, "
-            f"aggregate(sequence(0, size(s.hits) - 1), {start}, (a, k) -> {step}).found)",
-        ),
+        f"if(t rlike {rx}, {bind(pair, 's', found)}, null)",
     )
-    return _emit(slices, found, None)
+
+
+def scan_pattern(slices: DataFrame, pattern: str) -> DataFrame:
+    """Matches of any regular expression over the Latin-1 text, leftmost and without overlap.
+
+    A match may be as long as the context around the slices. The pattern must not match the empty
+    text.
+    """
+    return _emit(slices, found_by_pattern(pattern), None)
 
 
 def scan(slices: DataFrame, patterns: Mapping[str, str | None] | None = None) -> DataFrame:

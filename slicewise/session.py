@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Slices are 64 KiB wide, so Arrow batches are kept to 256 rows (about 16 MiB).
 ARROW_ROWS = 256
@@ -40,3 +40,15 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "slicewise") ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder of `spark.checkpoint.dir`.
+
+    Only a session that names none (a test) gets a folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="slicewise-cp-"))
+    return df.checkpoint()

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Column positions (from 1) of the log layouts.
-PROGRESS_DATE, PROGRESS_HOUR, PROGRESS_MINUTE, PROGRESS_SECOND, PROGRESS_BYTES = 1, 12, 15, 18, 25
-EXECUTOR_TIME, EXECUTOR_TEXT = 10, 19
+PROGRESS_DATE, PROGRESS_CLOCK, PROGRESS_BYTES = 1, 12, 25
+EXECUTOR_CLOCK, EXECUTOR_TEXT = 10, 19
 # Texts that mark the events of an executor log.
 STARTED = "INFO Executor: Running task"
 FINISHED = "INFO Executor: Finished task"
@@ -22,26 +22,34 @@ def log_filter(df: DataFrame, position: int, text: str, line: str = "value") ->
     return df.where(F.substring(line, position, len(text)) == text)
 
 
+def _seconds(line: Column, date: Column, clock_at: int) -> Column:
+    """Seconds of a date and an hh?mm?ss clock, the same in every time zone."""
+    hour = F.substring(line, clock_at, 2).cast("long")
+    minute = F.substring(line, clock_at + 3, 2).cast("long")
+    second = F.substring(line, clock_at + 6, 2).cast("long")
+    return F.unix_date(date) * F.lit(86400) + hour * 3600 + minute * 60 + second
+
+
 def parse_progress(line: Column) -> list[Column]:
-    """`YYYY-MM-DD hh-mm-ss.tsv <bytes>` as (t seconds of the day, event, bytes)."""
-    hour = F.substring(line, PROGRESS_HOUR, 2).cast("int")
-    minute = F.substring(line, PROGRESS_MINUTE, 2).cast("int")
-    second = F.substring(line, PROGRESS_SECOND, 2).cast("int")
+    """`YYYY-MM-DD hh-mm-ss.tsv <bytes>` as (t, event, bytes)."""
+    date = F.try_to_date(F.substring(line, PROGRESS_DATE, 10), "yyyy-MM-dd")
     return [
-        ((hour * 60 + minute) * 60 + second).cast("long").alias("t"),
+        _seconds(line, date, PROGRESS_CLOCK).alias("t"),
         F.lit("progress").alias("event"),
         F.substring(line, PROGRESS_BYTES, 20).cast("long").alias("bytes"),
     ]
 
 
 def parse_executor(line: Column) -> list[Column]:
-    """`... hh:mm:ss INFO Executor: Running|Finished task` as (t, event, bytes)."""
-    clock = F.split(F.substring(line, EXECUTOR_TIME, 8), ":")
-    seconds = (F.get(clock, F.lit(0)).cast("int") * 60 + F.get(clock, F.lit(1)).cast("int")) * 60
+    """`YY/MM/DD hh:mm:ss INFO Executor: Running|Finished task` as (t, event, bytes).
+
+    A line whose first columns hold no date counts from the start of the day.
+    """
+    date = F.try_to_date(F.concat(F.lit("20"), F.substring(line, 1, 8)), "yyyy/MM/dd")
     text = F.substring(line, EXECUTOR_TEXT, 64)
     event = F.when(text.startswith(STARTED), "started").when(text.startswith(FINISHED), "finished")
     return [
-        (seconds + F.get(clock, F.lit(2)).cast("int")).cast("long").alias("t"),
+        _seconds(line, F.coalesce(date, F.lit("1970-01-01").cast("date")), EXECUTOR_CLOCK).alias("t"),
         event.alias("event"),
         F.lit(None).cast("long").alias("bytes"),
     ]
