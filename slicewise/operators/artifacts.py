@@ -39,7 +39,7 @@ def tfidf(a: DataFrame) -> DataFrame:
     tf = artifact_by_image(a).withColumnRenamed("n", "tf")
     df = tf.groupBy("artifact").agg(F.count("*").alias("df"))
     images = a.agg(F.count_distinct("image")).scalar()
-    joined = salted_join(tf, df, "artifact", ["image"])
+    joined = salted_join(tf, df, "artifact", ["image"], counts=df.withColumnRenamed("df", "n"))
     return joined.select(
         "artifact", "image", "tf", "df", (F.col("tf") * F.log(images / F.col("df"))).alias("tfidf")
     )

@@ -13,12 +13,11 @@ SHARES = 1000
 SMALL_GROUP = 1 << 17
 
 
-def hot_keys(rows: DataFrame, key: str, shares: int = SHARES, small: int = SMALL_GROUP) -> DataFrame:
-    """(key, pieces) of the keys that one task should not hold; at most `shares` rows."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    share = F.greatest(counts.agg(F.sum("_n")).scalar() / F.lit(shares), F.lit(float(small)))
-    hot = counts.withColumn("_share", share).where(F.col("_n") > F.col("_share"))
-    return hot.select(key, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_pieces"))
+def hot_keys(counts: DataFrame, key: str, shares: int = SHARES, small: int = SMALL_GROUP) -> DataFrame:
+    """(key, pieces) of the keys that one task should not hold, of counts (key, n)."""
+    share = F.greatest(counts.agg(F.sum("n")).scalar() / F.lit(shares), F.lit(float(small)))
+    hot = counts.select(key, "n", share.alias("share")).where(F.col("n") > F.col("share"))
+    return hot.select(key, F.ceil(F.col("n") / F.col("share")).cast("int").alias("_pieces"))
 
 
 def salted_join(
@@ -26,23 +25,28 @@ def salted_join(
     right: DataFrame,
     key: str,
     spread: Sequence[str],
-    how: str = "inner",
+    counts: DataFrame | None = None,
     shares: int = SHARES,
     small: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Join on `key`, with the rows of a hot key of `left` spread over several tasks.
+    """Inner equi-join on `key`, with the rows of a hot key of `left` spread over several tasks.
 
     The pieces of a hot key are told apart by a hash of `spread`; the matching rows of `right` are
-    repeated once per piece. The table of hot keys has at most `shares` rows, so it is broadcast.
+    repeated once per piece. `counts` (key, n) gives the rows per key of `left` where they are
+    known already. There are at most `shares` hot keys, each with more than 1 / shares of all rows,
+    so their list fits the driver and a broadcast; where there are none the join is a plain one.
     """
-    hot = F.broadcast(hot_keys(left, key, shares, small))
-    salted = left.join(hot, key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_pieces", F.lit(1))).cast("int")
-    )
-    repeated = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
-    )
-    return salted.drop("_pieces").join(repeated.drop("_pieces"), [key, "_salt"], how).drop("_salt")
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    hot = hot_keys(counts, key, shares, small)
+    found = hot.collect()
+    if not found:
+        return left.join(right, key)
+    listed = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    salted = left.join(listed, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), pieces).cast("int"))
+    repeated = right.join(listed, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return salted.drop("_pieces").join(repeated.drop("_pieces"), [key, "_salt"]).drop("_salt")
 
 
 def not_ingested(images: DataFrame, done: DataFrame, on: str = "image") -> DataFrame:

@@ -21,12 +21,35 @@ from ..functions.text import bind, context, latin1_bytes, narrow16, sql_literal
 from .boundary import id_columns, own, windows
 
 _FOUND = "array<struct<pos:bigint,feature:string>>"
+#: matches collected before they are joined with those found earlier
+RUN = 64
 
 
 def _cut(pattern: str) -> str:
     return f"split(decode(buffer, 'ISO-8859-1'), {sql_literal(pattern)}, -1)"
 
 
+def _fold(count: str, step: str, state: dict[str, str]) -> str:
+    """SQL that folds `step` over k = 0 .. count - 1 and gives all matches found.
+
+    `step` maps (a, k) to a struct of the `state` fields and `found`, which it may append to.
+    Appending copies an array, so matches are collected in runs of RUN and joined at the end;
+    otherwise a slice full of addresses would cost the square of their number.
+    """
+    begin = ", ".join(f"'{name}', {value}" for name, value in state.items())
+    resume = ", ".join(f"'{name}', o.{name}" for name in state)
+    passed = ", ".join(f"'{name}', r.{name}" for name in state)
+    run = (
+        f"aggregate(sequence(b * {RUN}, least(b * {RUN} + {RUN - 1}, {count} - 1)), "
+        f"named_struct({resume}, 'found', cast(array() as {_FOUND})), (a, k) -> {step})"
+    )
+    collected = bind(run, "r", f"named_struct({passed}, 'runs', concat(o.runs, array(r.found)))")
+    return (
+        f"flatten(aggregate(sequence(0, ({count} - 1) div {RUN}), "
+        f"named_struct({begin}, 'runs', cast(array() as array<{_FOUND}>)), (o, b) -> {collected}).runs)"
+    )
+
+
 def _emit(slices: DataFrame, found: str, needle: Column | None) -> DataFrame:
     """Rows (ids, position, feature, context) of an expression that finds matches in `buffer`."""
     ids = id_columns(slices)
@@ -59,16 +82,17 @@ def scan_email(slices: DataFrame, utf16: bool = True, tlds: Iterable[str] | None
     A UTF-16 feature keeps its NUL bytes.
     """
     p = LexerPatterns(utf16, tlds)
-    # p: text between anchors; a: (bytes up to here, bytes of this piece used by the last match).
-    # The next anchor itself may be the byte behind the domain, hence the @ put back.
-    tail = f"left(p[k], {p.DOMAIN_BYTES})"
-    domain = f"regexp_extract(if(k + 1 < size(p), concat({tail}, '@'), {tail}), {sql_literal(p.domain)}, 0)"
-    room = f"right(substring(p[k - 1], a.used + 1), {p.LOCAL_BYTES})"
+    # p: text between anchors; anchor k lies between pieces k and k + 1. State: bytes up to piece k,
+    # and bytes of piece k used by the last match. The next anchor itself may be the byte behind the
+    # domain, hence the @ put back.
+    tail = f"left(p[k + 1], {p.DOMAIN_BYTES})"
+    domain = f"regexp_extract(if(k + 2 < size(p), concat({tail}, '@'), {tail}), {sql_literal(p.domain)}, 0)"
+    room = f"right(substring(p[k], a.used + 1), {p.LOCAL_BYTES})"
     local = (
         rf"regexp_extract(h.room, if(startswith(h.domain, char(0)), {sql_literal(p.LOCAL16)}, "
         rf"{sql_literal(p.LOCAL8)}), 0)"
     )
-    at = "a.pos + length(p[k - 1])"
+    at = "a.pos + length(p[k])"
     step = bind(
         f"struct({domain} as domain, {room} as room)",
         "h",
@@ -80,12 +104,8 @@ def scan_email(slices: DataFrame, utf16: bool = True, tlds: Iterable[str] | None
             f"'pos', {at} - length(l), 'feature', concat(l, '@', h.domain))))))",
         ),
     )
-    start = f"named_struct('pos', 0L, 'used', 0, 'found', cast(array() as {_FOUND}))"
-    found = bind(
-        _cut(p.anchor),
-        "p",
-        f"if(size(p) < 2, null, aggregate(sequence(1, size(p) - 1), {start}, (a, k) -> {step}).found)",
-    )
+    matches = _fold("(size(p) - 1)", step, {"pos": "0L", "used": "0"})
+    found = bind(_cut(p.anchor), "p", f"if(size(p) < 2, null, {matches})")
     return _emit(slices, found, _has_at())
 
 
@@ -100,12 +120,12 @@ def scan_email_anchor(
     Results may overlap (`a@b.com@c.org` holds two). UTF-16 addresses are given as 8-bit text.
     """
     p = AnchorPatterns(allow_space, utf16, tlds)
-    domain = f"regexp_extract(left(p[k], {p.DOMAIN_BYTES}), {sql_literal(p.domain)}, 0)"
+    domain = f"regexp_extract(left(p[k + 1], {p.DOMAIN_BYTES}), {sql_literal(p.domain)}, 0)"
     local = (
-        f"regexp_extract(right(p[k - 1], {p.LOCAL_BYTES}), if(startswith(h, char(0)), "
+        f"regexp_extract(right(p[k], {p.LOCAL_BYTES}), if(startswith(h, char(0)), "
         f"{sql_literal(p.local16)}, {sql_literal(p.local8)}), 0)"
     )
-    at = "a.pos + length(p[k - 1])"
+    at = "a.pos + length(p[k])"
     wide = "if(startswith(h, char(0)), 2, 1)"
     fits = (
         f"l <> '' and length(l) <= {ANCHOR_LOCAL} * {wide} and h <> '' "
@@ -121,12 +141,8 @@ def scan_email_anchor(
             f"'pos', {at} - length(l), 'feature', concat(l, '@', h)))), a.found))",
         ),
     )
-    start = f"named_struct('pos', 0L, 'found', cast(array() as {_FOUND}))"
-    found = bind(
-        _cut(p.anchor),
-        "p",
-        f"if(size(p) < 2, null, aggregate(sequence(1, size(p) - 1), {start}, (a, k) -> {step}).found)",
-    )
+    matches = _fold("(size(p) - 1)", step, {"pos": "0L"})
+    found = bind(_cut(p.anchor), "p", f"if(size(p) < 2, null, {matches})")
     hits = _emit(slices, found, _has_at())
     return hits.withColumn("feature", narrow16(F.col("feature")))
 
@@ -139,8 +155,7 @@ def found_by_pattern(pattern: str) -> str:
         "named_struct('pos', a.pos + length(s.gaps[k]) + length(s.hits[k]), 'found', concat(a.found, array("
         "named_struct('pos', a.pos + length(s.gaps[k]), 'feature', s.hits[k]))))"
     )
-    start = f"named_struct('pos', 0L, 'found', cast(array() as {_FOUND}))"
-    found = f"aggregate(sequence(0, size(s.hits) - 1), {start}, (a, k) -> {step}).found"
+    found = _fold("size(s.hits)", step, {"pos": "0L"})
     return bind(
         "decode(buffer, 'ISO-8859-1')",
         "t",

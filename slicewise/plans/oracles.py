@@ -43,10 +43,10 @@ def _found(name: str, source: str, pattern: str, group: int, keep: str = "image"
         SELECT {keep}, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS f,
                regexp_split_to_array(text, '{pattern}') AS g
         FROM {source} WHERE regexp_matches(text, '{pattern}')),
-      {name}_rows AS (SELECT {keep}, m, f, g, unnest(range(1, len(m) + 1)) AS k FROM {name}_cuts),
+      {name}_rows AS (SELECT {keep}, unnest(m) AS m, unnest(f) AS feature, unnest(g[1:len(m)]) AS g,
+               unnest(range(1, len(m) + 1)) AS k FROM {name}_cuts),
       {name} AS (
-        SELECT {keep}, k, f[k] AS feature,
-               CAST(sum(strlen(g[k])) OVER w + sum(strlen(m[k])) OVER w - strlen(m[k]) AS BIGINT) AS pos
+        SELECT {keep}, k, feature, CAST(sum(strlen(g)) OVER w + sum(strlen(m)) OVER w - strlen(m) AS BIGINT) AS pos
         FROM {name}_rows WINDOW w AS (PARTITION BY {keep} ORDER BY k))"""
 
 
@@ -68,10 +68,10 @@ def _escape(hex_text: str) -> str:
         CASE WHEN x BETWEEN '20' AND '7E' AND x <> '5C' THEN chr(CAST('0x' || x AS INTEGER)) ELSE chr(92) || 'x' || x END), '')"""
 
 
-def _anchors(valid: str) -> str:
+def _anchors(valid: str, docs: str = _DOCS) -> str:
     tld = "upper(string_split(local || '@' || domain, '.')[-1])"
     names = ", ".join(f"'{n}'" for n in default_tlds())
-    return f"""{_DOCS},
+    return f"""{docs},
       cut AS (SELECT image, string_split(text, '@') AS p FROM docs WHERE contains(text, '@')),
       marks AS (SELECT image, p, k, p[k] AS l, p[k + 1] AS r, p[1:k] AS before
              FROM (SELECT image, p, unnest(range(1, len(p))) AS k FROM cut)),
@@ -135,10 +135,14 @@ ORACLES: dict[str, str] = {
         SELECT image, start AS "offset", substr(h, 2 * greatest(greatest(n - 8, 0) - 16, 0) + 1) AS context_hex FROM s""",
     "email_scan": f"""WITH {_DOCS}, {_mail("docs", "image, h")} SELECT image, pos AS "offset", feature, {_CONTEXT} AS context_hex FROM mail""",
     "email_scan_seams": f"""WITH {_DOCS}, {_mail()} SELECT image, pos AS "offset", feature FROM mail""",
-    "email_scan_resliced": f"""WITH turns AS (SELECT conv_id AS image, turn, text || chr(10) AS text FROM conversations),
-        {_mail("turns", "image, turn")} SELECT image, pos + turn * 16777216 AS "offset", feature FROM mail""",
+    "email_scan_resliced": f"""WITH docs AS (SELECT source AS image, doc_id, text || chr(10) AS text FROM documents),
+        {_mail("docs", "image, doc_id")} SELECT image, pos + doc_id * 16777216 AS "offset", feature FROM mail""",
     "email_anchor_scan": "WITH " + _anchors(_VALID),
-    "email_anchor_scan_spaces": "WITH " + _anchors(_VALID_SPACE),
+    "email_anchor_scan_spaces": "WITH "
+    + _anchors(
+        _VALID_SPACE,
+        r"docs AS (SELECT doc_id AS image, regexp_replace(text, '(@mail[0-9]+\.[a-z]+\.com)', '\1;', 'g') AS text FROM documents)",
+    ),
     "email_scan_utf16": rf"""WITH docs AS (SELECT doc_id AS image, regexp_replace(text, '[^\x{{00}}-\x{{FF}}]', '?', 'g') AS text FROM documents),
         cuts AS (SELECT image, regexp_extract_all(text, '{_BOUNDED}', 0) AS m, regexp_extract_all(text, '{_BOUNDED}', 1) AS f,
             regexp_split_to_array(text, '{_BOUNDED}') AS g FROM docs WHERE regexp_matches(text, '{_BOUNDED}')),
@@ -231,9 +235,8 @@ ORACLES: dict[str, str] = {
         FROM a WINDOW w AS (PARTITION BY image ORDER BY "offset", artifact)""",
     "related_media": f"""SELECT DISTINCT o_custkey AS media FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem
         WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = {SEED_FILE}))""",
-    "block_lookup": f"""WITH {_DOCS}, {_blocks()}, keys AS (SELECT upper(md5(unhex(substr(h, 1024 * k + 1, 1024)))) AS block_md5
-        FROM (SELECT h, unnest(range(0, length(h) // 1024)) AS k FROM (SELECT hex(encode(text)) AS h FROM benchmark)))
-        SELECT image, block_md5, "offset" FROM blocks WHERE block_md5 IN (SELECT block_md5 FROM keys)""",
+    "block_lookup": f"""WITH {_DOCS}, {_blocks()} SELECT image, block_md5, "offset" FROM blocks WHERE block_md5 IN
+        (SELECT block_md5 FROM blocks WHERE image IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
     "address_lookup": f"""WITH {_DOCS}, {_words()} SELECT image, artifact, "offset" FROM words WHERE artifact = '{ADDRESS_WORD}'""",
     "prefiltered_hashes": f"""WITH {_DOCS}, {_blocks()}, totals AS (SELECT block_md5, count(*) AS total FROM blocks GROUP BY 1),
         hot AS (SELECT block_md5 FROM totals ORDER BY total DESC, block_md5 LIMIT 50)

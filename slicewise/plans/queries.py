@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 #: address looked for by the lookup and top-k queries
-ADDRESS_WORD = "passage"
+ADDRESS_WORD = "thing"
 SEED_FILE = 1
 NEAR = 1000
 BUCKET = 600
@@ -59,25 +59,25 @@ def chunk_slices(spark, sf_dir):
 
 @query
 def list_image_sizes(spark, sf_dir):
-    return v.listing(v.document_images(spark, sf_dir))
+    return v.document_listing(spark, sf_dir)
 
 
 @query
 def limit_by_bytes(spark, sf_dir):
-    return files.limit_images(v.listing(v.document_images(spark, sf_dir)), max_bytes=1_000_000)
+    return files.limit_images(v.document_listing(spark, sf_dir), max_bytes=1_000_000)
 
 
 @query
 def limit_first_images(spark, sf_dir):
-    named = v.listing(v.document_images(spark, sf_dir)).withColumn("image", F.col("image").cast("string"))
+    named = v.document_listing(spark, sf_dir).withColumn("image", F.col("image").cast("string"))
     return files.limit_images(named, n=100, include="1", exclude="7")
 
 
 @query
 def union_inputs(spark, sf_dir):
     both = files.union_all(
-        v.listing(v.document_images(spark, sf_dir)).withColumn("kind", F.lit("document")),
-        v.listing(v.page_images(spark, sf_dir)).withColumn("kind", F.lit("page")),
+        v.document_listing(spark, sf_dir).withColumn("kind", F.lit("document")),
+        v.page_listing(spark, sf_dir).withColumn("kind", F.lit("page")),
     )
     return both.select("kind", "image", "length")
 
@@ -222,12 +222,13 @@ def email_scan_seams(spark, sf_dir):
 
 @query
 def email_scan_resliced(spark, sf_dir):
-    """Conversation turns as consecutive pieces of one image each, joined to slices first."""
-    c = v.table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("image"), F.col("turn"), F.encode(F.concat("text", F.lit("\n")), "UTF-8").alias("data")
+    """The documents of a source as pieces of one image, each at its own offset."""
+    d = v.text_table(spark, sf_dir, "documents").select(
+        F.col("source").alias("image"),
+        (F.col("doc_id") * (1 << 24)).alias("offset"),
+        F.encode(F.concat("text", F.lit("\n")), "UTF-8").alias("data"),
     )
-    placed = c.select("image", (F.col("turn") * (1 << 24)).alias("offset"), "data")
-    return scanners.scan_email(reslice(placed, 1 << 16)).select("image", "offset", "feature")
+    return scanners.scan_email(reslice(d, 1 << 16)).select("image", "offset", "feature")
 
 
 @query
@@ -237,13 +238,18 @@ def email_anchor_scan(spark, sf_dir):
 
 @query
 def email_anchor_scan_spaces(spark, sf_dir):
-    return scanners.scan_email_anchor(v.slices(spark, sf_dir), allow_space=True).select("image", "offset", "feature")
+    """With spaces allowed an address runs on to the next other byte, here a semicolon."""
+    lines = v.text_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("image"), F.encode(F.regexp_replace("text", r"(@mail[0-9]+\.[a-z]+\.com)", "$1;"), "UTF-8").alias("data")
+    )
+    s = files.chunk(lines, "image", "data", v.SLICE, 1024)
+    return scanners.scan_email_anchor(s, allow_space=True).select("image", "offset", "feature")
 
 
 @query
 def email_scan_utf16(spark, sf_dir):
     """The documents widened to UTF-16LE, as far as their characters fit a byte."""
-    d = v.table(spark, sf_dir, "documents")
+    d = v.text_table(spark, sf_dir, "documents")
     wide = F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "UTF-16LE")
     s = files.chunk(d.select(F.col("doc_id").alias("image"), wide.alias("data")), "image", "data", v.SLICE, 1024)
     found = scanners.scan_email(s)
@@ -315,7 +321,7 @@ def byte_histogram_report_one_line(spark, sf_dir):
 
 @query
 def image_total_bytes(spark, sf_dir):
-    return histogram.total_bytes(v.listing(v.document_images(spark, sf_dir)))
+    return histogram.total_bytes(v.document_listing(spark, sf_dir))
 
 
 @query
@@ -443,7 +449,7 @@ def tfidf(spark, sf_dir):
 
 @query
 def hash_sub_counts(spark, sf_dir):
-    d = v.table(spark, sf_dir, "documents").select("source", F.encode("text", "UTF-8").alias("data"))
+    d = v.text_table(spark, sf_dir, "documents").select("source", F.encode("text", "UTF-8").alias("data"))
     s = files.chunk(d, "source", "data", v.SLICE).withColumnRenamed("image", "source")
     return hashes.hash_counts(hashes.block_hashes(s), "source", clip=3)
 
@@ -538,9 +544,9 @@ def related_media(spark, sf_dir):
 
 @query
 def block_lookup(spark, sf_dir):
-    """Places of the blocks that the benchmark passages consist of."""
-    b = v.table(spark, sf_dir, "benchmark")
-    keys = hashes.block_hashes(files.chunk(b, "item_id", F.encode("text", "UTF-8"), v.SLICE)).select("block_md5")
+    """All places of the blocks that the images marked as toxic consist of."""
+    marked = v.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("image"))
+    keys = joins.lookup(_blocks(spark, sf_dir), marked, "image").select("block_md5")
     return joins.lookup(_blocks(spark, sf_dir), keys, "block_md5")
 
 
@@ -559,7 +565,7 @@ def prefiltered_hashes(spark, sf_dir):
 @query
 def not_ingested_images(spark, sf_dir):
     done = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image"))
-    return joins.not_ingested(v.listing(v.document_images(spark, sf_dir)), done)
+    return joins.not_ingested(v.document_listing(spark, sf_dir), done)
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.boundary import MARGIN
 from ..operators.scanners import scan
 from ..sources.files import chunk
+from ..sources.tables import spread
 
 #: slices of the documents are narrow, so that many matches lie on a boundary
 SLICE = 1024
@@ -21,19 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, data): each document is a media image."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("image"), F.encode("text", "UTF-8").alias("data"))
 
 
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = text_table(spark, sf_dir, "pages")
     return pages.select(F.col("page_id").alias("image"), F.encode("html", "UTF-8").alias("data"))
 
 
-def listing(images: DataFrame) -> DataFrame:
-    return images.select("image", F.length("data").cast("long").alias("length"))
+def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, length) of the documents; only the lengths leave the scan."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("image"), F.octet_length("text").cast("long").alias("length"))
+
+
+def page_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(F.col("page_id").alias("image"), F.octet_length("html").cast("long").alias("length"))
 
 
 def slices(spark: SparkSession, sf_dir: str, size: int = SLICE, overlap: int = MARGIN) -> DataFrame:

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from ..operators.cells import latest
 
 
+#: a table of up to this size is spread over all cores before a scan
+SPREAD_BYTES = 1 << 28
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in as many partitions as there are cores; a larger one as it is.
+
+    A file of one row group is read by one task, which would also do all scanning. The size is the
+    planner's estimate from the file listing.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _read(spark: SparkSession, path: str, fmt: str, skip_corrupt: bool) -> DataFrame:
     reader = spark.read.format(fmt)
     if skip_corrupt:
