@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import salted_join
 from .ordered import neighbours
 
@@ -36,9 +37,10 @@ def inverted_index(a: DataFrame, width: int = INDEX_BYTES) -> DataFrame:
 
 def tfidf(a: DataFrame) -> DataFrame:
     """(artifact, image, tf, df, tfidf) with tf·ln(images / images with the artifact)."""
-    tf = artifact_by_image(a).withColumnRenamed("n", "tf")
+    # Used three times below, and much smaller than the artifacts: computed once.
+    tf = cut_lineage(artifact_by_image(a).withColumnRenamed("n", "tf"))
     df = tf.groupBy("artifact").agg(F.count("*").alias("df"))
-    images = a.agg(F.count_distinct("image")).scalar()
+    images = tf.agg(F.count_distinct("image")).scalar()
     joined = salted_join(tf, df, "artifact", ["image"], counts=df.withColumnRenamed("df", "n"))
     return joined.select(
         "artifact", "image", "tf", "df", (F.col("tf") * F.log(images / F.col("df"))).alias("tfidf")

@@ -39,27 +39,25 @@ def drop_seen(slices: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def find_streams(slices: DataFrame) -> DataFrame:
-    """(ids, kind, at, packed) with the bytes at hand from each signature on."""
+    """(ids, kind, at, packed) with the bytes at hand from each signature on.
+
+    One pass looks for all signatures; no two of them can overlap.
+    """
     ids = id_columns(slices)
-    rows = windows(slices)
-    parts = []
-    for kind, pattern in SIGNATURES.items():
-        hits = rows.select(
-            *ids, "base", "buffer", "own_from", "own_to", F.explode_outer(F.expr(found_by_pattern(pattern))).alias("hit")
-        ).where("hit is not null")
-        at = F.col("base") + F.col("hit.pos")
-        parts.append(
-            hits.where((at >= F.col("own_from")) & (at < F.col("own_to"))).select(
-                *ids,
-                F.lit(kind).alias("kind"),
-                at.alias("at"),
-                F.expr("substring(buffer, cast(hit.pos as int) + 1)").alias("packed"),
-            )
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    found = F.expr(found_by_pattern("|".join(SIGNATURES.values())))
+    hits = windows(slices).select(
+        *ids, "base", "buffer", "own_from", "own_to", F.explode_outer(found).alias("hit")
+    ).where("hit is not null")
+    kind = F.when(F.lit(False), "")
+    for name, pattern in SIGNATURES.items():
+        kind = kind.when(F.col("hit.feature").rlike(rf"\A(?:{pattern})"), name)
+    at = F.col("base") + F.col("hit.pos")
+    return hits.where((at >= F.col("own_from")) & (at < F.col("own_to"))).select(
+        *ids,
+        kind.alias("kind"),
+        at.alias("at"),
+        F.expr("substring(buffer, cast(hit.pos as int) + 1)").alias("packed"),
+    )
 
 
 def _unpack(kind: str, packed: bytes) -> tuple[str, bytes]:

@@ -12,8 +12,8 @@ from ..operators.scanners import scan
 from ..sources.files import chunk
 from ..sources.tables import spread
 
-#: slices of the documents are narrow, so that many matches lie on a boundary
-SLICE = 1024
+#: slices of the documents are narrow, so that some matches lie on a boundary
+SLICE = 8192
 #: words of the documents as a second class of artifacts
 WORD = "[A-Za-z]{5,}"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import key_ranges, running_sum
-from .rawimage import SLICE_BYTES, RawImageSource
+from .rawimage import SLICE_BYTES, ImageListSource, RawImageSource
 
 
 def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -21,15 +21,15 @@ def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file. For files that fit a row (2 GB); larger images go through `rawimage`."""
+    """One row per file that is not empty. For files that fit a row (2 GB); larger ones go through `rawimage`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.col("path").alias("image"), "length", F.col("content").alias("data"))
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
-    """Names and sizes only: the content column is pruned, so no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path").alias("image"), "length")
+    """Names and sizes only; no file is opened."""
+    spark.dataSource.register(ImageListSource)
+    return spark.read.format("imagelist").option("path", path).load()
 
 
 def chunk(

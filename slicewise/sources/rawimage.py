@@ -39,6 +39,24 @@ def open_filesystem(path: str):
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+def find_files(root: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, or of all files below a folder but for hidden ones."""
+    from pyarrow import fs
+
+    filesystem, inner = open_filesystem(root)
+    info = filesystem.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    if info.type == fs.FileType.File:
+        return [(info.path, info.size)]
+    found = []
+    for f in filesystem.get_file_info(fs.FileSelector(inner, recursive=True)):
+        hidden = any(part.startswith(("_", ".")) for part in f.path[len(inner) :].split("/"))
+        if f.type == fs.FileType.File and not hidden:
+            found.append((f.path, f.size))
+    return found
+
+
 @dataclass
 class ByteRange(InputPartition):
     root: str
@@ -61,26 +79,13 @@ class RawImageReader(DataSourceReader):
             raise ValueError("sliceBytes > 0, overlap >= 0 and onError fail|skip are required")
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
         step = max(1, self.split_bytes // self.slice_bytes) * self.slice_bytes
-        ranges: list[InputPartition] = []
-        for root in self.paths:
-            filesystem, inner = open_filesystem(root)
-            info = filesystem.get_file_info(inner)
-            if info.type == fs.FileType.NotFound:
-                raise FileNotFoundError(root)
-            if info.type == fs.FileType.Directory:
-                infos = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
-                files = [f for f in infos if f.type == fs.FileType.File]
-            else:
-                files = [info]
-            for f in files:
-                if any(part.startswith(("_", ".")) for part in f.path[len(inner) :].split("/")):
-                    continue
-                for start in range(0, f.size, step):
-                    ranges.append(ByteRange(root, f.path, start, min(start + step, f.size), f.size))
-        return ranges
+        return [
+            ByteRange(root, image, start, min(start + step, size), size)
+            for root in self.paths
+            for image, size in find_files(root)
+            for start in range(0, size, step)
+        ]
 
     def read(self, partition: ByteRange) -> Iterator:
         import pyarrow as pa
@@ -144,3 +149,33 @@ class RawImageSource(DataSource):
 
     def reader(self, schema) -> RawImageReader:
         return RawImageReader({k.lower(): v for k, v in self.options.items()})
+
+
+@dataclass
+class Folder(InputPartition):
+    root: str
+
+
+class ImageListReader(DataSourceReader):
+    def __init__(self, paths: str):
+        self.paths = [p for p in paths.split(",") if p]
+
+    def partitions(self) -> list[InputPartition]:
+        return [Folder(root) for root in self.paths]
+
+    def read(self, partition: Folder) -> Iterator:
+        yield from find_files(partition.root)
+
+
+class ImageListSource(DataSource):
+    """Names and sizes of raw images, as `rawimage` names them, empty files included."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "imagelist"
+
+    def schema(self) -> str:
+        return "image string, length bigint"
+
+    def reader(self, schema) -> ImageListReader:
+        return ImageListReader(self.options.get("path", ""))
