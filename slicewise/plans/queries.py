@@ -99,6 +99,15 @@ def raw_image_slices(spark, sf_dir):
     )
 
 
+@query
+def raw_email_scan(spark, sf_dir):
+    """The whole job on files: slices with context, scan, counts per file."""
+    found = scanners.scan_email(files.read_raw(spark, sf_dir, overlap=1024))
+    return found.groupBy(F.element_at(F.split("image", "/"), -1).alias("file")).agg(
+        F.count("*").alias("n"), F.count_distinct("feature").alias("addresses")
+    )
+
+
 @query
 def raw_image_tolerant(spark, sf_dir):
     s = files.read_raw(spark, sf_dir, onError="skip", sliceBytes=131072)

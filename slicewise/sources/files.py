@@ -15,6 +15,7 @@ def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     """Slices of the files under `path`; options as in `rawimage`."""
     RawImageSource.register(spark)
     reader = spark.read.format("rawimage").option("path", path)
+    reader = reader.option("minTasks", spark.sparkContext.defaultParallelism)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load()

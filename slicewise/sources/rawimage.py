@@ -7,7 +7,8 @@ Options
     path          file or directory (searched recursively); several paths joined by commas
     sliceBytes    width of a slice, default 65536
     overlap       bytes of the neighbouring slices kept in `before` and `after`, default 0
-    splitBytes    bytes read by one task, default 128 MiB, rounded to whole slices
+    splitBytes    most bytes read by one task, default 128 MiB, rounded to whole slices
+    minTasks      tasks wanted at least; small inputs are cut finer for it (down to 1 MiB)
     onError       "fail" (default) or "skip": an unreadable range gives one row with `error` set
 
 Each task opens one file, seeks to its range and yields Arrow batches of a few MiB; nothing is read
@@ -25,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SLICE_BYTES = 65536
 SPLIT_BYTES = 128 << 20
+SMALLEST_SPLIT = 1 << 20
 BATCH_BYTES = 4 << 20
 
 
@@ -74,30 +76,28 @@ class RawImageReader(DataSourceReader):
         self.slice_bytes = int(options.get("slicebytes", SLICE_BYTES))
         self.overlap = int(options.get("overlap", 0))
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.min_tasks = int(options.get("mintasks", 1))
         self.on_error = options.get("onerror", "fail")
         if self.slice_bytes <= 0 or self.overlap < 0 or self.on_error not in ("fail", "skip"):
             raise ValueError("sliceBytes > 0, overlap >= 0 and onError fail|skip are required")
 
     def partitions(self) -> list[InputPartition]:
-        step = max(1, self.split_bytes // self.slice_bytes) * self.slice_bytes
+        files = [(root, image, size) for root in self.paths for image, size in find_files(root)]
+        even = max(SMALLEST_SPLIT, sum(size for _, _, size in files) // self.min_tasks)
+        step = max(1, min(self.split_bytes, even) // self.slice_bytes) * self.slice_bytes
         return [
             ByteRange(root, image, start, min(start + step, size), size)
-            for root in self.paths
-            for image, size in find_files(root)
+            for root, image, size in files
             for start in range(0, size, step)
         ]
 
     def read(self, partition: ByteRange) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        names = ["image", "offset", "data", "before", "after", "error"]
-        types = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
-        schema = pa.schema(list(zip(names, types)))
-
-        def batch(rows):
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
+        fields = {"image": pa.string(), "offset": pa.int64(), "data": pa.binary(), "before": pa.binary()}
+        fields |= {"after": pa.binary(), "error": pa.string()}
+        schema = pa.schema(list(fields.items()))
         position = partition.start
         try:
             filesystem, _ = open_filesystem(partition.root)
@@ -108,29 +108,31 @@ class RawImageReader(DataSourceReader):
                     low = max(0, position - self.overlap)
                     high = min(partition.length, stop + self.overlap)
                     f.seek(low)
-                    buffer = f.read(high - low)
-                    if len(buffer) != high - low:
+                    buffer = f.read_buffer(high - low)
+                    if buffer.size != high - low:
                         raise OSError(f"short read at {position} of {partition.image}")
-                    rows = []
-                    for offset in range(position, stop, self.slice_bytes):
-                        a = offset - low
-                        b = min(offset + self.slice_bytes, stop) - low
-                        rows.append(
-                            (
-                                partition.image,
-                                offset,
-                                buffer[a:b],
-                                buffer[max(0, a - self.overlap) : a],
-                                buffer[b : b + self.overlap],
-                                None,
-                            )
-                        )
-                    yield batch(rows)
+                    starts = list(range(position, stop, self.slice_bytes))
+                    edges = np.array([*starts, stop], dtype=np.int64) - position
+                    # The slices lie side by side in the buffer, so they need no copy.
+                    data = pa.Array.from_buffers(
+                        pa.binary(),
+                        len(starts),
+                        [None, pa.py_buffer(edges.astype(np.int32)), buffer.slice(position - low, stop - position)],
+                    )
+                    view = memoryview(buffer)
+                    ends = [*starts[1:], stop]
+                    before = [bytes(view[max(0, o - low - self.overlap) : o - low]) for o in starts]
+                    after = [bytes(view[o - low : o - low + self.overlap]) for o in ends]
+                    n = len(starts)
+                    columns = [pa.array([partition.image] * n), pa.array(starts, pa.int64()), data]
+                    columns += [pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.nulls(n, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
                     position = stop
         except OSError as failure:
             if self.on_error == "fail":
                 raise
-            yield batch([(partition.image, position, None, None, None, str(failure))])
+            row = [partition.image, position, None, None, None, str(failure)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, fields.values())], schema=schema)
 
 
 class RawImageSource(DataSource):
