@@ -9,7 +9,7 @@ from ..functions.digest import zero_block_md5
 from ..functions.patterns import default_tlds
 from ..operators.throughput import GB_PER_SPLIT_100_IMAGES
 from .queries import ADDRESS_WORD, BUCKET, NEAR, SEED_FILE
-from .views import SLICE, WORD
+from .views import DOCUMENT_BYTES, SLICE, WORD
 
 _TLD = "|".join(sorted(default_tlds(), key=lambda n: (-len(n), n)))
 _MAIL = rf"[a-zA-Z0-9][a-zA-Z0-9._%+\-]{{1,64}}@[a-zA-Z0-9._%\-]{{1,64}}\.(?i:{_TLD})"
@@ -96,6 +96,13 @@ _EVENT_CELLS = """cells AS (SELECT concat(event_type, ',', user_id) AS row_key,
     CAST(event_id % 16 AS VARCHAR) AS qualifier, lpad(CAST(event_id AS VARCHAR), 12, '0') AS value FROM events)"""
 _COUNTS = """o AS (SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1),
     e AS (SELECT user_id AS key, count(*) AS n FROM events GROUP BY 1)"""
+_UPSERTED = """WITH o AS (SELECT o_custkey AS k, min(o_orderkey) AS v FROM orders GROUP BY 1),
+    e AS (SELECT user_id AS k, max(event_id) AS v FROM events GROUP BY 1)
+    SELECT CAST(coalesce(e.k, o.k) AS VARCHAR) AS row_key, 'f' AS family, 'last' AS qualifier,
+    CAST(coalesce(e.v, o.v) AS VARCHAR) AS value FROM o FULL JOIN e ON o.k = e.k"""
+# the documents of a source as one medium, each at an offset of its own
+_MEDIA = f"""docs AS (SELECT source AS image, doc_id * {DOCUMENT_BYTES} AS base, text, hex(encode(text)) AS h FROM documents)"""
+_PAGES = "pagedocs AS (SELECT page_id AS image, html AS text FROM pages)"
 _CENTS = "CAST(round(value * 100) AS BIGINT)"
 _TASKS = f"""log AS (SELECT CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t,
     CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'finished' END AS event
@@ -184,10 +191,23 @@ ORACLES: dict[str, str] = {
     "artifacts_per_class": f"""WITH {_DOCS}, {_mail()} SELECT 'email' AS artifact_class, hex(encode(feature)) AS artifact,
         image AS filename, pos AS file_offset, '' AS recursion_path FROM mail""",
     "cells_collapsed": f"WITH {_EVENT_CELLS} SELECT row_key, family, qualifier, max(value) AS value FROM cells GROUP BY ALL",
-    "cells_upserted": """WITH o AS (SELECT o_custkey AS k, min(o_orderkey) AS v FROM orders GROUP BY 1),
-        e AS (SELECT user_id AS k, max(event_id) AS v FROM events GROUP BY 1)
-        SELECT CAST(coalesce(e.k, o.k) AS VARCHAR) AS row_key, 'f' AS family, 'last' AS qualifier,
-        CAST(coalesce(e.v, o.v) AS VARCHAR) AS value FROM o FULL JOIN e ON o.k = e.k""",
+    "cells_upserted": _UPSERTED,
+    "keyed_table": _UPSERTED,
+    "feature_text_files": f"""WITH {_MEDIA}, {_mail("docs", "image, base, h")}
+        SELECT image, concat(base + pos, chr(9), feature, chr(9), {_escape(_CONTEXT)}) AS line FROM mail""",
+    "feature_append_files": f"""WITH {_MEDIA}, {_PAGES}, {_mail("docs", "image, base")}, {_found("page_mail", "pagedocs", _BOUNDED, 1)}
+        SELECT CAST(base + pos AS VARCHAR) AS "offset", feature FROM mail
+        UNION ALL SELECT CAST(pos AS VARCHAR), feature FROM page_mail""",
+    "slice_table": f"""WITH {_MEDIA}
+        SELECT image, base + k * {SLICE} AS "offset", md5(unhex(substr(h, {2 * SLICE} * k + 1, {2 * SLICE}))) AS md5
+        FROM (SELECT image, base, h, unnest(range(0, CAST(ceil(length(h) / {2.0 * SLICE}) AS BIGINT))) AS k FROM docs)""",
+    "artifact_table": f"""WITH {_MEDIA}, {_mail("docs", "image, base")}
+        SELECT 'email' AS artifact_class, image AS stream_name, count(*) AS n FROM mail GROUP BY 2
+        UNION ALL SELECT 'number', image, CAST(sum(n) AS BIGINT) FROM
+        (SELECT image, len(regexp_extract_all(text, '[0-9]{{4,}}')) AS n FROM docs) WHERE n > 0 GROUP BY 2""",
+    "streamed_cells": f"""WITH {_MEDIA}, {_PAGES}, {_mail("docs", "image, base")}, {_found("page_mail", "pagedocs", _BOUNDED, 1)}
+        SELECT feature AS row_key, 'f' AS family, concat(image, ',', base + pos) AS qualifier, '' AS value FROM mail
+        UNION ALL SELECT feature, 'f', concat('page', image, ',', pos), '' FROM page_mail""",
     "cells_filtered": f"""WITH {_EVENT_CELLS} SELECT row_key, family, qualifier, max(value) AS value FROM cells
         WHERE family = 'f' AND qualifier < '5' AND row_key LIKE 'view,%' GROUP BY ALL""",
     "artifact_frequency": f"WITH {_DOCS}, {_words()} SELECT artifact, count(*) AS n FROM words GROUP BY 1",

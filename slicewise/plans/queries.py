@@ -12,7 +12,9 @@ from ..operators import artifacts as art
 from ..operators import cells as cell
 from ..operators import embedded, hashes, histogram, joins, scanners, similarity, sinks, throughput
 from ..operators.boundary import reslice, seams
+from ..session import new_folder
 from ..sources import files, logs, tables
+from ..streaming import ingest
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,20 +406,24 @@ def cells_collapsed(spark, sf_dir):
     return cell.collapse(_event_cells(spark, sf_dir))
 
 
+def _last_keys(spark, sf_dir):
+    """Cells of the first order per customer and of the last event per user."""
+
+    def cells(df, key, value):
+        return df.select(
+            F.col(key).cast("string").alias("row_key"), F.lit("f").alias("family"),
+            F.lit("last").alias("qualifier"), F.col(value).cast("string").alias("value"),
+        )
+
+    orders = v.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
+    events = v.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("k"))
+    return cells(orders, "o_custkey", "k"), cells(events, "user_id", "k")
+
+
 @query
 def cells_upserted(spark, sf_dir):
     """User cells put over customer cells of the same keys."""
-    c = v.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
-    old = c.select(
-        F.col("o_custkey").cast("string").alias("row_key"), F.lit("f").alias("family"),
-        F.lit("last").alias("qualifier"), F.col("k").cast("string").alias("value"),
-    )
-    e = v.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("k"))
-    new = e.select(
-        F.col("user_id").cast("string").alias("row_key"), F.lit("f").alias("family"),
-        F.lit("last").alias("qualifier"), F.col("k").cast("string").alias("value"),
-    )
-    return cell.upsert(old, new)
+    return cell.upsert(*_last_keys(spark, sf_dir))
 
 
 @query
@@ -426,6 +432,73 @@ def cells_filtered(spark, sf_dir):
     return cell.row_filter(cells, eq={"family": "f"}, lt={"qualifier": "5"}, prefix={"row_key": "view,"})
 
 
+# ---- tables written and read back, in the shared folder
+
+@query
+def feature_text_files(spark, sf_dir):
+    path = new_folder(spark, "features")
+    sinks.write_features(scanners.scan_email(v.media_slices(spark, sf_dir)), path)
+    return spark.read.schema("value string, image string").text(path).select("image", F.col("value").alias("line"))
+
+
+@query
+def feature_append_files(spark, sf_dir):
+    """Two runs of the scan appended to one target: documents, then pages."""
+    path = new_folder(spark, "appended")
+    sinks.write_append(scanners.scan_email(v.media_slices(spark, sf_dir)), path, first=True)
+    pages = files.chunk(v.page_images(spark, sf_dir), "image", "data", v.SLICE, 1024)
+    sinks.write_append(scanners.scan_email(pages), path)
+    return spark.read.text(path).select(F.split("value", "\t").alias("p")).select(
+        F.get("p", F.lit(0)).alias("offset"), F.get("p", F.lit(1)).alias("feature")
+    )
+
+
+@query
+def slice_table(spark, sf_dir):
+    """Media of labelled documents are stored first; the second run adds only the others."""
+    path = new_folder(spark, "slices")
+    s = v.media_slices(spark, sf_dir).select("image", "offset", "data")
+    labelled = v.table(spark, sf_dir, "labels").select("doc_id")
+    media = v.table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi")
+    some = media.groupBy(F.col("source").alias("image")).agg(F.count("*").alias("n")).where("n > 1")
+    sinks.write_slices(joins.lookup(s, some, "image"), path)
+    schema = "offset bigint, data binary, image string"
+    done = spark.read.schema(schema).parquet(path).select("image").distinct()
+    sinks.write_slices(s, path, done)
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.select("image", "offset", F.md5("data").alias("md5"))
+
+
+@query
+def artifact_table(spark, sf_dir):
+    path = new_folder(spark, "artifacts")
+    found = scanners.scan(v.media_slices(spark, sf_dir), {"email": None, "number": "[0-9]{4,}"})
+    sinks.write_artifacts(scanners.to_artifacts(found), path)
+    return tables.read_artifacts(spark, path).groupBy("artifact_class", "stream_name").agg(F.count("*").alias("n"))
+
+
+@query
+def keyed_table(spark, sf_dir):
+    """Two puts, the second one twice; the table then has one cell per key."""
+    path = new_folder(spark, "cells")
+    old, new = _last_keys(spark, sf_dir)
+    cell.keyed_put(old, path, 0)
+    cell.keyed_put(new, path, 1)
+    cell.keyed_put(new, path, 1)
+    return tables.scan_cells(spark, path, "f")
+
+
+@query
+def streamed_cells(spark, sf_dir):
+    """Slice files that arrive in two steps, each taken in by its own run of the stream."""
+    src, path, state = (new_folder(spark, name) for name in ("arriving", "streamed", "progress"))
+    pages = files.chunk(v.page_images(spark, sf_dir), "image", "data", v.SLICE, 1024)
+    for arriving in (v.media_slices(spark, sf_dir), pages.withColumn("image", F.concat(F.lit("page"), F.col("image")))):
+        arriving.select("image", "offset", "data", "before", "after").write.mode("append").parquet(src)
+        ingest.ingest_stream(spark, src, path, state).awaitTermination()
+    return tables.scan_cells(spark, path)
+
+
 # ---- aggregations
 
 @query

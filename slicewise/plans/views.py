@@ -104,3 +104,20 @@ def packed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["image"], pa.array(packed, pa.binary())], names=["image", "data"])
 
     return document_images(spark, sf_dir).mapInArrow(pack, "image bigint, data binary")
+
+
+#: offsets between the documents of one medium
+DOCUMENT_BYTES = 1 << 24
+
+
+def media_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a source as the contents of one medium, each at an offset of its own."""
+    docs = text_table(spark, sf_dir, "documents")
+    parts = chunk(docs, F.struct("source", "doc_id"), F.encode("text", "UTF-8"), SLICE, MARGIN)
+    return parts.select(
+        F.col("image.source").alias("image"),
+        (F.col("image.doc_id") * DOCUMENT_BYTES + F.col("offset")).alias("offset"),
+        "data",
+        "before",
+        "after",
+    )
