@@ -26,15 +26,17 @@ def byte_histogram(slices: DataFrame, by: Sequence[str] = ("image",)) -> DataFra
         import numpy as np
         import pyarrow as pa
 
-        def emit(held):
+        def emit(held, types):
             for key, counts in held.items():
                 present = np.flatnonzero(counts)
-                arrays = [pa.array([v] * len(present)) for v in key]
+                arrays = [pa.array([v] * len(present), t) for v, t in zip(key, types)]
                 arrays += [pa.array(present.astype("int32")), pa.array(counts[present])]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*by, "byte", "n"])
 
         held: dict[tuple, np.ndarray] = {}
+        types: list = []
         for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
             keys = zip(*[batch[c].to_pylist() for c in by]) if by else iter([()] * batch.num_rows)
             for key, data in zip(keys, batch["data"]):
                 if not data.is_valid:
@@ -42,9 +44,9 @@ def byte_histogram(slices: DataFrame, by: Sequence[str] = ("image",)) -> DataFra
                 counts = np.bincount(np.frombuffer(data.as_buffer(), np.uint8), minlength=256)
                 held[key] = held[key] + counts if key in held else counts
             if len(held) > GROUPS_HELD:
-                yield from emit(held)
+                yield from emit(held, types)
                 held = {}
-        yield from emit(held)
+        yield from emit(held, types)
 
     return slices.select(*by, "data").mapInArrow(count, schema)
 

@@ -127,7 +127,13 @@ ORACLES: dict[str, str] = {
     "literal_cells": """SELECT CAST(event_id AS VARCHAR) AS row_key, 'f' AS family, 'a' AS qualifier, event_type AS value FROM events""",
     "escape_text": f"WITH {_DOCS} SELECT image, {_escape('h')} AS escaped FROM docs",
     "latin1_text": f"WITH {_DOCS} SELECT image, length(h) // 2 AS characters, h AS data_hex FROM docs",
-    "utf16_narrowed": r"SELECT item_id, text AS narrow FROM benchmark WHERE regexp_full_match(text, '[\x01-\x7f]*', 's')",
+    "utf16_narrowed": r"SELECT doc_id, regexp_replace(text, '[^\x{01}-\x{FF}]', '?', 'g') AS narrow FROM documents",
+    "raw_files_email": f"""WITH docs AS (SELECT source AS image, doc_id, text || chr(10) AS text FROM documents),
+        {_mail("docs", "image, doc_id")} SELECT image AS source, feature, count(*) AS n FROM mail GROUP BY ALL""",
+    "raw_files_histogram": """WITH bytes AS (SELECT source, unnest(regexp_extract_all(hex(encode(text || chr(10))), '..')) AS x FROM documents)
+        SELECT source, CAST('0x' || x AS INTEGER) AS byte, count(*) AS n FROM bytes GROUP BY source, x""",
+    "raw_files_sizes": """SELECT source, n AS listed, n AS whole, n AS sliced FROM
+        (SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n FROM documents GROUP BY source)""",
     "top_level_domains": f"""SELECT page_id, host, contains(host, '.') AND upper(string_split(host, '.')[-1]) IN
         ({", ".join(f"'{n}'" for n in default_tlds())}) AS ok
         FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host FROM pages)""",

@@ -92,6 +92,35 @@ def split_order(spark, sf_dir):
     return files.order_splits(s)
 
 
+@query
+def raw_files_email(spark, sf_dir):
+    """Documents as image files, cut into small slices and scanned over their boundaries."""
+    s = files.read_raw(spark, v.raw_document_files(spark, sf_dir), sliceBytes=4096, overlap=1024)
+    found = scanners.scan_email(s)
+    return found.groupBy(v.source_of().alias("source"), "feature").agg(F.count("*").alias("n"))
+
+
+@query
+def raw_files_histogram(spark, sf_dir):
+    s = files.read_raw(spark, v.raw_document_files(spark, sf_dir))
+    by_source = s.select(v.source_of().alias("source"), "data")
+    return histogram.byte_histogram(by_source, ["source"]).groupBy("source", "byte").agg(F.sum("n").alias("n"))
+
+
+@query
+def raw_files_sizes(spark, sf_dir):
+    """Listed, read whole and read in slices: three times the same bytes."""
+    path = v.raw_document_files(spark, sf_dir)
+
+    def total(df, name, length):
+        return df.groupBy(v.source_of().alias("source")).agg(F.sum(length).alias(name))
+
+    listed = total(files.list_images(spark, path), "listed", F.col("length"))
+    whole = total(files.whole_files(spark, path), "whole", F.length("data").cast("long"))
+    sliced = total(files.read_raw(spark, path), "sliced", F.length("data").cast("long"))
+    return listed.join(whole, "source").join(sliced, "source")
+
+
 @query
 def raw_image_slices(spark, sf_dir):
     """The table files themselves read as raw images."""
@@ -170,10 +199,10 @@ def latin1_text(spark, sf_dir):
 
 @query
 def utf16_narrowed(spark, sf_dir):
-    """Text widened to UTF-16LE and narrowed again; only Latin-1 texts survive, so others are out."""
-    d = v.table(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"\A[\x01-\x7f]*\z"))
-    wide = text.latin1(F.encode("text", "UTF-16LE"))
-    return d.select("item_id", text.narrow16(wide).alias("narrow"))
+    """Texts widened to UTF-16LE and narrowed again; a character of two bytes cannot be narrowed."""
+    d = v.text_table(spark, sf_dir, "documents")
+    wide = text.latin1(F.encode(F.regexp_replace("text", r"[^\x01-\xff]", "?"), "UTF-16LE"))
+    return d.select("doc_id", text.narrow16(wide).alias("narrow"))
 
 
 @query

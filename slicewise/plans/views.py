@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.boundary import MARGIN
 from ..operators.scanners import scan
+from ..session import new_folder
 from ..sources.files import chunk
 from ..sources.tables import spread
 
@@ -121,3 +122,19 @@ def media_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "before",
         "after",
     )
+
+
+def raw_document_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder of image files that hold the documents, a line break behind each.
+
+    Every task writes the documents it has, by source, so no source passes through one task.
+    """
+    path = new_folder(spark, "images")
+    docs = text_table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    docs.select("source", "text").write.partitionBy("source").text(path)
+    return path
+
+
+def source_of(image: str = "image") -> Column:
+    """The source a file of `raw_document_files` belongs to."""
+    return F.regexp_extract(image, "/source=([^/]*)/", 1)

@@ -27,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SLICE_BYTES = 65536
 SPLIT_BYTES = 128 << 20
 SMALLEST_SPLIT = 1 << 20
+#: what opening a file costs, in bytes that could be read instead; small files share a task
+OPEN_COST = 1 << 16
 BATCH_BYTES = 4 << 20
 
 
@@ -60,7 +62,7 @@ def find_files(root: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     root: str
     image: str
     start: int
@@ -68,6 +70,27 @@ class ByteRange(InputPartition):
     length: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[ByteRange]
+
+
+def pack(ranges: list[ByteRange], size: int) -> list[InputPartition]:
+    """Ranges in the order given, as many to a task as `size` bytes allow."""
+    tasks: list[InputPartition] = []
+    room = 0
+    for r in ranges:
+        cost = r.stop - r.start + OPEN_COST
+        if cost > room or not tasks:
+            tasks.append(ByteRanges([]))
+            room = size + OPEN_COST
+        tasks[-1].ranges.append(r)
+        room -= cost
+    return tasks
+
+
 class RawImageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("path", "").split(",") if p]
@@ -85,13 +108,18 @@ class RawImageReader(DataSourceReader):
         files = [(root, image, size) for root in self.paths for image, size in find_files(root)]
         even = max(SMALLEST_SPLIT, sum(size for _, _, size in files) // self.min_tasks)
         step = max(1, min(self.split_bytes, even) // self.slice_bytes) * self.slice_bytes
-        return [
+        ranges = [
             ByteRange(root, image, start, min(start + step, size), size)
             for root, image, size in files
             for start in range(0, size, step)
         ]
+        return pack(ranges, step)
+
+    def read(self, partition: ByteRanges) -> Iterator:
+        for byte_range in partition.ranges:
+            yield from self.read_range(byte_range)
 
-    def read(self, partition: ByteRange) -> Iterator:
+    def read_range(self, partition: ByteRange) -> Iterator:
         import numpy as np
         import pyarrow as pa
 

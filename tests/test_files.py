@@ -10,7 +10,7 @@ from slicewise.operators import cells, sinks
 from slicewise.operators.scanners import scan_email, to_artifacts
 from slicewise.plans import lifecycle
 from slicewise.sources import files, tables
-from slicewise.sources.rawimage import ByteRange, RawImageReader
+from slicewise.sources.rawimage import ByteRange, RawImageReader, pack
 from slicewise.streaming.ingest import ingest_stream
 
 
@@ -61,16 +61,24 @@ def test_unreadable_ranges(spark, image_dir):
     path, _ = image_dir
     missing = ByteRange(path, path + "/gone.raw", 0, 1000, 1000)
     tolerant = RawImageReader({"path": path, "onerror": "skip"})
-    batches = list(tolerant.read(missing))
+    batches = list(tolerant.read_range(missing))
     assert batches[0].num_rows == 1 and batches[0]["error"][0].as_py()
     with pytest.raises(OSError):
-        list(RawImageReader({"path": path}).read(missing))
+        list(RawImageReader({"path": path}).read_range(missing))
     short = ByteRange(path, path + "/a.raw", 0, 9000, 9000)
-    assert list(tolerant.read(short))[-1]["error"][0].as_py().startswith("short read")
+    assert list(tolerant.read_range(short))[-1]["error"][0].as_py().startswith("short read")
     with pytest.raises(ValueError):
         RawImageReader({})
 
 
+def test_small_files_share_a_task():
+    ranges = [ByteRange("", str(i), 0, 1000, 1000) for i in range(100)] + [ByteRange("", "big", 0, 1 << 20, 1 << 20)]
+    tasks = pack(ranges, 1 << 20)
+    assert [r for t in tasks for r in t.ranges] == ranges
+    assert len(tasks) < 10 and len(tasks[-1].ranges) == 1
+    assert pack([], 10) == []
+
+
 def test_listing_and_whole_files(spark, image_dir):
     path, data = image_dir
     sizes = sorted((os.path.basename(n), len(c)) for n, c in data.items())
