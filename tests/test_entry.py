@@ -45,6 +45,8 @@ def test_every_query_has_sql_or_a_reason():
 def test_query(spark, sf_dir, database, name):
     df = QUERIES[name](spark, sf_dir)
     got = normalized(df.columns, [tuple(r) for r in df.collect()])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if name not in ORACLES:
         return
     result = database.execute(ORACLES[name])
