@@ -69,6 +69,7 @@ def alternation(names: Iterable[str], after_each: str = "") -> str:
 class LexerPatterns:
     """Address of the lexer rule: bounded parts and a required byte behind the domain."""
 
+    # Bytes and lengths of the parts; \x00 follows every byte in UTF-16LE.
     LOCAL8 = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{1,64}\z"
     LOCAL16 = r"[A-Za-z0-9]\x00(?:[A-Za-z0-9._%+\-]\x00){1,64}\z"
     #: longest local part in bytes, 8-bit and UTF-16
@@ -111,5 +112,6 @@ class AnchorPatterns:
 
 def address_class(allow_space: bool = False) -> str:
     """Regex class of the bytes an address part may hold."""
+    # Printable bytes and 0x7f, but for the separators of an address.
     low = "20" if allow_space else "21"
     return rf'[\x{low}-\x7f&&[^"(),:;<>@\[\]\\]]'

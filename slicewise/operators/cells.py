@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digest import SHARD_BYTES, shard
 
+# Column family of all tables; the layouts below join their parts with commas.
 KEY = ("row_key", "family", "qualifier")
 FAMILY = "f"
 
@@ -53,7 +54,7 @@ def cells_block_to_media(blocks: DataFrame) -> DataFrame:
     return _cells(blocks, F.col("block_md5"), _pair("image", "offset"), F.lit(""))
 
 
-def cells_rdc_artifacts(features: DataFrame) -> DataFrame:
+def cells_artifacts_by_image(features: DataFrame) -> DataFrame:
     """(email, image) → offset, with the address as value"""
     row = F.concat_ws(",", F.lit("email"), F.col("image").cast("string"))
     return _cells(features, row, F.col("offset").cast("string"), F.col("feature"))

@@ -411,7 +411,7 @@ def cells_block_to_media(spark, sf_dir):
 
 @query
 def cells_artifacts(spark, sf_dir):
-    return cell.cells_rdc_artifacts(scanners.scan_email(v.slices(spark, sf_dir)))
+    return cell.cells_artifacts_by_image(scanners.scan_email(v.slices(spark, sf_dir)))
 
 
 @query
