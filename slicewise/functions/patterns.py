@@ -74,10 +74,11 @@ class LexerPatterns:
     LOCAL16 = r"[A-Za-z0-9]\x00(?:[A-Za-z0-9._%+\-]\x00){1,64}\z"
     #: longest local part in bytes, 8-bit and UTF-16
     LOCAL_BYTES = 2 * (LEXER_PART + 1)
-    DOMAIN_BYTES = 2 * (1 + LEXER_PART + 1 + 6) + 2
 
     def __init__(self, utf16: bool = True, tlds: Iterable[str] | None = None):
-        names = tuple(tlds) if tlds is not None else default_tlds()
+        names = tuple(n.upper() for n in tlds) if tlds is not None else default_tlds()
+        #: bytes behind the @ that decide: domain, dot, top-level domain and what must follow
+        self.domain_bytes = 2 * (1 + LEXER_PART + 1 + max(map(len, names))) + 2
         rules = [rf"[A-Za-z0-9._%\-]{{1,64}}\.{alternation(names)}(?=[^A-Za-z])"]
         if utf16:
             rules.append(
@@ -96,7 +97,7 @@ class AnchorPatterns:
     DOMAIN_BYTES = 2 * (ANCHOR_DOMAIN + 1) + 2
 
     def __init__(self, allow_space: bool = False, utf16: bool = True, tlds: Iterable[str] | None = None):
-        names = tuple(tlds) if tlds is not None else default_tlds()
+        names = tuple(n.upper() for n in tlds) if tlds is not None else default_tlds()
         valid = address_class(allow_space)
         self.local8 = rf"{valid}*\z"
         self.local16 = rf"(?:{valid}\x00)*\z"

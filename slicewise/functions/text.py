@@ -59,7 +59,7 @@ def narrow16(text: Column) -> Column:
 
 def tld_ok(address: Column, tlds: Iterable[str] | None = None) -> Column:
     """Whether the text after the last dot is a known top-level domain."""
-    names = list(tlds) if tlds is not None else list(default_tlds())
+    names = [n.upper() for n in tlds] if tlds is not None else list(default_tlds())
     return address.contains(".") & F.upper(F.substring_index(address, ".", -1)).isin(names)
 
 

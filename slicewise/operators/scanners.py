@@ -85,7 +85,7 @@ def scan_email(slices: DataFrame, utf16: bool = True, tlds: Iterable[str] | None
     # p: text between anchors; anchor k lies between pieces k and k + 1. State: bytes up to piece k,
     # and bytes of piece k used by the last match. The next anchor itself may be the byte behind the
     # domain, hence the @ put back.
-    tail = f"left(p[k + 1], {p.DOMAIN_BYTES})"
+    tail = f"left(p[k + 1], {p.domain_bytes})"
     domain = f"regexp_extract(if(k + 2 < size(p), concat({tail}, '@'), {tail}), {sql_literal(p.domain)}, 0)"
     room = f"right(substring(p[k], a.used + 1), {p.LOCAL_BYTES})"
     local = (

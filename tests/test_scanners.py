@@ -145,8 +145,12 @@ def test_many_matches_in_one_slice(images):
 
 
 def test_own_top_level_domains(images):
-    found = scan_email(chunk(images({"a": b"ab@c.example ab@c.com "}), "image", "data"), tlds=["EXAMPLE"])
-    assert [r[2] for r in rows(found)] == ["ab@c.example"]
+    long = "photography"
+    contents = {"a": b"ab@c." + long.encode() + b" ab@c.com ", "b": utf16("ab@" + "d" * 64 + f".{long} ")}
+    s = chunk(images(contents), "image", "data")
+    found = rows(scan_email(s, tlds=[long]).select("image", "offset"))
+    assert found == [("a", 0), ("b", 0)]
+    assert rows(scan_email_anchor(s, tlds=[long]).select("image", "offset")) == [("a", 0), ("b", 0)]
 
 
 def test_pattern_scan_and_classes(images):
