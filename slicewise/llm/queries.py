@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, language_id, piece_counts, rules
 from .tables import documents
 
 
@@ -25,7 +26,36 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by piece_bpe_32k.model."""
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return piece_counts.count_tokens(documents(spark, sf_dir), model)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document, the contract's base verdict and that of the current policy."""
+    rows = rules.ledger(documents(spark, sf_dir))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base = ~rules.passes(rules.BASE)
+    return rows.select(
+        *names, base.alias("base_failed"), (~base & rules.passes(rules.POLICY)).alias("kept"), "failed"
+    )
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn(
+        "held_out", language_id.held_out("doc_id")
+    )
+    prototypes = language_id.learn(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.drop("lang"), prototypes).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_token_counts": op5_token_counts,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
