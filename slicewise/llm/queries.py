@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, piece_counts, rules
+from . import bpe, language_id, mixing, piece_counts, rules
 from .tables import documents
 
 
@@ -18,6 +18,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: a source's target weight goes with the square root of its size
+MIX_EXPONENT = 0.5
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the mixture of all sources."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", F.xxhash64("text").alias("text"))
+    return mixing.mix(docs, MIX_EXPONENT).drop("text")
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with byte_bpe_50k.json."""
     with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -53,6 +63,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_token_counts": op5_token_counts,
     "op8_quality_rules": op8_quality_rules,
