@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, piece_counts, rules
+from . import bpe, jaccard, language_id, mixing, piece_counts, rules
 from .tables import documents
 
 
@@ -62,11 +62,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), prototypes).drop("text")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 4-word shingles with a similarity of 0.85 or more."""
+    return jaccard.near_copies(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_token_counts": op5_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
