@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language_id, mixing, piece_counts, rules
+from . import bpe, brown, jaccard, language_id, mixing, piece_counts, rules
 from .tables import documents
 
 
@@ -18,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document, learned from those that are not held out."""
+    return brown.score(documents(spark, sf_dir))
+
+
 #: a source's target weight goes with the square root of its size
 MIX_EXPONENT = 0.5
 
@@ -68,6 +73,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_scores": op1_brown_scores,
     "op2_mixing": op2_mixing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_token_counts": op5_token_counts,
