@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, jaccard, language_id, mixing, piece_counts, rules
+from . import bpe, brown, jaccard, language_id, mixing, piece_counts, rules, warc
 from .tables import documents
 
 
@@ -48,6 +48,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(documents(spark, sf_dir), model)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back over the chain of records."""
+    return warc.round_trip(documents(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document, the contract's base verdict and that of the current policy."""
     rows = rules.ledger(documents(spark, sf_dir))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_token_counts": op5_token_counts,
+    "op6_warc": op6_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
     "op10_jaccard_join": op10_jaccard_join,
