@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, jaccard, language_id, mixing, piece_counts, rules, warc
+from . import bpe, brown, jaccard, language_id, mixing, neighbours, piece_counts, rules, warc
 from .tables import documents
 
 
@@ -53,6 +53,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(documents(spark, sf_dir, "pages"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return neighbours.search(documents(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document, the contract's base verdict and that of the current policy."""
     rows = rules.ledger(documents(spark, sf_dir))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
+    "op7_neighbours": op7_neighbours,
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
     "op10_jaccard_join": op10_jaccard_join,
