@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, jaccard, language_id, mixing, neighbours, piece_counts, rules, warc
+from . import bpe, brown, extraction, jaccard, language_id, mixing, neighbours, piece_counts, rules, warc
 from .tables import documents
 
 
@@ -33,6 +33,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_EXPONENT).drop("text")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(documents(spark, sf_dir, "pages"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with byte_bpe_50k.json."""
     with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -85,6 +90,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_scores": op1_brown_scores,
     "op2_mixing": op2_mixing,
+    "op3_html_text": op3_html_text,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
