@@ -1,29 +1,71 @@
-"""The corpus pipeline: rules, language, near copies, mixture, tokens; see `STAGES`."""
+"""The corpus pipeline: quality rules, language, near copies, mixture of sources, tokens.
+
+Every stage works on all rows that the one before kept, and all but the last return the columns of `documents`.
+Rows with a null or empty text fail the rules. Of the members of a component of near copies the one with the smallest
+id stays; an id names one document, so of rows with one id one stays; rows without an id are never matched and stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from slicewise.llm import bpe, queries
+from slicewise.llm import bpe, jaccard, language_id, mixing, queries, rules
 from slicewise.llm.tables import documents, stored
 
 ORACLE_SQL = None
+#: least cosine with a language for a text to count as written in it
+LEAST_SCORE = 0.2
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that no rule of the current policy rejects."""
+    return rules.ledger(docs).where(rules.passes(rules.POLICY)).select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are written in a language that was learned."""
+    train = docs.where(~language_id.held_out("doc_id"))
+    found = language_id.predict(docs, language_id.learn(train))
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return found.where(known).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = jaccard.near_copies(named.select("doc_id", "text"))
+    chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = named.join(chosen, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixture: by slot, then by place in the block."""
+    mixed = mixing.mix(docs, queries.MIX_EXPONENT)
+    return mixed.orderBy("slot", "place").select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document that is left, and the digests of them and of the decoded text."""
+    """The ids of every document, and the digests of them and of the text decoded from them."""
     with open(queries.tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
-        return bpe.encode(docs, f.read(), ids=True)
+        return bpe.encode(docs, f.read(), ids=True).drop("text")
 
 
-STAGES = [("encode_tokens", encode_tokens)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language", language),
+    ("near_copies", near_copies),
+    ("mixture", mixture),
+    ("encode_tokens", encode_tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table, each on the written result of the one before."""
     docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
@@ -241,7 +242,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.cutter = vocabulary, Cutter(vocabulary.special)
-        self.known: dict[bytes, tuple[bytes, int, bytes]] = {}
+        self.known: dict[bytes, tuple[bytes, int, bytes, np.ndarray]] = {}
 
     def learn(self, values: list[bytes]) -> None:
         if len(self.known) > KEPT:
@@ -250,23 +251,26 @@ class Encoder:
         parts = self.vocabulary.bytes_of
         for value, ids in zip(new, encode_pieces(new, self.vocabulary)):
             listed = ids.tolist()
-            self.known[value] = (",".join(map(str, listed)).encode(), len(listed), b"".join([parts[i] for i in listed]))
+            text = ",".join(map(str, listed)).encode()
+            self.known[value] = (text, len(listed), b"".join([parts[i] for i in listed]), ids.astype(np.int32))
         for content, i in self.vocabulary.special.items():
-            self.known[content] = (str(i).encode(), 1, parts[i])
+            self.known[content] = (str(i).encode(), 1, parts[i], np.array([i], np.int32))
 
-    def texts(self, data: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes, memoryview]]:
-        """(number of ids, ids joined by commas, decoded bytes) of each row."""
+    def looked_up(self, data: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, np.ndarray, list[tuple]]:
+        """(code of each pre-token, number of pre-tokens before each row, what is known of each code)."""
         starts = self.cutter.starts(data, rows)
         bounds = np.concatenate([starts, [len(data)]]).astype(np.int64)
         tokens = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
         )
-        before = np.searchsorted(starts, rows)
         codes, distinct = arrays.coded(tokens)
         values = distinct.to_pylist()
         self.learn(values)
-        found = [self.known[v] for v in values]
-        codes = pa.array(codes)
+        return pa.array(codes), np.searchsorted(starts, rows), [self.known[v] for v in values]
+
+    def texts(self, looked_up: tuple) -> Iterator[tuple[int, memoryview, memoryview]]:
+        """(number of ids, ids joined by commas, decoded bytes) of each row."""
+        codes, before, found = looked_up
         counts = np.array([f[1] for f in found], np.int64)[codes.to_numpy()] if found else np.zeros(0, np.int64)
         ids = pa.array([f[0] for f in found], pa.binary()).take(codes)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(before, pa.int32()), ids), b",")
@@ -275,42 +279,47 @@ class Encoder:
         ends = np.frombuffer(offsets, np.int64)
         view = memoryview(content) if content is not None else memoryview(b"")
         sums = arrays.row_sums(counts, before)
-        for k in range(len(rows) - 1):
+        for k in range(len(before) - 1):
             yield int(sums[k]), joined[k].as_buffer(), view[ends[before[k]] : ends[before[k + 1]]]
 
+    def lists(self, looked_up: tuple) -> pa.Array:
+        """The ids of each row."""
+        codes, before, found = looked_up
+        ids = pa.array([f[3] for f in found], pa.large_list(pa.int32())).take(codes)
+        return pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[before], pa.int32()), ids.values)
+
 
-def encode(docs: DataFrame, source: str, text: str = "text", ids: bool = False) -> DataFrame:
-    """Rows of `docs` with n_tokens, ids_sha256, decoded_sha256 and, with `ids`, the ids and the decoded text.
+def encode(docs: DataFrame, source: str, text: str = "text", ids: bool = False, decode: bool = False):
+    """Rows of `docs` with n_tokens, ids_sha256, decoded_sha256 and, if asked for, `ids` and the `decoded` text.
 
     `source` is the content of the tokenizer file; it is sent along with the tasks (a vocabulary is a fixed small
     model, not data). The digests are of the ids in decimal joined by commas and of the decoded bytes.
     """
     added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    if ids:
-        added += [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
+    added += [("ids", T.ArrayType(T.IntegerType()))] if ids else []
+    added += [("decoded", T.StringType())] if decode else []
     clash = {name for name, _ in added}
-    kept = [f for f in docs.schema.fields if f.name not in clash or f.name == text]
-    names = [f.name for f in kept if f.name not in clash]
-    schema = T.StructType([f for f in kept if f.name in names] + [T.StructField(n, t) for n, t in added])
+    names = [c for c in docs.columns if c not in clash]
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(n, t) for n, t in added])
     shipped = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches):
         encoder = Encoder(Vocabulary(shipped.value))
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(batch.num_columns - 1)
             for low, high, data, rows in arrays.pieces(column):
-                n, digest, back, listed, decoded = [], [], [], [], []
-                for count, joined, plain in encoder.texts(data, rows):
+                n, digest, back, decoded = [], [], [], []
+                got = encoder.looked_up(data, rows)
+                for count, joined, plain in encoder.texts(got):
                     n.append(count)
                     digest.append(hashlib.sha256(joined).hexdigest())
                     back.append(hashlib.sha256(plain).hexdigest())
-                    if ids:
-                        listed.append(np.array(bytes(joined).split(b","), np.int64).tolist() if count else [])
+                    if decode:
                         decoded.append(bytes(plain).decode("utf-8", "replace"))
-                columns = [batch.column(batch.schema.get_field_index(c)).slice(low, high - low) for c in names]
+                columns = [batch.column(k).slice(low, high - low) for k in range(len(names))]
                 columns += [pa.array(n, pa.int64()), pa.array(digest), pa.array(back)]
-                if ids:
-                    columns += [pa.array(listed, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                columns += [encoder.lists(got)] if ids else []
+                columns += [pa.array(decoded, pa.string())] if decode else []
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *[name for name, _ in added]])
 
-    return docs.select(*{f.name: 0 for f in kept}).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -42,8 +42,7 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with byte_bpe_50k.json."""
     with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
         source = f.read()
-    coded = bpe.encode(documents(spark, sf_dir), source)
-    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), source).drop("text")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
