@@ -3,11 +3,12 @@
 Method: the shingles of all documents have one order, rare before frequent. If two sets are similar enough, their
 prefixes in that order (n - ceil(t n) + 1 shingles) share a shingle. Documents with the same prefix and the same size
 are collapsed into one group; only groups are matched, through the shingles of their prefixes; pairs of groups that
-are left after the size filter are expanded to their members, and members are verified on their whole sets.
+are left after the size filter are expanded to their members, and members are verified on their whole sets. The size
+filter knows more than sizes: where all rare shingles of a set are in its prefix, it has none that only another prefix has.
 
 Equal sets are one class from the start. Links are verified in two rounds, and no list of similar documents is ever
-expanded into all its pairs: first, each group meets the first group of every shingle it shares, and each member of a
-group the group's first member; then only pairs that are still in different components, of shingles whose documents
+expanded into all its pairs: first, each group meets the hubs of the shingles it shares (HUBS groups of each), and each
+member of a group the group's first member; then only pairs that are still in different components, of shingles whose documents
 are not all in one component, are verified. A pair that is left out is in one component already, so the components
 are those of all links.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays
@@ -36,6 +38,12 @@ from .tables import frequent, stored
 WORDS, PERCENT = 4, 85
 #: shingles in the list of frequent ones
 FREQUENT = 1 << 17
+#: groups of a shingle that its other groups are matched with first, and the orders they are least in
+HUBS = 8
+ORDERS = [k * 0x0F1BBCDCBFA53E0B % (1 << 63) for k in range(HUBS)]
+#: 64-bit numbers of a parity map, and their columns
+MAPS = 4
+BITS = [f"b{k}" for k in range(MAPS)]
 #: shingles a task looks at together when it counts repetitions
 HELD = 6 << 20
 #: bits of the filter that tells which sets are needed
@@ -45,8 +53,8 @@ _FACTORS = np.array(
 )
 
 
-def shingle_sets(data: np.ndarray, rows: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingles of each row, as int64."""
+def shingle_sets(data: np.ndarray, rows: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(the sorted distinct shingles of each row as int64, all in one array; where each row begins in it)."""
     values, before = arrays.words(data, rows)
     hashed = arrays.hashes(values)
     n = len(hashed)
@@ -56,42 +64,73 @@ def shingle_sets(data: np.ndarray, rows: np.ndarray, words: int = WORDS) -> list
         for k in range(words):
             wide += hashed[k : n - words + 1 + k] * factor[k]
         wide = arrays.mixed(wide).view(np.int64)
-        out = []
+        parts = []
         for a, b in zip(before[:-1].tolist(), before[1:].tolist()):
             if b - a >= words:
-                out.append(np.unique(wide[a : b - words + 1]))
+                part = wide[a : b - words + 1].copy()
+                part.sort()
             elif b > a:
-                short = np.uint64(b - a) * _FACTORS[4]
+                short = np.array([np.uint64(b - a) * _FACTORS[4]])
                 for k in range(b - a):
-                    short = arrays.mixed(np.array([short + hashed[a + k] * factor[k]]))[0]
-                out.append(np.array([short]).view(np.int64))
+                    short = arrays.mixed(short + hashed[a + k] * factor[k])
+                part = short.view(np.int64)
             else:
-                out.append(np.zeros(0, np.int64))
-    return out
+                part = np.zeros(0, np.int64)
+            parts.append(part)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    keep = np.ones(len(flat), bool)
+    keep[1:] = flat[1:] != flat[:-1]
+    keep[ends[:-1][ends[:-1] < len(flat)]] = True
+    return flat[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+
+
+def digests(values: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each row's values as a set."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(arrays.mixed(values.view(np.uint64) + np.uint64(salt)), out=sums[1:])
+        total = sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64)
+        return arrays.mixed(total).view(np.int64)
 
 
-def digest(values: np.ndarray, salt: int) -> int:
-    """A hash of the values as a set."""
-    with np.errstate(over="ignore"):
-        h = arrays.mixed(values.view(np.uint64) + np.uint64(salt)).sum(dtype=np.uint64)
-        return int(arrays.mixed(np.array([h + np.uint64(len(values))]))[0].view(np.int64))
+def parity_maps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """MAPS 64-bit numbers for each row: a bit is set if an odd number of its shingles fall on it.
+
+    The bits in which two maps differ are at most as many as the shingles that only one of the sets has.
+    """
+    width, rows = 64 * MAPS, len(starts) - 1
+    row = np.repeat(np.arange(rows), np.diff(starts))
+    at = row * width + ((values >> 9) & (width - 1))
+    odd = (np.bincount(at, minlength=rows * width) & 1).astype(np.uint8).reshape(rows, width)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n, percent: int):
     return n + (-percent * n) // 100 + 1
 
 
-def prefix(values: np.ndarray, length: int, last: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order; `last` (sorted) are frequent, `weight` says how much."""
+def prefix(values: np.ndarray, length: int, last: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order, the rare and the frequent ones of them.
+
+    `last` (sorted) are the frequent shingles, `weight` says how frequent. Only as much of the set is compared with
+    them as it takes to find enough rare ones.
+    """
     if not len(last):
-        return values[:length]
-    at = np.minimum(np.searchsorted(last, values), len(last) - 1)
-    hot = last[at] == values
-    cold = values[~hot][:length]
-    if len(cold) == length:
-        return cold
-    rest, at = values[hot], at[hot]
-    return np.concatenate([cold, rest[np.lexsort((rest, weight[at]))][: length - len(cold)]])
+        return values[:length], values[:0]
+    size = length
+    while True:
+        head = values[:size]
+        at = np.minimum(np.searchsorted(last, head), len(last) - 1)
+        hot = last[at] == head
+        cold = head[~hot]
+        if len(cold) >= length:
+            return cold[:length], head[:0]
+        if size >= len(values):
+            break
+        size = min(len(values), 2 * size)
+    rest, at = head[hot], at[hot]
+    return cold, rest[np.lexsort((rest, weight[at]))][: length - len(cold)]
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -113,15 +152,15 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
         for batch in batches:
             kind = batch.column(0).type
             for low, high, data, rows in arrays.pieces(batch.column(1)):
-                sets = shingle_sets(data, rows, words)
-                n = high - low
+                values, starts = shingle_sets(data, rows, words)
+                n, sizes = high - low, np.diff(starts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, n), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array([digest(s, 1) if len(s) else None for s in sets], pa.int64()),
-                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names,
+                    [batch.column(0).slice(low, n), pa.array(sizes.astype(np.int32)),
+                     pa.array(digests(values, starts, 1), mask=sizes == 0), pa.nulls(n, pa.int64()),
+                     pa.nulls(n, pa.int64())], names,
                 )
-                held += sets
-                size += sum(map(len, sets))
+                held.append(values)
+                size += len(values)
                 if size > HELD:
                     yield from repeated()
                     held, size = [], 0
@@ -133,34 +172,49 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, text: str, words: int, percent: int, last: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """(v, n, p, cold, hot): sets with the shingles of their prefixes, p naming the prefix."""
+    """(v, n, g, cold, hot, BITS): the sets of a task, each once, with the shingles of their prefixes.
+
+    g names the group: all sets of one size with one prefix. BITS are the set's parity map.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast((last, weight))
 
     def run(batches):
         last, weight = shipped.value
+        seen: set[int] = set()
         for batch in batches:
             for _, _, data, rows in arrays.pieces(batch.column(0)):
-                out = []
-                for s in shingle_sets(data, rows, words):
-                    if len(s):
-                        first = prefix(s, prefix_length(len(s), percent), last, weight)
-                        is_hot = np.isin(first, last, assume_unique=True)
-                        out.append((digest(s, 1), len(s), digest(first, 2), first[~is_hot], first[is_hot]))
-                listed = list(zip(*out)) if out else [[]] * 5
-                lists = pa.list_(pa.int64())
+                values, starts = shingle_sets(data, rows, words)
+                names, sizes = digests(values, starts, 1).tolist(), np.diff(starts).tolist()
+                chosen = []
+                for k, name in enumerate(names):
+                    if sizes[k] and name not in seen:
+                        seen.add(name)
+                        chosen.append(k)
+                both = [
+                    prefix(values[starts[k] : starts[k + 1]], prefix_length(sizes[k], percent), last, weight) for k in chosen
+                ]
+                n = np.array([sizes[k] for k in chosen], np.int64)
+                cold, hot = [pa.array([p[i] for p in both], pa.list_(pa.int64())) for i in (0, 1)]
+                first = np.concatenate([x for p in both for x in p]) if both else np.zeros(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(p[0]) + len(p[1]) for p in both])]).astype(np.int64)
+                maps = parity_maps(values, starts)[chosen]
+                with np.errstate(over="ignore"):
+                    g = arrays.mixed(digests(first, ends, 2).view(np.uint64) + n.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(listed[0], pa.int64()), pa.array(listed[1], pa.int32()), pa.array(listed[2], pa.int64()),
-                     pa.array(listed[3], lists), pa.array(listed[4], lists)], ["v", "n", "p", "cold", "hot"],
+                    [pa.array([names[k] for k in chosen], pa.int64()), pa.array(n, pa.int32()), pa.array(g), cold, hot,
+                     *[pa.array(maps[:, k]) for k in range(MAPS)]],
+                    ["v", "n", "g", "cold", "hot", *BITS],
                 )
 
-    return docs.select(text).mapInArrow(run, "v bigint, n int, p bigint, cold array<bigint>, hot array<bigint>")
+    schema = "v bigint, n int, g bigint, cold array<bigint>, hot array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS)
+    return docs.select(text).mapInArrow(run, schema)
 
 
 def wanted_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(v, shingles) of the sets named in `wanted` (v), each once.
+    """(v, shingles) of the sets named in `wanted` (v), each once in a task, and of some more.
 
     A filter of FILTER_BITS bits, built by tasks and of that size whatever the number of sets, goes to the tasks that
-    read the documents; what it lets through by chance is dropped by the join.
+    read the documents; what it lets through by chance meets no pair.
     """
     bit = F.pmod("v", F.lit(FILTER_BITS))
     cells = wanted.select(F.floor(bit / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(v, {FILTER_BITS}) % 64 as int))").alias("bit"))
@@ -170,94 +224,120 @@ def wanted_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> Da
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        bits = shipped.value.view(np.uint64)
+        bits, seen = shipped.value.view(np.uint64), set()
         for batch in batches:
             for _, _, data, rows in arrays.pieces(batch.column(0)):
-                sets = [s for s in shingle_sets(data, rows, words) if len(s)]
-                names = np.array([digest(s, 1) for s in sets], np.int64)
+                values, starts = shingle_sets(data, rows, words)
+                names = digests(values, starts, 1)
                 at = names % FILTER_BITS
-                keep = (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-                chosen = np.flatnonzero(keep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[chosen]), pa.array([sets[i] for i in chosen], pa.list_(pa.int64()))], ["v", "shingles"]
-                )
+                keep = (bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+                chosen = []
+                for k in np.flatnonzero(keep & (np.diff(starts) > 0)).tolist():
+                    if names[k] not in seen:
+                        seen.add(names[k])
+                        chosen.append(k)
+                sets = pa.array([values[starts[k] : starts[k + 1]] for k in chosen], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(names[chosen]), sets], ["v", "shingles"])
 
-    sets = docs.select(text).mapInArrow(run, "v bigint, shingles array<bigint>")
-    return sets.join(wanted, "v", "left_semi").dropDuplicates(["v"])
+    return docs.select(text).mapInArrow(run, "v bigint, shingles array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough. Each set is dealt out once, and once more for each of its pairs."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    sets = stored(wanted_sets(docs, text, words, ends), "sets")
-    a = sets.select(F.col("v").alias("a"), F.col("shingles").alias("left"))
-    b = sets.select(F.col("v").alias("b"), F.col("shingles").alias("right"))
+    # equal sets of different tasks meet here; the exchange serves both sides
+    sets = wanted_sets(docs, text, words, ends).repartition("v").dropDuplicates(["v"])
+    left = pairs.join(sets, pairs["a"] == sets["v"]).select("a", "b", F.col("shingles").alias("left"))
+    right = sets.select(F.col("v").alias("w"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("i"), (F.size("left") + F.size("right")).alias("n"))
+    total = F.size("left") + F.size("right")
+    joined = left.join(right, F.col("b") == F.col("w")).select("a", "b", both.alias("i"), total.alias("n"))
     return joined.where(100 * F.col("i").cast("long") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
 def link_classes(docs: DataFrame, marks: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """(a, b): verified links between classes, enough for the components of all links."""
-    hot = frequent(marks.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")), "times", FREQUENT)
-    listed = hot.toArrow().sort_by("shingle")
+    repeated = marks.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    listed = frequent(repeated, "times", FREQUENT).toArrow().sort_by("shingle")
     last, weight = listed.column("shingle").to_numpy(), listed.column("times").to_numpy()
     rows = stored(prefixes(docs, text, words, percent, last, weight), "prefixes")
-    members = stored(
-        rows.select("v", "n", "p").distinct().join(
-            rows.groupBy("n", "p").agg(F.min("v").alias("g")), ["n", "p"]
-        ).select("v", "n", "g"),
-        "members",
+    members = stored(rows.select("v", "n", "g").distinct(), "members")
+    firsts = members.groupBy("g").agg(F.min("v").alias("first"))
+    cold = rows.select(F.explode("cold").alias("shingle"), "g", "n", F.lit(False).alias("hot"))
+    warm = rows.where(F.size("hot") > 0).select(F.explode("hot").alias("shingle"), "g", "n", F.lit(True).alias("hot"))
+
+    def matched(entries: DataFrame, small: bool) -> DataFrame:
+        """Entries of the shingles that two groups share."""
+        met = entries.groupBy("shingle").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("shingle")
+        return entries.join(F.broadcast(met) if small else met, "shingle")
+
+    # a rare shingle is dealt out once, for both its count and its matches; frequent ones are at most FREQUENT
+    shared = matched(cold.repartition("shingle"), False).unionByName(matched(warm, True)).distinct()
+    shared = stored(shared, "shared")
+    # a group whose prefix reaches the frequent shingles has all its rare ones in the prefix; so it cannot have those
+    # rare shingles of another group that no other prefix has: at most m of that group's n are in both
+    has = rows.groupBy("g").agg(
+        F.min("n").alias("n"), F.min(F.size("cold")).alias("c"), F.min(F.size("hot")).alias("w"),
+        (F.min("v") == F.max("v")).alias("single"), *[F.min(b).alias(b) for b in BITS],
     )
-    groups = rows.join(members.where("v = g").select("v"), "v", "left_semi").dropDuplicates(["v"])
-    cold = groups.select(F.explode("cold").alias("shingle"), F.col("v").alias("g"), "n")
-    warm = groups.where(F.size("hot") > 0).select(F.explode("hot").alias("shingle"), F.col("v").alias("g"), "n")
-
-    def with_first(entries: DataFrame, small: bool) -> DataFrame:
-        """Entries of shingles that two groups share, with the first group of the shingle."""
-        first = entries.groupBy("shingle").agg(
-            F.min(F.struct("g", "n")).alias("f"), F.count("*").alias("df")
-        ).where("df > 1")
-        first = F.broadcast(first) if small else first
-        return entries.join(first, "shingle").select(
-            "shingle", "g", "n", F.col("f.g").alias("first"), F.col("f.n").alias("first_n"), "df"
-        )
-
-    # a cold shingle is dealt out once, for both its count and its matches
-    spread = cold.repartition("shingle")
-    shared = stored(with_first(spread, False).unionByName(with_first(warm, True)), "shared")
-    fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    stars = shared.where(F.col("g") != F.col("first")).where(fits(F.col("n"), F.col("first_n")))
-    stars = stars.select("g", "first").distinct()
-    # each member meets the first member of the other group, and of its own
-    of_group = members.select("v", "g").join(stars, "g").select(F.col("v").alias("a"), F.col("first").alias("b"))
-    of_first = members.select("v", F.col("g").alias("first")).join(stars, "first").select(F.col("v").alias("a"), F.col("g").alias("b"))
-    own = members.where("v != g").select(F.col("v").alias("a"), F.col("g").alias("b"))
-    tried = of_group.unionByName(of_first).unionByName(own)
-    ordered = tried.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = stored(verified(ordered, docs, text, words, percent), "links")
+    met = shared.groupBy("g").agg(F.count(F.when(~F.col("hot"), 1)).alias("k"))
+    own = [F.when(F.col("single"), F.col(b)).alias(b) for b in BITS]
+    bounds = has.join(met, "g").select("g", "n", (F.col("w") > 0).alias("all_rare"), (F.col("n") - (F.col("c") - F.col("k"))).alias("m"), *own)
+    bounds = stored(bounds, "bounds")
+    facts = ["n", "all_rare", "m", *BITS]
+    theirs = [f"{c}2" for c in facts]
+
+    def fits():
+        """Whether two groups could be similar enough, by sizes, rare shingles and parity maps."""
+        one = F.when(F.col("all_rare2"), F.col("m")).otherwise(F.col("n"))
+        two = F.when(F.col("all_rare"), F.col("m2")).otherwise(F.col("n2"))
+        most, total = F.least(one, two).cast("long"), F.col("n") + F.col("n2")
+        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in BITS), F.lit(0))
+        differ = F.coalesce(apart, F.lit(0)).cast("long")
+        return (100 * most >= percent * (total - most)) & ((100 + percent) * differ <= (100 - percent) * total)
+
+    cells = shared.select("shingle", "g").join(bounds, "g")
+    # hubs of a shingle: the least groups in HUBS different orders
+    hubs = [F.min(F.col("g").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"h{k}") for k, c in enumerate(ORDERS)]
+    hubs = shared.groupBy("shingle").agg(*hubs).select("shingle", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs"))
+    stars = shared.select("shingle", "g").join(hubs, "shingle").withColumn("hub", F.explode("hubs")).where(F.col("g") != F.col("hub"))
+    stars = stars.groupBy("g", "hub").agg(F.count("*").alias("k")).join(bounds, "g")
+    stars = stars.join(bounds.select("g", *facts).toDF("hub", *theirs), "hub").where(fits())
+    best = F.row_number().over(W.partitionBy("g").orderBy(F.desc("k"), "hub"))
+    stars = stars.withColumn("r", best).where(F.col("r") <= HUBS)
+    # each member meets the first members of the hubs that its group shares most with, and of its own group
+    stars = stars.select("g", F.col("hub").alias("h")).join(firsts.withColumnRenamed("g", "h"), "h").select("g", "first")
+    tried = ordered(members.join(stars, "g"), "v", "first").unionByName(ordered(members.join(firsts, "g"), "v", "first"))
+    links = stored(verified(tried, docs, text, words, percent), "links")
     labels = components(links)
 
     # what is left: members in different components whose groups share a shingle
     label = F.coalesce("label", F.col("v"))
     placed = stored(members.join(labels, "v", "left").select("v", "n", "g", label.alias("label")), "placed")
     state = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_groups = state.where("low != high")
-    wide = shared.where("df > 2").join(state, "g")
+    wide = cells.join(state, "g")
     mixed = wide.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("shingle")
-    left = wide.join(mixed, "shingle").select("shingle", "g", "n", "low", "high")
-    right = left.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("g", "n", "low", "high")])
+    every = stored(wide.join(mixed, "shingle"), "mixed")
+    # one of any two components is not the shingle's largest one, so only groups outside that one look for partners
+    largest = every.groupBy("shingle", "low").agg(F.count("*").alias("k"))
+    largest = largest.groupBy("shingle").agg(F.max(F.struct("k", "low")).alias("top")).select("shingle", "top.low")
+    largest = largest.withColumnRenamed("low", "top")
+    outside = every.join(largest, "shingle").where("low != high or low != top")
+    other = every.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("g", *facts, "low", "high")])
     apart = (F.col("low") != F.col("low2")) | (F.col("high") != F.col("high2")) | (F.col("low") != F.col("high"))
-    pairs = left.join(right, "shingle").where((F.col("g") < F.col("g2")) & fits(F.col("n"), F.col("n2")) & apart)
-    pairs = pairs.select("g", "g2").distinct()
-    pairs = pairs.unionByName(open_groups.select("g", F.col("g").alias("g2")))
+    pairs = outside.join(other, "shingle").where((F.col("g") != F.col("g2")) & fits() & apart)
+    pairs = ordered(pairs, "g", "g2").distinct().toDF("g", "g2")
+    pairs = pairs.unionByName(state.where("low != high").select("g", F.col("g").alias("g2")))
     one = placed.select(F.col("v").alias("a"), "g", F.col("label").alias("la"))
     two = placed.select(F.col("v").alias("b"), F.col("g").alias("g2"), F.col("label").alias("lb"))
-    rest = pairs.join(one, "g").join(two, "g2").where("la != lb and (g != g2 or a < b)")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(rest, docs, text, words, percent)
-    return links.unionByName(more)
+    rest = ordered(pairs.join(one, "g").join(two, "g2").where("la != lb"), "a", "b")
+    rest = rest.join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(verified(rest, docs, text, words, percent))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT):
