@@ -7,18 +7,20 @@ decoded text is a byte position in the image.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import lru_cache
-from importlib import resources
-from pathlib import Path
-
-# Names of the top-level domain list that are not country codes of ISO 3166.
-GENERIC_TLDS = (
-    "AERO ARPA ASIA BIZ CAT COM COOP EDU GOV INFO INT JOBS MIL MOBI MUSEUM NAME NET ORG PRO TEL TRAVEL"
-).split()
-# Two-letter domains in use that ISO 3166 does not (or no longer) list.
-EXTRA_TLDS = "AC AN EU SU TP UK YU".split()
-# ISO 3166 codes that came after the domain list.
-LATER_CODES = "BQ CW SS SX".split()
+
+# The top-level domains that the scanners accept.
+TLDS = tuple(
+    """
+    AC AD AE AERO AF AG AI AL AM AN AO AQ AR ARPA AS ASIA AT AU AW AX AZ BA BB BD BE BF BG BH BI BIZ BJ BL BM BN
+    BO BR BS BT BV BW BY BZ CA CAT CC CD CF CG CH CI CK CL CM CN CO COM COOP CR CU CV CX CY CZ DE DJ DK DM DO DZ
+    EC EDU EE EG EH ER ES ET EU FI FJ FK FM FO FR GA GB GD GE GF GG GH GI GL GM GN GOV GP GQ GR GS GT GU GW GY HK
+    HM HN HR HT HU ID IE IL IM IN INFO INT IO IQ IR IS IT JE JM JO JOBS JP KE KG KH KI KM KN KP KR KW KY KZ LA LB
+    LC LI LK LR LS LT LU LV LY MA MC MD ME MF MG MH MIL MK ML MM MN MO MOBI MP MQ MR MS MT MU MUSEUM MV MW MX MY
+    MZ NA NAME NC NE NET NF NG NI NL NO NP NR NU NZ OM ORG PA PE PF PG PH PK PL PM PN PR PRO PS PT PW PY QA RE RO
+    RS RU RW SA SB SC SD SE SG SH SI SJ SK SL SM SN SO SR ST SU SV SY SZ TC TD TEL TF TG TH TJ TK TL TM TN TO TP
+    TR TRAVEL TT TV TW TZ UA UG UK UM US UY UZ VA VC VE VG VI VN VU WF WS YE YT YU ZA ZM ZW
+    """.split()
+)
 
 # Length limits of the address parts, in characters.
 LEXER_PART = 64
@@ -26,25 +28,9 @@ ANCHOR_LOCAL = 64
 ANCHOR_DOMAIN = 256
 
 
-def _country_codes() -> list[str]:
-    """ISO 3166 two-letter codes from the time-zone data that pandas or the system brings."""
-    candidates = [Path("/usr/share/zoneinfo/iso3166.tab")]
-    try:
-        candidates.insert(0, resources.files("tzdata") / "zoneinfo" / "iso3166.tab")
-    except ModuleNotFoundError:
-        pass
-    for table in candidates:
-        if table.is_file():
-            lines = table.read_text(encoding="utf-8").splitlines()
-            return [line.split("\t")[0] for line in lines if line and not line.startswith("#")]
-    raise RuntimeError("no ISO 3166 table found: install tzdata or pass tlds= explicitly")
-
-
-@lru_cache(maxsize=1)
 def default_tlds() -> tuple[str, ...]:
-    """Top-level domains accepted by the scanners: country codes by rule, plus generic names."""
-    codes = set(_country_codes()) - set(LATER_CODES)
-    return tuple(sorted(codes | set(EXTRA_TLDS) | set(GENERIC_TLDS)))
+    """Top-level domains accepted by the scanners unless others are given."""
+    return TLDS
 
 
 def alternation(names: Iterable[str], after_each: str = "") -> str:

@@ -25,7 +25,7 @@ def log_counters(lines: DataFrame, prefixes: Sequence[str], line: str = "value")
     text = F.col(line)
     sums = []
     for prefix in prefixes:
-        number = F.substring(text, len(prefix) + 1, 20).cast("long")
+        number = F.substring(text, len(prefix) + 1, 20).try_cast("long")
         name = prefix.rstrip(": ")
         sums.append(F.coalesce(F.sum(F.when(text.startswith(prefix), number)), F.lit(0)).alias(name))
     return lines.agg(*sums)

@@ -24,9 +24,9 @@ def log_filter(df: DataFrame, position: int, text: str, line: str = "value") ->
 
 def _seconds(line: Column, date: Column, clock_at: int) -> Column:
     """Seconds of a date and an hh?mm?ss clock, the same in every time zone."""
-    hour = F.substring(line, clock_at, 2).cast("long")
-    minute = F.substring(line, clock_at + 3, 2).cast("long")
-    second = F.substring(line, clock_at + 6, 2).cast("long")
+    hour = F.substring(line, clock_at, 2).try_cast("long")
+    minute = F.substring(line, clock_at + 3, 2).try_cast("long")
+    second = F.substring(line, clock_at + 6, 2).try_cast("long")
     return F.unix_date(date) * F.lit(86400) + hour * 3600 + minute * 60 + second
 
 
@@ -36,7 +36,7 @@ def parse_progress(line: Column) -> list[Column]:
     return [
         _seconds(line, date, PROGRESS_CLOCK).alias("t"),
         F.lit("progress").alias("event"),
-        F.substring(line, PROGRESS_BYTES, 20).cast("long").alias("bytes"),
+        F.substring(line, PROGRESS_BYTES, 20).try_cast("long").alias("bytes"),
     ]
 
 
@@ -56,13 +56,14 @@ def parse_executor(line: Column) -> list[Column]:
 
 
 def parse_log(lines: DataFrame, layout: str, line: str = "value") -> DataFrame:
-    """Lines of layout "progress" or "executor" as (t, event, bytes); other lines are left out."""
+    """Lines of layout "progress" or "executor" as (t, event, bytes); other and malformed lines are left out."""
     text = F.col(line)
     if layout == "progress":
-        return lines.where(F.length(text) >= PROGRESS_BYTES).select(*parse_progress(text))
+        rows = lines.where(F.length(text) >= PROGRESS_BYTES).select(*parse_progress(text))
+        return rows.where(F.col("t").isNotNull() & F.col("bytes").isNotNull())
     if layout == "executor":
         rows = lines.where(F.length(text) >= EXECUTOR_MIN_LINE - 1).select(*parse_executor(text))
-        return rows.where(F.col("event").isNotNull())
+        return rows.where(F.col("event").isNotNull() & F.col("t").isNotNull())
     raise ValueError(f"unknown log layout {layout!r}")
 
 
