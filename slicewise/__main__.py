@@ -36,7 +36,8 @@ def parser() -> argparse.ArgumentParser:
     job("slices", "copy images to a slice table, those it holds already left out", "images", "out").add_argument(
         "--append", action="store_true", help="the table exists"
     )
-    job("blocks", "block hashes and both keyed tables", "images", "hashes", "media_to_block", "block_to_media")
+    both = job("blocks", "block hashes and both keyed tables", "images", "hashes", "media_to_block", "block_to_media")
+    both.add_argument("--put", help="name of the puts, for a run that may be repeated")
     job("count", "read images and count their bytes", "images", "out")
     job("regroup", "rewrite an artifact table into evenly filled files", "table", "out").add_argument(
         "-n", type=int, default=500
@@ -70,7 +71,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
         done = read_slices(spark, a.out).select("image").distinct() if a.append else None
         lifecycle.slices_of_images(spark, a.images, a.out, done)
     elif a.job == "blocks":
-        lifecycle.block_tables(spark, a.images, a.hashes, a.media_to_block, a.block_to_media)
+        lifecycle.block_tables(spark, a.images, a.hashes, a.media_to_block, a.block_to_media, a.put)
     elif a.job == "count":
         _save_lines(read_only_pass(read_raw(spark, a.images)), a.out)
     elif a.job == "regroup":

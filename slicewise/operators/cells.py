@@ -1,12 +1,15 @@
 """Keyed tables: cells (row_key, family, qualifier, value) on Parquet.
 
-A put appends one batch; a later put of the same (row_key, family, qualifier) hides the earlier
-one when the table is read. Putting a batch again under its number replaces it, which makes a
-retried put harmless.
+A put is a folder of the table with a name of its own, so it never touches the cells of others; a
+later put of the same (row_key, family, qualifier) hides the earlier one when the table is read.
+Putting again under the same name replaces that put alone, which makes a retried put harmless.
 """
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,22 +74,21 @@ def rows_by_class(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def keyed_put(cells: DataFrame, table: str, batch: int) -> None:
-    """Put cells as batch `batch` of the table; later batches win over earlier ones."""
-    (
-        collapse(cells)
-        .withColumn("batch", F.lit(batch).cast("long"))
-        .sortWithinPartitions("row_key", "family", "qualifier")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
-        .parquet(table)
-    )
+def keyed_put(cells: DataFrame, table: str, batch: int | None = None, put: str | None = None) -> None:
+    """Put cells into the table; a put of a higher `batch` wins, of equal ones the put whose name sorts last.
+
+    `put` names the put: the same name again replaces it (also by nothing, if there are no cells this
+    time). Without a name it gets one that no other put has; without a batch, the time in microseconds.
+    """
+    batch = time.time_ns() // 1000 if batch is None else batch
+    name = re.sub(r"[^A-Za-z0-9-]", "-", put or uuid.uuid4().hex)
+    rows = collapse(cells).withColumn("batch", F.lit(batch).cast("long"))
+    rows.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{table.rstrip('/')}/put={name}")
 
 
 def latest(puts: DataFrame) -> DataFrame:
     """The current value of each cell; combined map-side before its shuffle."""
-    return puts.groupBy(*KEY).agg(F.max_by("value", "batch").alias("value"))
+    return puts.groupBy(*KEY).agg(F.max_by("value", F.struct("batch", "put")).alias("value"))
 
 
 def upsert(current: DataFrame, put: DataFrame) -> DataFrame:
@@ -103,8 +105,7 @@ def compact(puts: DataFrame, table: str, buckets: int = 200) -> None:
         .repartitionByRange(buckets, *KEY)
         .sortWithinPartitions(*KEY)
         .write.mode("errorifexists")
-        .partitionBy("batch")
-        .parquet(table)
+        .parquet(f"{table.rstrip('/')}/put=compacted")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: a key with more than 1/SHARES of all rows is split, so at most SHARES keys are
-SHARES = 1000
+SHARES = 100_000
 #: a key with no more rows than this is never split
 SMALL_GROUP = 1 << 17
 
@@ -34,14 +34,12 @@ def salted_join(
     The pieces of a hot key are told apart by a hash of `spread`; the matching rows of `right` are
     repeated once per piece. `counts` (key, n) gives the rows per key of `left` where they are
     known already. There are at most `shares` hot keys, each with more than 1 / shares of all rows,
-    so their list fits the driver and a broadcast; where there are none the join is a plain one.
+    so their list fits the driver and a broadcast. A key of at most `small` rows is one task's work.
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count("*").alias("n"))
     hot = hot_keys(counts, key, shares, small)
     found = hot.collect()
-    if not found:
-        return left.join(right, key)
     listed = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
     pieces = F.coalesce("_pieces", F.lit(1))
     salted = left.join(listed, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), pieces).cast("int"))

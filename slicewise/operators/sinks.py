@@ -24,9 +24,9 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def write_append(features: DataFrame, path: str, first: bool = False) -> None:
-    """Append feature lines; the first call of a run refuses a target that exists."""
+    """Append feature lines, each to the folder of its image; the first call of a run refuses a target that exists."""
     mode = "errorifexists" if first else "append"
-    features.select(feature_line().alias("line")).write.mode(mode).text(path)
+    feature_lines(features).write.mode(mode).partitionBy("image").text(path)
 
 
 def artifact_lines(artifacts: DataFrame) -> DataFrame:

@@ -34,9 +34,13 @@ def slices_of_images(spark: SparkSession, path: str, out: str, done: DataFrame |
     sinks.write_slices(slices, out, done)
 
 
-def block_tables(spark: SparkSession, path: str, hashes: str, media: str, blocks: str, batch: int = 0) -> None:
-    """Hash all blocks once into a table, and derive both keyed tables from it."""
+def block_tables(spark: SparkSession, path: str, hashes: str, media: str, blocks: str, put: str | None = None) -> None:
+    """Hash all blocks once into a table, and derive both keyed tables from it.
+
+    `put` names the puts into the keyed tables, so that a run that failed can be repeated; without a
+    name every run adds its cells to those of others.
+    """
     block_hashes(read_raw(spark, path).drop("before", "after", "error")).write.mode("errorifexists").parquet(hashes)
     stored = spark.read.parquet(hashes)
-    keyed_put(cells_media_to_block(stored), media, batch)
-    keyed_put(cells_block_to_media(stored), blocks, batch)
+    keyed_put(cells_media_to_block(stored), media, put=put)
+    keyed_put(cells_block_to_media(stored), blocks, put=put)

@@ -134,6 +134,16 @@ ORACLES: dict[str, str] = {
         SELECT source, CAST('0x' || x AS INTEGER) AS byte, count(*) AS n FROM bytes GROUP BY source, x""",
     "raw_files_sizes": """SELECT source, n AS listed, n AS whole, n AS sliced FROM
         (SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n FROM documents GROUP BY source)""",
+    "raw_image_slices": """SELECT source, n AS bytes, CAST(0 AS BIGINT) AS missing_context FROM
+        (SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents GROUP BY source)""",
+    "raw_image_tolerant": """SELECT source, n AS bytes, CAST(0 AS BIGINT) AS errors FROM
+        (SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents GROUP BY source)""",
+    "whole_file_sizes": """SELECT source, n AS length, lines FROM
+        (SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents GROUP BY source)""",
+    "file_listing": """SELECT source, n AS length FROM
+        (SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents GROUP BY source)""",
+    "raw_email_scan": f"""WITH docs AS (SELECT source AS image, doc_id, text || chr(10) AS text FROM documents),
+        {_mail("docs", "image, doc_id")} SELECT image AS source, count(*) AS n, count(DISTINCT feature) AS addresses FROM mail GROUP BY ALL""",
     "top_level_domains": f"""SELECT page_id, host, contains(host, '.') AND upper(string_split(host, '.')[-1]) IN
         ({", ".join(f"'{n}'" for n in default_tlds())}) AS ok
         FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host FROM pages)""",
@@ -202,8 +212,8 @@ ORACLES: dict[str, str] = {
     "feature_text_files": f"""WITH {_MEDIA}, {_mail("docs", "image, base, h")}
         SELECT image, concat(base + pos, chr(9), feature, chr(9), {_escape(_CONTEXT)}) AS line FROM mail""",
     "feature_append_files": f"""WITH {_MEDIA}, {_PAGES}, {_mail("docs", "image, base")}, {_found("page_mail", "pagedocs", _BOUNDED, 1)}
-        SELECT CAST(base + pos AS VARCHAR) AS "offset", feature FROM mail
-        UNION ALL SELECT CAST(pos AS VARCHAR), feature FROM page_mail""",
+        SELECT image, CAST(base + pos AS VARCHAR) AS "offset", feature FROM mail
+        UNION ALL SELECT CAST(image AS VARCHAR), CAST(pos AS VARCHAR), feature FROM page_mail""",
     "slice_table": f"""WITH {_MEDIA}
         SELECT image, base + k * {SLICE} AS "offset", md5(unhex(substr(h, {2 * SLICE} * k + 1, {2 * SLICE}))) AS md5
         FROM (SELECT image, base, h, unnest(range(0, CAST(ceil(length(h) / {2.0 * SLICE}) AS BIGINT))) AS k FROM docs)""",
@@ -289,5 +299,11 @@ ORACLES: dict[str, str] = {
     "bytes_cumulative": f"""WITH log AS (SELECT CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t, {_CENTS} AS bytes FROM events),
         s AS (SELECT t, sum(bytes) AS bytes FROM log GROUP BY 1)
         SELECT t - (SELECT min(t) FROM s) AS seconds, CAST(sum(bytes) OVER (ORDER BY t) AS BIGINT) AS total_bytes FROM s""",
-    "resharded": f"""WITH {_ARTIFACTS} SELECT image, artifact, "offset" FROM a""",
+    "resharded": f"""WITH {_ARTIFACTS} SELECT artifact, count(*) AS n, CAST(sum("offset") AS BIGINT) AS offsets,
+        CAST(16 AS BIGINT) AS files FROM a GROUP BY 1""",
+    "saved_artifacts": f"""WITH {_MEDIA}, {_mail("docs", "image, base")}
+        SELECT 'email' AS artifact_class, image AS stream_name, count(*) AS n FROM mail GROUP BY 2""",
+    "slice_table_names": """WITH n AS (SELECT CAST(doc_id % 100 AS VARCHAR) AS last, octet_length(encode(text)) AS size FROM documents)
+        SELECT image, CAST(sum(size) AS BIGINT) AS bytes FROM
+        (SELECT unnest([last, lpad(last, 4, '0')]) AS image, size FROM n) GROUP BY 1""",
 }

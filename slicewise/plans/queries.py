@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,14 +97,14 @@ def split_order(spark, sf_dir):
 @query
 def raw_files_email(spark, sf_dir):
     """Documents as image files, cut into small slices and scanned over their boundaries."""
-    s = files.read_raw(spark, v.raw_document_files(spark, sf_dir), sliceBytes=4096, overlap=1024)
+    s = files.read_raw(spark, v.raw_document_files(spark, sf_dir), sliceBytes=4096, overlap=1024, exclude=v.MARKS)
     found = scanners.scan_email(s)
     return found.groupBy(v.source_of().alias("source"), "feature").agg(F.count("*").alias("n"))
 
 
 @query
 def raw_files_histogram(spark, sf_dir):
-    s = files.read_raw(spark, v.raw_document_files(spark, sf_dir))
+    s = files.read_raw(spark, v.raw_document_files(spark, sf_dir), exclude=v.MARKS)
     by_source = s.select(v.source_of().alias("source"), "data")
     return histogram.byte_histogram(by_source, ["source"]).groupBy("source", "byte").agg(F.sum("n").alias("n"))
 
@@ -115,49 +117,57 @@ def raw_files_sizes(spark, sf_dir):
     def total(df, name, length):
         return df.groupBy(v.source_of().alias("source")).agg(F.sum(length).alias(name))
 
-    listed = total(files.list_images(spark, path), "listed", F.col("length"))
-    whole = total(files.whole_files(spark, path), "whole", F.length("data").cast("long"))
-    sliced = total(files.read_raw(spark, path), "sliced", F.length("data").cast("long"))
+    listed = total(files.list_images(spark, path, v.MARKS), "listed", F.col("length"))
+    whole = total(files.whole_files(spark, path, v.MARKS), "whole", F.length("data").cast("long"))
+    sliced = total(files.read_raw(spark, path, exclude=v.MARKS), "sliced", F.length("data").cast("long"))
     return listed.join(whole, "source").join(sliced, "source")
 
 
+def _raw_files(spark, sf_dir, **options):
+    s = files.read_raw(spark, v.raw_document_files(spark, sf_dir), exclude=v.MARKS, **options)
+    return s.withColumn("source", v.source_of())
+
+
 @query
 def raw_image_slices(spark, sf_dir):
-    """The table files themselves read as raw images."""
-    s = files.read_raw(spark, sf_dir, overlap=1024)
-    return s.groupBy(F.element_at(F.split("image", "/"), -1).alias("file")).agg(
-        F.count("*").alias("slices"), F.sum(F.length("data").cast("long")).alias("bytes")
+    """Image files in slices with context: all bytes, and those that the context repeats."""
+    s = _raw_files(spark, sf_dir, sliceBytes=4096, overlap=64)
+    context = F.when(F.col("offset") > 0, F.length("before")).otherwise(F.lit(0))
+    return s.groupBy("source").agg(
+        F.sum(F.length("data").cast("long")).alias("bytes"),
+        (F.count_if(F.col("offset") > 0) * 64 - F.sum(context)).alias("missing_context"),
     )
 
 
 @query
 def raw_email_scan(spark, sf_dir):
-    """The whole job on files: slices with context, scan, counts per file."""
-    found = scanners.scan_email(files.read_raw(spark, sf_dir, overlap=1024))
-    return found.groupBy(F.element_at(F.split("image", "/"), -1).alias("file")).agg(
+    """The whole job on files: slices with context, scan, counts per source."""
+    found = scanners.scan_email(_raw_files(spark, sf_dir, overlap=1024).drop("source"))
+    return found.groupBy(v.source_of().alias("source")).agg(
         F.count("*").alias("n"), F.count_distinct("feature").alias("addresses")
     )
 
 
 @query
 def raw_image_tolerant(spark, sf_dir):
-    s = files.read_raw(spark, sf_dir, onError="skip", sliceBytes=131072)
-    return s.groupBy(F.element_at(F.split("image", "/"), -1).alias("file")).agg(
-        F.count_if(F.col("error").isNull()).alias("slices"), F.count("error").alias("errors")
-    )
+    """A scan that goes on after read errors; these files have none."""
+    s = _raw_files(spark, sf_dir, onError="skip", sliceBytes=131072)
+    return s.groupBy("source").agg(F.sum(F.length("data").cast("long")).alias("bytes"), F.count("error").alias("errors"))
 
 
 @query
 def whole_file_sizes(spark, sf_dir):
-    w = files.whole_files(spark, sf_dir)
-    return w.select(
-        F.element_at(F.split("image", "/"), -1).alias("file"), "length", F.md5("data").alias("md5")
-    )
+    """Image files in one row each: their lengths and their line breaks."""
+    w = files.whole_files(spark, v.raw_document_files(spark, sf_dir), v.MARKS)
+    text = F.decode("data", "UTF-8")
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
+    return w.groupBy(v.source_of().alias("source")).agg(F.sum("length").alias("length"), F.sum(lines).alias("lines"))
 
 
 @query
 def file_listing(spark, sf_dir):
-    return files.list_images(spark, sf_dir).select(F.element_at(F.split("image", "/"), -1).alias("file"), "length")
+    listed = files.list_images(spark, v.raw_document_files(spark, sf_dir), v.MARKS)
+    return listed.groupBy(v.source_of().alias("source")).agg(F.sum("length").alias("length"))
 
 
 @query
@@ -477,9 +487,8 @@ def feature_append_files(spark, sf_dir):
     sinks.write_append(scanners.scan_email(v.media_slices(spark, sf_dir)), path, first=True)
     pages = files.chunk(v.page_images(spark, sf_dir), "image", "data", v.SLICE, 1024)
     sinks.write_append(scanners.scan_email(pages), path)
-    return spark.read.text(path).select(F.split("value", "\t").alias("p")).select(
-        F.get("p", F.lit(0)).alias("offset"), F.get("p", F.lit(1)).alias("feature")
-    )
+    lines = spark.read.schema("value string, image string").text(path).select("image", F.split("value", "\t").alias("p"))
+    return lines.select("image", F.get("p", F.lit(0)).alias("offset"), F.get("p", F.lit(1)).alias("feature"))
 
 
 @query
@@ -491,11 +500,8 @@ def slice_table(spark, sf_dir):
     media = v.table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi")
     some = media.groupBy(F.col("source").alias("image")).agg(F.count("*").alias("n")).where("n > 1")
     sinks.write_slices(joins.lookup(s, some, "image"), path)
-    schema = "offset bigint, data binary, image string"
-    done = spark.read.schema(schema).parquet(path).select("image").distinct()
-    sinks.write_slices(s, path, done)
-    stored = spark.read.schema(schema).parquet(path)
-    return stored.select("image", "offset", F.md5("data").alias("md5"))
+    sinks.write_slices(s, path, tables.read_slices(spark, path).select("image").distinct())
+    return tables.read_slices(spark, path).select("image", "offset", F.md5("data").alias("md5"))
 
 
 @query
@@ -508,22 +514,25 @@ def artifact_table(spark, sf_dir):
 
 @query
 def keyed_table(spark, sf_dir):
-    """Two puts, the second one twice; the table then has one cell per key."""
+    """Puts of two jobs, the second one repeated; a third put comes to nothing when it is repeated."""
     path = new_folder(spark, "cells")
     old, new = _last_keys(spark, sf_dir)
     cell.keyed_put(old, path, 0)
-    cell.keyed_put(new, path, 1)
-    cell.keyed_put(new, path, 1)
+    cell.keyed_put(new, path, 1, put="users")
+    cell.keyed_put(new, path, 1, put="users")
+    cell.keyed_put(old, path, 2, put="retried")
+    cell.keyed_put(old.where("row_key is null"), path, 2, put="retried")
     return tables.scan_cells(spark, path, "f")
 
 
 @query
 def streamed_cells(spark, sf_dir):
-    """Slice files that arrive in two steps, each taken in by its own run of the stream."""
-    src, path, state = (new_folder(spark, name) for name in ("arriving", "streamed", "progress"))
+    """Slice files that arrive in two folders, each taken in by a stream of its own into one table."""
+    path = new_folder(spark, "streamed")
     pages = files.chunk(v.page_images(spark, sf_dir), "image", "data", v.SLICE, 1024)
     for arriving in (v.media_slices(spark, sf_dir), pages.withColumn("image", F.concat(F.lit("page"), F.col("image")))):
-        arriving.select("image", "offset", "data", "before", "after").write.mode("append").parquet(src)
+        src, state = new_folder(spark, "arriving"), new_folder(spark, "progress")
+        arriving.select("image", "offset", "data", "before", "after").write.parquet(src)
         ingest.ingest_stream(spark, src, path, state).awaitTermination()
     return tables.scan_cells(spark, path)
 
@@ -735,4 +744,29 @@ def bytes_cumulative(spark, sf_dir):
 
 @query
 def resharded(spark, sf_dir):
-    return sinks.reshard(v.event_artifacts(spark, sf_dir), 16)
+    """Rewritten into 16 files and read back: how many files there are, and the rows of each artifact."""
+    path = new_folder(spark, "resharded")
+    sinks.reshard(v.event_artifacts(spark, sf_dir), 16).write.parquet(path)
+    stored = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    names = stored.select("file").distinct().agg(F.count("*")).scalar()
+    return stored.groupBy("artifact").agg(F.count("*").alias("n"), F.sum("offset").alias("offsets")).withColumn("files", names)
+
+
+@query
+def saved_artifacts(spark, sf_dir):
+    """The artifact table in the catalog, partitioned by class."""
+    name = f"artifacts_{uuid.uuid4().hex}"
+    found = scanners.scan_email(v.media_slices(spark, sf_dir))
+    sinks.save_artifacts(scanners.to_artifacts(found, "email"), name)
+    return spark.table(name).groupBy("artifact_class", "stream_name").agg(F.count("*").alias("n"))
+
+
+@query
+def slice_table_names(spark, sf_dir):
+    """Image names that look like numbers come back as they were: 0012 is not 12."""
+    path = new_folder(spark, "slices")
+    s = v.plain_slices(spark, sf_dir).withColumn("last", F.pmod("image", F.lit(100)).cast("string"))
+    names = F.explode(F.array("last", F.lpad("last", 4, "0")))
+    s = s.select(names.alias("image"), "offset", "data")
+    sinks.write_slices(s, path)
+    return tables.read_slices(spark, path).groupBy("image").agg(F.sum(F.length("data").cast("long")).alias("bytes"))

@@ -13,8 +13,10 @@ from ..session import new_folder
 from ..sources.files import chunk
 from ..sources.tables import spread
 
-#: slices of the documents are narrow, so that some matches lie on a boundary
+#: slices of the documents are narrow, so that most documents have several
 SLICE = 8192
+#: what Spark's writers leave beside the image files of `raw_document_files`
+MARKS = "_*;.*"
 #: words of the documents as a second class of artifacts
 WORD = "[A-Za-z]{5,}"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,6 +35,7 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "slicewise") ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("slicewise.spread", str(cores))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="slicewise-wh-"))
     )
     for key, value in SETTINGS.items():
@@ -46,11 +48,14 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "slicewise") ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder that `spark.checkpoint.dir` names, which all executors can reach.
 
-    Only a session that names none (a test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own; on a cluster it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="slicewise-cp-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="slicewise-cp-"))
     return context.getCheckpointDir()
 
 

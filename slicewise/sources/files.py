@@ -11,6 +11,10 @@ from ..operators.ordered import key_ranges, running_sum
 from .rawimage import SLICE_BYTES, ImageListSource, RawImageSource
 
 
+#: most bytes of a file in one row
+WHOLE_BYTES = (1 << 31) - 1
+
+
 def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     """Slices of the files under `path`; options as in `rawimage`."""
     RawImageSource.register(spark)
@@ -21,16 +25,20 @@ def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader.load()
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file that is not empty. For files that fit a row (2 GB); larger ones go through `rawimage`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path").alias("image"), "length", F.col("content").alias("data"))
+def whole_files(spark: SparkSession, path: str, exclude: str = "") -> DataFrame:
+    """One row per file that is not empty, named as by `read_raw` and `list_images`.
+
+    For files that fit a row (2 GB); a larger one is an error, it goes through `read_raw`.
+    """
+    parts = read_raw(spark, path, sliceBytes=WHOLE_BYTES, exclude=exclude)
+    whole = F.when(F.col("offset") == 0, F.col("data")).otherwise(F.raise_error(F.lit("a file does not fit a row")))
+    return parts.select("image", F.length("data").cast("long").alias("length"), whole.alias("data"))
 
 
-def list_images(spark: SparkSession, path: str) -> DataFrame:
+def list_images(spark: SparkSession, path: str, exclude: str = "") -> DataFrame:
     """Names and sizes only; no file is opened."""
     spark.dataSource.register(ImageListSource)
-    return spark.read.format("imagelist").option("path", path).load()
+    return spark.read.format("imagelist").option("path", path).option("exclude", exclude).load()
 
 
 def chunk(

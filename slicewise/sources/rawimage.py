@@ -9,6 +9,7 @@ Options
     overlap       bytes of the neighbouring slices kept in `before` and `after`, default 0
     splitBytes    most bytes read by one task, default 128 MiB, rounded to whole slices
     minTasks      tasks wanted at least; small inputs are cut finer for it (down to 1 MiB)
+    exclude       patterns of file and folder names to leave out, joined by semicolons; default none
     onError       "fail" (default) or "skip": an unreadable range gives one row with `error` set
 
 Each task opens one file, seeks to its range and yields Arrow batches of a few MiB; nothing is read
@@ -43,10 +44,17 @@ def open_filesystem(path: str):
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
-def find_files(root: str) -> list[tuple[str, int]]:
-    """(path, size) of a file, or of all files below a folder but for hidden ones."""
+def find_files(root: str, exclude: str = "") -> list[tuple[str, int]]:
+    """(path, size) of a file, or of all files below a folder.
+
+    `exclude` holds patterns (as `_*;.*`) of names that are left out, of files and of folders.
+    """
+    from fnmatch import fnmatchcase
+
     from pyarrow import fs
 
+    patterns = [p for p in exclude.split(";") if p]
+
     filesystem, inner = open_filesystem(root)
     info = filesystem.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
@@ -55,8 +63,9 @@ def find_files(root: str) -> list[tuple[str, int]]:
         return [(info.path, info.size)]
     found = []
     for f in filesystem.get_file_info(fs.FileSelector(inner, recursive=True)):
-        hidden = any(part.startswith(("_", ".")) for part in f.path[len(inner) :].split("/"))
-        if f.type == fs.FileType.File and not hidden:
+        parts = f.path[len(inner) :].split("/")
+        left_out = any(fnmatchcase(part, p) for part in parts for p in patterns)
+        if f.type == fs.FileType.File and not left_out:
             found.append((f.path, f.size))
     return found
 
@@ -100,12 +109,13 @@ class RawImageReader(DataSourceReader):
         self.overlap = int(options.get("overlap", 0))
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.min_tasks = int(options.get("mintasks", 1))
+        self.exclude = options.get("exclude", "")
         self.on_error = options.get("onerror", "fail")
         if self.slice_bytes <= 0 or self.overlap < 0 or self.on_error not in ("fail", "skip"):
             raise ValueError("sliceBytes > 0, overlap >= 0 and onError fail|skip are required")
 
     def partitions(self) -> list[InputPartition]:
-        files = [(root, image, size) for root in self.paths for image, size in find_files(root)]
+        files = [(root, image, size) for root in self.paths for image, size in find_files(root, self.exclude)]
         even = max(SMALLEST_SPLIT, sum(size for _, _, size in files) // self.min_tasks)
         step = max(1, min(self.split_bytes, even) // self.slice_bytes) * self.slice_bytes
         ranges = [
@@ -184,17 +194,19 @@ class RawImageSource(DataSource):
 @dataclass
 class Folder(InputPartition):
     root: str
+    exclude: str
 
 
 class ImageListReader(DataSourceReader):
-    def __init__(self, paths: str):
+    def __init__(self, paths: str, exclude: str):
         self.paths = [p for p in paths.split(",") if p]
+        self.exclude = exclude
 
     def partitions(self) -> list[InputPartition]:
-        return [Folder(root) for root in self.paths]
+        return [Folder(root, self.exclude) for root in self.paths]
 
     def read(self, partition: Folder) -> Iterator:
-        yield from find_files(partition.root)
+        yield from find_files(partition.root, partition.exclude)
 
 
 class ImageListSource(DataSource):
@@ -208,4 +220,4 @@ class ImageListSource(DataSource):
         return "image string, length bigint"
 
     def reader(self, schema) -> ImageListReader:
-        return ImageListReader(self.options.get("path", ""))
+        return ImageListReader(self.options.get("path", ""), self.options.get("exclude", ""))

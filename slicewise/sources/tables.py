@@ -4,31 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.cells import latest
 
-
-#: a table of up to this size is spread over all cores before a scan
-SPREAD_BYTES = 1 << 28
+#: columns that stand in folder names, and are text whatever they look like
+NAMES = ("image", "artifact_class", "put")
+CELLS = "row_key string, family string, qualifier string, value string, batch bigint, put string"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table in as many partitions as there are cores; a larger one as it is.
+    """The table dealt out evenly, if the session asks for it by `slicewise.spread` (a number of partitions).
 
-    A file of one row group is read by one task, which would also do all scanning. The size is the
-    planner's estimate from the file listing.
+    A file of one row group is read by one task, which would also do all scanning. That is worth a
+    shuffle for small tables only, so it is the caller's choice and never depends on the table.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    parts = int(df.sparkSession.conf.get("slicewise.spread", "0"))
+    return df.repartition(parts) if parts else df
 
 
 def _read(spark: SparkSession, path: str, fmt: str, skip_corrupt: bool) -> DataFrame:
-    reader = spark.read.format(fmt)
-    if skip_corrupt:
-        reader = reader.option("ignoreCorruptFiles", True)
-    return reader.load(path)
+    def reader():
+        return spark.read.format(fmt).option("ignoreCorruptFiles", skip_corrupt)
+
+    found = reader().load(path).schema
+    text = [T.StructField(f.name, T.StringType()) if f.name in NAMES else f for f in found.fields]
+    return reader().schema(T.StructType(text)).load(path)
 
 
 def read_slices(spark: SparkSession, path: str, fmt: str = "parquet", skip_corrupt: bool = False) -> DataFrame:
@@ -42,7 +43,7 @@ def read_artifacts(spark: SparkSession, path: str, fmt: str = "parquet", skip_co
 
 def scan_cells(spark: SparkSession, table: str, family: str | None = None) -> DataFrame:
     """Current cells of a keyed table, restricted to one column family if given."""
-    puts = spark.read.parquet(table)
+    puts = spark.read.schema(CELLS).parquet(table)
     if family is not None:
         puts = puts.where(F.col("family") == family)
     return latest(puts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,19 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Scan the slice files that are new under `src` and put their cells, then stop.
 
-    The checkpoint remembers the files taken in. A micro-batch that is run again after a failure
-    puts its cells under the same batch number and so replaces what it had written.
+    The checkpoint remembers the files taken in. A micro-batch puts its cells under the name of the
+    checkpoint and its number: run again after a failure it replaces what it had written, and streams
+    with other checkpoints have other puts.
     """
+    name = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:24]
+
     slices = spark.readStream.schema(SLICE_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(src)
+
+    def put(batch: DataFrame, number: int) -> None:
+        keyed_put(to_cells(batch), table, put=f"{name}-{number}")
+
     return (
-        slices.writeStream.foreachBatch(lambda batch, number: keyed_put(to_cells(batch), table, number))
+        slices.writeStream.foreachBatch(put)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -132,13 +132,13 @@ def cell_frame(spark, *values):
 def test_keyed_put(spark, tmp_path):
     table = str(tmp_path / "cells")
     first = cell_frame(spark, ("r1", "f", "a", "1"), ("r2", "f", "a", "2"), ("r1", "g", "a", "x"))
-    cells.keyed_put(first, table, 0)
-    cells.keyed_put(first, table, 0)
+    cells.keyed_put(first, table, 0, put="first")
+    cells.keyed_put(first, table, 0, put="first")
     assert spark.read.parquet(table).count() == 3
     cells.keyed_put(cell_frame(spark, ("r1", "f", "a", "0"), ("r3", "f", "b", "3")), table, 1)
     expected = [("r1", "f", "a", "0"), ("r2", "f", "a", "2"), ("r3", "f", "b", "3")]
     assert rows(tables.scan_cells(spark, table, "f")) == expected
-    cells.keyed_put(first, table, 0)
+    cells.keyed_put(first, table, 0, put="first")
     assert rows(tables.scan_cells(spark, table, "f")) == expected
     compacted = str(tmp_path / "compacted")
     cells.compact(spark.read.parquet(table), compacted, 2)
@@ -146,6 +146,51 @@ def test_keyed_put(spark, tmp_path):
     assert rows(tables.scan_cells(spark, compacted, "f")) == expected
 
 
+def test_puts_of_different_jobs_add_up(spark, tmp_path):
+    table = str(tmp_path / "cells")
+    cells.keyed_put(cell_frame(spark, ("r1", "f", "a", "1")), table)
+    cells.keyed_put(cell_frame(spark, ("r2", "f", "a", "2")), table)
+    assert rows(tables.scan_cells(spark, table)) == [("r1", "f", "a", "1"), ("r2", "f", "a", "2")]
+    cells.keyed_put(cell_frame(spark, ("r3", "f", "a", "3")), table, put="retried")
+    cells.keyed_put(cell_frame(spark, ("r3", "f", "a", "3")).where("value = '4'"), table, put="retried")
+    assert [r[0] for r in rows(tables.scan_cells(spark, table))] == ["r1", "r2"]
+
+
+def test_block_jobs_add_to_the_same_tables(spark, tmp_path):
+    from slicewise.plans.lifecycle import block_tables
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.raw").write_bytes(name.encode() * 1024)
+        block_tables(spark, str(tmp_path / f"{name}.raw"), str(tmp_path / f"h{name}"), str(tmp_path / "m"), str(tmp_path / "t"))
+    assert tables.scan_cells(spark, str(tmp_path / "t")).count() == 4
+
+
+def test_no_file_is_left_out_unless_asked_for(spark, tmp_path):
+    (tmp_path / ".hid").mkdir()
+    for name in ("x.raw", "_sys.dd", ".hid/z.raw"):
+        (tmp_path / name).write_bytes(b"data")
+    assert files.list_images(spark, str(tmp_path)).count() == 3
+    assert files.read_raw(spark, str(tmp_path)).count() == 3 == files.whole_files(spark, str(tmp_path)).count()
+    names = rows(files.list_images(spark, str(tmp_path), exclude="_*;.*"))
+    assert [n.rsplit("/", 1)[-1] for n, _ in names] == ["x.raw"]
+    assert rows(files.whole_files(spark, str(tmp_path), exclude="_*;.*").select("image", "length")) == names
+
+
+def test_image_names_come_back_as_text(spark, tmp_path):
+    path = str(tmp_path / "slices")
+    s = spark.createDataFrame([("0012", 0, bytearray(b"a")), ("12", 0, bytearray(b"b"))], "image string, offset long, data binary")
+    sinks.write_slices(s, path)
+    assert sorted(r.image for r in tables.read_slices(spark, path).collect()) == ["0012", "12"]
+
+
+def test_malformed_log_lines_are_left_out(spark):
+    from slicewise.sources import logs
+
+    lines = ["2020-01-01 01-02-03.tsv 17", "2020-01-01 xx-02-03.tsv 17", "2020-01-01 01-02-03.tsv many"]
+    found = logs.parse_log(spark.createDataFrame([(x,) for x in lines], "value string"), "progress")
+    assert [r.bytes for r in found.collect()] == [17]
+
+
 def test_bucketed_table(spark):
     cells.save_bucketed(cell_frame(spark, ("r1", "f", "a", "1")), "bucketed_cells", 2)
     assert rows(spark.table("bucketed_cells")) == [("r1", "f", "a", "1")]
@@ -171,7 +216,7 @@ def test_append_sink(spark, tmp_path):
     f = spark.createDataFrame([("i", 1, "a\tb", "c")], "image string, offset long, feature string, context string")
     sinks.write_append(f, path, first=True)
     sinks.write_append(f, path)
-    assert [r.value for r in spark.read.text(path).collect()] == ["1\ta\\x09b\tc"] * 2
+    assert rows(spark.read.text(path)) == [("1\ta\\x09b\tc", "i")] * 2
     with pytest.raises(Exception):
         sinks.write_append(f, path, first=True)
 
