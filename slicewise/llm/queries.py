@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, brown, extraction, jaccard, language_id, mixing, neighbours, piece_counts, rules, warc
+from .oracles import ORACLES as ORACLES
 from .tables import documents
 
 
@@ -98,4 +99,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
