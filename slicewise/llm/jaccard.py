@@ -39,11 +39,11 @@ WORDS, PERCENT = 4, 85
 #: shingles in the list of frequent ones
 FREQUENT = 1 << 17
 #: groups of a shingle that its other groups are matched with first, and the orders they are least in
-HUBS = 8
+HUBS, TRIES = 4, 6
 ORDERS = [k * 0x0F1BBCDCBFA53E0B % (1 << 63) for k in range(HUBS)]
-#: 64-bit numbers of a parity map, and their columns
-MAPS = 4
-BITS = [f"b{k}" for k in range(MAPS)]
+#: 64-bit numbers of a parity map; they are folded into FOLDS of them, in columns, where pairs are looked for
+MAPS, FOLDS = 16, 4
+BITS = [f"b{k}" for k in range(FOLDS)]
 #: shingles a task looks at together when it counts repetitions
 HELD = 6 << 20
 #: bits of the filter that tells which sets are needed
@@ -97,7 +97,8 @@ def digests(values: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
 def parity_maps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """MAPS 64-bit numbers for each row: a bit is set if an odd number of its shingles fall on it.
 
-    The bits in which two maps differ are at most as many as the shingles that only one of the sets has.
+    The bits in which two maps differ are at most as many as the shingles that only one of the sets has. That also
+    holds for maps that are folded by exclusive or.
     """
     width, rows = 64 * MAPS, len(starts) - 1
     row = np.repeat(np.arange(rows), np.diff(starts))
@@ -172,9 +173,9 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, text: str, words: int, percent: int, last: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """(v, n, g, cold, hot, BITS): the sets of a task, each once, with the shingles of their prefixes.
+    """(v, n, g, cold, hot, map, BITS): the sets of a task, each once, with the shingles of their prefixes.
 
-    g names the group: all sets of one size with one prefix. BITS are the set's parity map.
+    g names the group: all sets of one size with one prefix. `map` is the set's parity map, BITS the folded one.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((last, weight))
 
@@ -202,11 +203,12 @@ def prefixes(docs: DataFrame, text: str, words: int, percent: int, last: np.ndar
                     g = arrays.mixed(digests(first, ends, 2).view(np.uint64) + n.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([names[k] for k in chosen], pa.int64()), pa.array(n, pa.int32()), pa.array(g), cold, hot,
-                     *[pa.array(maps[:, k]) for k in range(MAPS)]],
-                    ["v", "n", "g", "cold", "hot", *BITS],
+                     pa.array(list(maps), pa.list_(pa.int64())),
+                     *[pa.array(np.bitwise_xor.reduce(maps[:, k::FOLDS], axis=1)) for k in range(FOLDS)]],
+                    ["v", "n", "g", "cold", "hot", "map", *BITS],
                 )
 
-    schema = "v bigint, n int, g bigint, cold array<bigint>, hot array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS)
+    schema = "v bigint, n int, g bigint, cold array<bigint>, hot array<bigint>, map array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS)
     return docs.select(text).mapInArrow(run, schema)
 
 
@@ -242,9 +244,20 @@ def wanted_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> Da
     return docs.select(text).mapInArrow(run, "v bigint, shingles array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Each set is dealt out once, and once more for each of its pairs."""
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+def verified(pairs: DataFrame, maps: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
+
+    `maps` (v, n, map) rules out most others before any set is moved. Then each set is dealt out once, and one of the
+    two once more for each pair.
+    """
+    left = maps.select(F.col("v").alias("a"), "n", "map")
+    right = maps.select(F.col("v").alias("b"), F.col("n").alias("n2"), F.col("map").alias("map2"))
+    near = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+    apart = F.aggregate(
+        F.zip_with("map", "map2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("int"), lambda s, x: s + x
+    )
+    near = near.where((100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("n") + F.col("n2")).cast("long"))
+    pairs = stored(near.select("a", "b"), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     # equal sets of different tasks meet here; the exchange serves both sides
     sets = wanted_sets(docs, text, words, ends).repartition("v").dropDuplicates(["v"])
@@ -268,24 +281,25 @@ def link_classes(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
     rows = stored(prefixes(docs, text, words, percent, last, weight), "prefixes")
     members = stored(rows.select("v", "n", "g").distinct(), "members")
     firsts = members.groupBy("g").agg(F.min("v").alias("first"))
-    cold = rows.select(F.explode("cold").alias("shingle"), "g", "n", F.lit(False).alias("hot"))
-    warm = rows.where(F.size("hot") > 0).select(F.explode("hot").alias("shingle"), "g", "n", F.lit(True).alias("hot"))
-
-    def matched(entries: DataFrame, small: bool) -> DataFrame:
-        """Entries of the shingles that two groups share."""
-        met = entries.groupBy("shingle").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("shingle")
-        return entries.join(F.broadcast(met) if small else met, "shingle")
-
-    # a rare shingle is dealt out once, for both its count and its matches; frequent ones are at most FREQUENT
-    shared = matched(cold.repartition("shingle"), False).unionByName(matched(warm, True)).distinct()
-    shared = stored(shared, "shared")
+    maps = rows.select("v", "n", "map").dropDuplicates(["v"])
+    cold = rows.select(F.posexplode("cold").alias("at", "shingle"), "g")
+    warm = rows.where(F.size("hot") > 0).select(F.size("cold").alias("c"), F.posexplode("hot").alias("at", "shingle"), "g")
+    warm = warm.select((F.col("at") + F.col("c")).alias("at"), "shingle", "g")
+    # the shingles that two groups share: rare ones are dealt out once; frequent ones are at most FREQUENT, so their
+    # list is joined where they are read
+    of = W.partitionBy("shingle")
+    cold = cold.withColumn("low", F.min("g").over(of)).withColumn("high", F.max("g").over(of)).where("low != high")
+    met = warm.groupBy("shingle").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high")
+    warm = warm.join(F.broadcast(met.select("shingle")), "shingle")
+    columns = ["shingle", "g", "at"]
+    shared = stored(cold.select(*columns).unionByName(warm.select(*columns)).distinct(), "shared")
     # a group whose prefix reaches the frequent shingles has all its rare ones in the prefix; so it cannot have those
     # rare shingles of another group that no other prefix has: at most m of that group's n are in both
     has = rows.groupBy("g").agg(
         F.min("n").alias("n"), F.min(F.size("cold")).alias("c"), F.min(F.size("hot")).alias("w"),
         (F.min("v") == F.max("v")).alias("single"), *[F.min(b).alias(b) for b in BITS],
     )
-    met = shared.groupBy("g").agg(F.count(F.when(~F.col("hot"), 1)).alias("k"))
+    met = shared.join(has.select("g", "c"), "g").groupBy("g").agg(F.count(F.when(F.col("at") < F.col("c"), 1)).alias("k"))
     own = [F.when(F.col("single"), F.col(b)).alias(b) for b in BITS]
     bounds = has.join(met, "g").select("g", "n", (F.col("w") > 0).alias("all_rare"), (F.col("n") - (F.col("c") - F.col("k"))).alias("m"), *own)
     bounds = stored(bounds, "bounds")
@@ -301,43 +315,53 @@ def link_classes(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
         differ = F.coalesce(apart, F.lit(0)).cast("long")
         return (100 * most >= percent * (total - most)) & ((100 + percent) * differ <= (100 - percent) * total)
 
-    cells = shared.select("shingle", "g").join(bounds, "g")
     # hubs of a shingle: the least groups in HUBS different orders
+    dealt = shared.select("shingle", "g").repartition("shingle")
     hubs = [F.min(F.col("g").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"h{k}") for k, c in enumerate(ORDERS)]
-    hubs = shared.groupBy("shingle").agg(*hubs).select("shingle", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs"))
-    stars = shared.select("shingle", "g").join(hubs, "shingle").withColumn("hub", F.explode("hubs")).where(F.col("g") != F.col("hub"))
-    stars = stars.groupBy("g", "hub").agg(F.count("*").alias("k")).join(bounds, "g")
+    hubs = dealt.groupBy("shingle").agg(F.count("*").alias("df"), *hubs)
+    hubs = hubs.select(F.col("shingle").alias("s"), (F.col("df") > 2).alias("more"), F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs"))
+    stars = dealt.join(hubs, F.col("shingle") == F.col("s")).select("g", "more", F.explode("hubs").alias("hub"))
+    # pairs that only shingles of two groups give are all tried; of the others, those of each group that share most
+    stars = stars.where("g != hub").select("g", "hub", "more").groupBy("g", "hub").agg(
+        F.count("*").alias("k"), F.min("more").alias("more")
+    )
+    best = F.row_number().over(W.partitionBy("g", "more").orderBy(F.desc("k"), "hub"))
+    stars = stars.withColumn("r", best).where((F.col("r") <= TRIES) | ~F.col("more")).select("g", "hub").join(bounds, "g")
     stars = stars.join(bounds.select("g", *facts).toDF("hub", *theirs), "hub").where(fits())
-    best = F.row_number().over(W.partitionBy("g").orderBy(F.desc("k"), "hub"))
-    stars = stars.withColumn("r", best).where(F.col("r") <= HUBS)
     # each member meets the first members of the hubs that its group shares most with, and of its own group
     stars = stars.select("g", F.col("hub").alias("h")).join(firsts.withColumnRenamed("g", "h"), "h").select("g", "first")
     tried = ordered(members.join(stars, "g"), "v", "first").unionByName(ordered(members.join(firsts, "g"), "v", "first"))
-    links = stored(verified(tried, docs, text, words, percent), "links")
+    links = stored(verified(tried, maps, docs, text, words, percent), "links")
     labels = components(links)
 
-    # what is left: members in different components whose groups share a shingle
+    # what is left: members in different components whose groups share a shingle with further groups
     label = F.coalesce("label", F.col("v"))
     placed = stored(members.join(labels, "v", "left").select("v", "n", "g", label.alias("label")), "placed")
-    state = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    wide = cells.join(state, "g")
-    mixed = wide.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("shingle")
-    every = stored(wide.join(mixed, "shingle"), "mixed")
+    several = (F.count("*") > 1).alias("several")
+    state = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), several)
+    wide = shared.join(state, "g")
+    mixed = wide.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h"), (F.count("*") > 2).alias("more"), F.max("several").alias("several"))
+    mixed = mixed.where("l != h and (more or several)").select("shingle")
+    every = stored(wide.drop("several").join(mixed, "shingle").join(bounds, "g"), "mixed")
     # one of any two components is not the shingle's largest one, so only groups outside that one look for partners
     largest = every.groupBy("shingle", "low").agg(F.count("*").alias("k"))
     largest = largest.groupBy("shingle").agg(F.max(F.struct("k", "low")).alias("top")).select("shingle", "top.low")
     largest = largest.withColumnRenamed("low", "top")
     outside = every.join(largest, "shingle").where("low != high or low != top")
-    other = every.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("g", *facts, "low", "high")])
+    other = every.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("g", "at", *facts, "low", "high")])
     apart = (F.col("low") != F.col("low2")) | (F.col("high") != F.col("high2")) | (F.col("low") != F.col("high"))
-    pairs = outside.join(other, "shingle").where((F.col("g") != F.col("g2")) & fits() & apart)
+    # if this is the first shingle that both have, they share no more than what comes from it on; where it is not the
+    # first, the first one gives the pair
+    left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")).cast("long")
+    first = (100 + percent) * left >= percent * (F.col("n") + F.col("n2"))
+    pairs = outside.join(other, "shingle").where((F.col("g") != F.col("g2")) & first & fits() & apart)
     pairs = ordered(pairs, "g", "g2").distinct().toDF("g", "g2")
     pairs = pairs.unionByName(state.where("low != high").select("g", F.col("g").alias("g2")))
     one = placed.select(F.col("v").alias("a"), "g", F.col("label").alias("la"))
     two = placed.select(F.col("v").alias("b"), F.col("g").alias("g2"), F.col("label").alias("lb"))
     rest = ordered(pairs.join(one, "g").join(two, "g2").where("la != lb"), "a", "b")
     rest = rest.join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(verified(rest, docs, text, words, percent))
+    return links.unionByName(verified(rest, maps, docs, text, words, percent))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT):
