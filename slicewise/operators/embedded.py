@@ -1,19 +1,22 @@
 """Buffers packed inside images: found by signature, unpacked and scanned again.
 
 Each round takes the slices of one depth. Signatures are found by expressions; the stream behind
-each is unpacked in Arrow batches, first from the bytes at hand, then, for the few streams that
-go on, from the following slices, asking for eight times as many bytes each time.
+each is unpacked in Arrow batches, first from the bytes at hand. The few streams that go on are
+fed from the following slices, in order and slice by slice, over eight times as many bytes in each
+pass. No row ever holds more than a slice and no stream is too long: what is unpacked leaves the
+task as slices while the stream is read. A stream that is damaged or cut off by the end of its
+image gives what came before that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import stored
 from .boundary import MARGIN, id_columns, windows
 from .scanners import found_by_pattern, scan_email
 
@@ -26,8 +29,8 @@ SIGNATURES = {
 MAX_DEPTH = 7
 
 SLICE_BYTES = 65536
-#: a stream that has not ended after this many bytes stops the job
-STREAM_BYTES = 1 << 30
+#: bytes given to a decoder at once, and in its second try where these hold a fault
+FEED_BYTES, CAREFUL_BYTES = 4096, 64
 
 _HIT = ["kind", "at"]
 
@@ -60,129 +63,204 @@ def find_streams(slices: DataFrame) -> DataFrame:
     )
 
 
-def _unpack(kind: str, packed: bytes) -> tuple[str, bytes]:
-    """("done" | "more" | "bad", content) of one stream that begins at the first byte."""
-    import zlib
-
-    window = {"gzip": 31, "zlib": 15, "zip": -15}[kind]
-    start = 0
-    if kind == "zip":
-        if len(packed) < 30:
-            return "more", b""
-        if int.from_bytes(packed[8:10], "little") != zlib.DEFLATED:
-            return "bad", b""
-        start = 30 + int.from_bytes(packed[26:28], "little") + int.from_bytes(packed[28:30], "little")
-    decoder = zlib.decompressobj(window)
-    try:
-        content = decoder.decompress(packed[start:])
-    except zlib.error:
-        return "bad", b""
-    return ("done", content) if decoder.eof else ("more", b"")
-
-
-def _unpacked(streams: DataFrame) -> DataFrame:
-    """(ids, kind, at, state, content slices) of `streams`; bad streams give no row."""
-    keep = [c for c in streams.columns if c != "packed"]
-    schema = T.StructType(
-        [streams.schema[c] for c in keep]
-        + [
-            T.StructField("state", T.StringType()),
-            T.StructField("offset", T.LongType()),
-            T.StructField("data", T.BinaryType()),
-            T.StructField("before", T.BinaryType()),
-            T.StructField("after", T.BinaryType()),
-        ]
-    )
+class Stream:
+    """One packed stream, fed in order; its content comes out in pieces of at most SLICE_BYTES.
+
+    `state` is "more" until the stream ends ("done"), holds a fault ("bad") or turns out to be a
+    zip member that is not deflated ("stored", whose bytes the plain scan sees).
+    """
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for record in frame.to_dict("records"):
-                state, content = _unpack(record["kind"], record["packed"])
-                head = [record[c] for c in keep]
-                if state == "more":
-                    rows.append([*head, state, None, None, None, None])
-                if state == "done":
-                    for o in range(0, len(content), SLICE_BYTES):
-                        end = o + SLICE_BYTES
-                        rows.append(
-                            [*head, state, o, content[o:end], content[max(0, o - MARGIN) : o], content[end : end + MARGIN]]
-                        )
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
-
-    return streams.mapInPandas(run, schema)
-
-
-def _gather(hits: DataFrame, slices: DataFrame, ids: list[str], width: int, size: int) -> DataFrame:
-    """`packed` for each hit out of the slices that cover `width` bytes from it."""
+    def __init__(self, kind: str):
+        import zlib
+
+        self.kind, self.state, self.head, self.ready = kind, "more", b"", kind != "zip"
+        self.decoder = zlib.decompressobj({"gzip": 31, "zlib": 15, "zip": -15}[kind])
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        if not self.ready:
+            data = self.head = self.head + data
+            if len(data) < 30:
+                return
+            if int.from_bytes(data[8:10], "little") != 8:
+                self.state = "stored"
+                return
+            start = 30 + int.from_bytes(data[26:28], "little") + int.from_bytes(data[28:30], "little")
+            if len(data) < start:
+                return
+            data, self.head, self.ready = data[start:], b"", True
+        for at in range(0, len(data), FEED_BYTES):
+            if self.state != "more":
+                return
+            yield from self.careful(data[at : at + FEED_BYTES])
+
+    def careful(self, data: bytes) -> Iterator[bytes]:
+        """Decode; where that fails, once more from before it in small steps up to the fault."""
+        import zlib
+
+        before = self.decoder.copy()
+        try:
+            out = list(self.decoded(data))
+        except zlib.error:
+            self.decoder, out = before, []
+            try:
+                for at in range(0, len(data), CAREFUL_BYTES):
+                    for piece in self.decoded(data[at : at + CAREFUL_BYTES]):
+                        out.append(piece)
+            except zlib.error:
+                self.state = "bad"
+        yield from out
+
+    def decoded(self, data: bytes) -> Iterator[bytes]:
+        while True:
+            out = self.decoder.decompress(data, SLICE_BYTES)
+            data = self.decoder.unconsumed_tail
+            if out:
+                yield out
+            if self.decoder.eof:
+                self.state = "done"
+                return
+            if not data and len(out) < SLICE_BYTES:
+                return
+
+
+class Slicer:
+    """Pieces of any size to slices of SLICE_BYTES with MARGIN bytes of context on each side."""
+
+    def __init__(self):
+        self.before, self.buffer, self.offset = b"", b"", 0
+
+    def put(self, piece: bytes) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        self.buffer += piece
+        while len(self.buffer) >= SLICE_BYTES + MARGIN:
+            yield self.cut()
+
+    def rest(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        while self.buffer:
+            yield self.cut()
+
+    def cut(self) -> tuple[int, bytes, bytes, bytes]:
+        data, self.buffer = self.buffer[:SLICE_BYTES], self.buffer[SLICE_BYTES:]
+        row = (self.offset, data, self.before, self.buffer[:MARGIN])
+        self.before, self.offset = data[-MARGIN:], self.offset + len(data)
+        return row
+
+
+def _unpacked(pieces: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, kind, at, state, offset, data, before, after) of streams given as (ids, kind, at, from, packed).
+
+    The pieces of a stream lie in one partition, in order. Its content comes as slices without a
+    state, then one row with its state.
+    """
+    keys = [*ids, *_HIT]
+    fields = [pieces.schema[c] for c in keys] + [T.StructField("state", T.StringType()), T.StructField("offset", T.LongType())]
+    schema = T.StructType(fields + [T.StructField(c, T.BinaryType()) for c in ("data", "before", "after")])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target, rows = to_arrow_schema(schema), []
+
+        def batch():
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), target)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=target)
+
+        key = stream = slicer = None
+        for part in batches:
+            columns = [part.column(k) for k in range(part.num_columns)]
+            for n in range(part.num_rows):
+                this = tuple(c[n].as_py() for c in columns[: len(keys)])
+                if this != key:
+                    if key is not None:
+                        rows += [(*key, None, *r) for r in slicer.rest()] + [(*key, stream.state, None, None, None, None)]
+                    key, stream, slicer = this, Stream(this[-2]), Slicer()
+                start, data = columns[-2][n].as_py(), columns[-1][n].as_buffer()
+                for piece in stream.feed(bytes(memoryview(data)[max(0, key[-1] - start) :])):
+                    rows += [(*key, None, *r) for r in slicer.put(piece)]
+                    if len(rows) >= 64:
+                        yield batch()
+        if key is not None:
+            rows += [(*key, None, *r) for r in slicer.rest()] + [(*key, stream.state, None, None, None, None)]
+        if rows:
+            yield batch()
+
+    return pieces.select(*keys, "from", "packed").mapInArrow(run, schema)
+
+
+def _following(hits: DataFrame, slices: DataFrame, ids: list[str], width: int, size: int) -> DataFrame:
+    """The slices that cover `width` bytes from each hit, in order, a hit's slices in one partition."""
     unit = F.lit(size).cast("long")
     first = F.call_function("div", F.col("at"), unit)
     last = F.call_function("div", F.col("at") + width - 1, unit)
     wanted = hits.select(*ids, *_HIT, F.explode(F.sequence(first, last)).alias("range"))
-    parts = slices.select(*ids, F.call_function("div", F.col("offset"), unit).alias("range"), "offset", "data")
-    joined = wanted.join(parts, [*ids, "range"]).groupBy(*ids, *_HIT).agg(
-        F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("parts")
-    )
-    content = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["data"]))
-    whole = joined.select(*ids, *_HIT, F.get("parts", F.lit(0))["offset"].alias("start"), content.alias("content"))
-    return whole.select(*ids, *_HIT, F.expr("substring(content, cast(at - start as int) + 1)").alias("packed"))
+    whole = F.when(F.col("offset") % unit == 0, F.call_function("div", F.col("offset"), unit))
+    place = F.coalesce(whole, F.raise_error(F.lit(f"slices must begin at multiples of {size}")).cast("long"))
+    parts = slices.select(*ids, place.alias("range"), F.col("offset").alias("from"), F.col("data").alias("packed"))
+    joined = wanted.join(parts, [*ids, "range"]).select(*ids, *_HIT, "from", "packed")
+    return joined.repartition(*ids, *_HIT).sortWithinPartitions(*ids, *_HIT, "from")
 
 
 def expand_once(slices: DataFrame, size: int = SLICE_BYTES) -> DataFrame:
     """Slices of all buffers packed directly inside `slices`, named by `recursion_prefix`.
 
-    `size` is the slice width of the input. Streams that do not end inside their image are no
-    buffers and give no rows.
+    `size` is the slice width of the input, whose slices must begin at its multiples.
     """
     if "recursion_prefix" not in slices.columns:
         slices = slices.withColumn("recursion_prefix", F.lit(""))
     ids = id_columns(slices)
-    state = cut_lineage(_unpacked(find_streams(slices)))
-    done = [state.where("state = 'done'")]
+    content = ["offset", "data", "before", "after"]
+    at_hand = find_streams(slices).withColumn("from", F.col("at"))
+    found = stored(_unpacked(at_hand, ids), "unpacked")
     ends = slices.groupBy(*ids).agg(F.max(F.col("offset") + F.length("data")).alias("end"))
+    open_hits = stored(found.where("state = 'more'").select(*ids, *_HIT).join(ends, ids), "open")
+    result = found.where("state is null").join(open_hits.select(*ids, *_HIT), [*ids, *_HIT], "left_anti")
     width = size
-    while width < STREAM_BYTES:
-        open_hits = state.where("state = 'more'").select(*ids, *_HIT)
-        if width > size:
-            # A stream that was given all bytes of its image does not end.
-            open_hits = open_hits.join(ends, ids).where(F.col("at") + width < F.col("end")).drop("end")
-        if open_hits.isEmpty():
-            break
+    while not open_hits.isEmpty():
         width *= 8
-        state = cut_lineage(_unpacked(_gather(open_hits, slices, ids, width, size)))
-        done.append(state.where("state = 'done'"))
-    else:
-        raise ValueError(f"a packed stream is longer than {STREAM_BYTES} bytes")
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
-    path = F.when(F.col("recursion_prefix") == "", F.col("at").cast("string")).otherwise(
-        F.concat_ws("-", "recursion_prefix", F.col("at").cast("string"))
-    )
-    named = F.concat(path, F.lit("-"), F.upper("kind"))
+        found = stored(_unpacked(_following(open_hits, slices, ids, width, size), ids), "unpacked")
+        # a stream that was given all bytes of its image has no more to come
+        going_on = found.where("state = 'more'").select(*ids, *_HIT).join(open_hits, [*ids, *_HIT])
+        open_hits = stored(going_on.where(F.col("at") + width < F.col("end")), "open")
+        ended = found.where("state is null").join(open_hits.select(*ids, *_HIT), [*ids, *_HIT], "left_anti")
+        result = result.unionByName(ended)
+    at = F.col("at").cast("string")
+    path = F.when(F.col("recursion_prefix") == "", at).otherwise(F.concat_ws("-", "recursion_prefix", at))
     outer = [c for c in ids if c != "recursion_prefix"]
-    return result.select(*outer, named.alias("recursion_prefix"), "offset", "data", "before", "after")
+    return result.select(*outer, F.concat(path, F.lit("-"), F.upper("kind")).alias("recursion_prefix"), *content)
 
 
-def expand_embedded(slices: DataFrame, max_depth: int = MAX_DEPTH, size: int = SLICE_BYTES) -> Iterable[DataFrame]:
-    """Slices of the packed buffers, one DataFrame per depth, until a depth has none."""
+def expand_embedded(
+    slices: DataFrame, max_depth: int = MAX_DEPTH, size: int = SLICE_BYTES, seen: DataFrame | None = None
+) -> Iterable[DataFrame]:
+    """Slices of the packed buffers, one DataFrame per depth, until a depth has none.
+
+    Slices whose digest is in `seen` are dropped, and with them what is packed inside.
+    """
     level, width = slices, size
     for _ in range(max_depth):
         level = expand_once(level, width)
+        if seen is not None:
+            level = drop_seen(level, seen)
+        level = stored(level, "level")
         if level.isEmpty():
             return
         yield level
         width = SLICE_BYTES
 
 
-def scan_recursive(slices: DataFrame, max_depth: int = MAX_DEPTH, size: int = SLICE_BYTES) -> DataFrame:
-    """E-mail features of images and of all buffers packed in them, with `recursion_prefix`."""
+def scan_recursive(
+    slices: DataFrame,
+    max_depth: int = MAX_DEPTH,
+    size: int = SLICE_BYTES,
+    scanner: Callable[[DataFrame], DataFrame] = scan_email,
+    seen: DataFrame | None = None,
+) -> DataFrame:
+    """What `scanner` finds in images and in all buffers packed in them, with `recursion_prefix`."""
     top = slices.withColumn("recursion_prefix", F.lit(""))
-    result = scan_email(top)
-    for level in expand_embedded(top, max_depth, size):
-        result = result.unionByName(scan_email(level))
+    result = scanner(top)
+    for level in expand_embedded(top, max_depth, size, seen):
+        result = result.unionByName(scanner(level))
     return result
 
 

@@ -15,13 +15,16 @@ CLIP = 65535
 def block_hashes(slices: DataFrame, size: int = BLOCK) -> DataFrame:
     """(ids, block_md5, offset) of every whole block; an incomplete block at the end has none.
 
-    Slices must start at multiples of `size`. One generator inside a code-generated stage; the
+    Slices must start at multiples of `size`, which is checked; any but the last one of an image should
+    be as wide as a multiple, or the blocks over its end are missed. One generator inside a code-generated stage; the
     slice is referenced by its rows, not copied.
     """
     ids = id_columns(slices)
+    aligned = F.when(F.col("offset") % size == 0, F.col("offset"))
+    offset = F.coalesce(aligned, F.raise_error(F.lit(f"a slice does not start at a multiple of {size}")).cast("long"))
     blocks = slices.where(F.length("data") >= size).select(
         *ids,
-        "offset",
+        offset.alias("offset"),
         "data",
         F.explode(F.expr(f"sequence(0, cast(length(data) div {size} as int) - 1)")).alias("k"),
     )

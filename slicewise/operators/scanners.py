@@ -50,8 +50,11 @@ def _fold(count: str, step: str, state: dict[str, str]) -> str:
     )
 
 
-def _emit(slices: DataFrame, found: str, needle: Column | None) -> DataFrame:
-    """Rows (ids, position, feature, context) of an expression that finds matches in `buffer`."""
+def _emit(slices: DataFrame, found: str, needle: Column | None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (extra, ids, offset, feature, context) of an expression that finds matches in `buffer`.
+
+    `extra` names further fields of a match.
+    """
     ids = id_columns(slices)
     rows = windows(slices)
     if needle is not None:
@@ -61,6 +64,7 @@ def _emit(slices: DataFrame, found: str, needle: Column | None) -> DataFrame:
         *ids, "base", "buffer", "own_from", "own_to", F.explode_outer(F.expr(found)).alias("hit")
     ).where("hit is not null")
     hits = hits.select(
+        *[F.col(f"hit.{name}").alias(name) for name in extra],
         *ids,
         (F.col("base") + F.col("hit.pos")).alias("position"),
         "own_from",
@@ -68,19 +72,15 @@ def _emit(slices: DataFrame, found: str, needle: Column | None) -> DataFrame:
         F.col("hit.feature").alias("feature"),
         context(F.col("buffer"), F.col("hit.pos"), F.length("hit.feature")).alias("context"),
     )
-    return own(hits).select(*ids, F.col("position").alias("offset"), "feature", "context")
+    return own(hits).select(*extra, *ids, F.col("position").alias("offset"), "feature", "context")
 
 
 def _has_at() -> Column:
     return F.contains(F.col("buffer"), F.lit(b"@"))
 
 
-def scan_email(slices: DataFrame, utf16: bool = True, tlds: Iterable[str] | None = None) -> DataFrame:
-    """Addresses by the lexer rule: leftmost-longest and without overlap, 8-bit or UTF-16LE.
-
-    A byte that is not a letter must follow, so an address at the very end of an image is not one.
-    A UTF-16 feature keeps its NUL bytes.
-    """
+def found_by_email(utf16: bool = True, tlds: Iterable[str] | None = None) -> str:
+    """SQL for the addresses in `buffer` by the lexer rule: array of (pos, feature), NULL if none."""
     p = LexerPatterns(utf16, tlds)
     # p: text between anchors; anchor k lies between pieces k and k + 1. State: bytes up to piece k,
     # and bytes of piece k used by the last match. The next anchor itself may be the byte behind the
@@ -105,8 +105,16 @@ def scan_email(slices: DataFrame, utf16: bool = True, tlds: Iterable[str] | None
         ),
     )
     matches = _fold("(size(p) - 1)", step, {"pos": "0L", "used": "0"})
-    found = bind(_cut(p.anchor), "p", f"if(size(p) < 2, null, {matches})")
-    return _emit(slices, found, _has_at())
+    return bind(_cut(p.anchor), "p", f"if(size(p) < 2, null, {matches})")
+
+
+def scan_email(slices: DataFrame, utf16: bool = True, tlds: Iterable[str] | None = None) -> DataFrame:
+    """Addresses by the lexer rule: leftmost-longest and without overlap, 8-bit or UTF-16LE.
+
+    A byte that is not a letter must follow, so an address at the very end of an image is not one.
+    A UTF-16 feature keeps its NUL bytes.
+    """
+    return _emit(slices, found_by_email(utf16, tlds), _has_at())
 
 
 def scan_email_anchor(
@@ -173,23 +181,22 @@ def scan_pattern(slices: DataFrame, pattern: str) -> DataFrame:
 
 
 def scan(slices: DataFrame, patterns: Mapping[str, str | None] | None = None) -> DataFrame:
-    """Matches of the selected scanners with their `artifact_class`.
+    """Matches of the selected scanners with their `artifact_class`; one pass, whatever their number.
 
     A class given as None uses the built-in rule; "email" is the only such class.
     """
-    parts = []
+    classes = []
     for name, pattern in (patterns or {"email": None}).items():
         if pattern is not None:
-            rows = scan_pattern(slices, pattern)
+            found = found_by_pattern(pattern)
         elif name == "email":
-            rows = scan_email(slices)
+            found = f"if(contains(buffer, X'40'), {found_by_email()}, null)"
         else:
             raise ValueError(f"no built-in scanner for {name!r}")
-        parts.append(rows.select(F.lit(name).alias("artifact_class"), "*"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        match = f"named_struct('artifact_class', {sql_literal(name)}, 'pos', m.pos, 'feature', m.feature)"
+        classes.append(f"transform({found}, m -> {match})")
+    every = f"flatten(filter(array({', '.join(classes)}), c -> c is not null))"
+    return _emit(slices, every, None, ("artifact_class",))
 
 
 def to_artifacts(features: DataFrame, artifact_class: str | None = None) -> DataFrame:

@@ -281,9 +281,11 @@ ORACLES: dict[str, str] = {
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "neighbour_blocks": f"""WITH {_DOCS}, {_blocks()},
         several AS (SELECT block_md5 FROM blocks GROUP BY 1 HAVING count(DISTINCT image) > 1)
-        SELECT x.block_md5, y.block_md5 AS next_md5, count(DISTINCT x.image) AS images, count(*) AS occurrences
-        FROM blocks x JOIN blocks y ON x.image = y.image AND y."offset" = x."offset" + 512
-        WHERE x.block_md5 IN (SELECT block_md5 FROM several) GROUP BY ALL""",
+        n AS (SELECT x.block_md5, y.block_md5 AS next_md5, x.block_md5 IN (SELECT block_md5 FROM several) AS block_shared,
+        y.block_md5 IN (SELECT block_md5 FROM several) AS next_shared, x.image FROM blocks x JOIN blocks y
+        ON x.image = y.image AND y."offset" = x."offset" + 512)
+        SELECT block_md5, next_md5, block_shared, next_shared, count(DISTINCT image) AS images, count(*) AS occurrences
+        FROM n WHERE block_shared OR next_shared GROUP BY ALL""",
     "top_images": f"""WITH {_DOCS}, {_words()} SELECT image, count(*) AS n FROM words WHERE artifact = '{ADDRESS_WORD}'
         GROUP BY 1 ORDER BY n DESC, image LIMIT 10""",
     "top_images_by_address": f"""WITH {_DOCS}, {_mail()}, best AS (SELECT feature FROM mail GROUP BY 1 ORDER BY count(*) DESC, feature LIMIT 1)

@@ -4,10 +4,12 @@ import os
 import zipfile
 import zlib
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from slicewise.operators import embedded
+from slicewise.operators.scanners import scan
 from slicewise.sources.files import chunk
 
 
@@ -55,12 +57,46 @@ def test_depth_is_limited_to_seven(images):
 
 def test_stream_over_many_slices(images):
     text = os.urandom(20000).hex().encode() + b" ab@c.com " + os.urandom(20000).hex().encode() + b" xy@z.org "
-    contents = {"long": b"head" + gzip.compress(text) + b"foot", "cut": b"head" + gzip.compress(text)[:-20000]}
+    contents = {"long": b"head" + gzip.compress(text) + b"foot"}
     expected = [("long", "4-GZIP-40001", "ab@c.com"), ("long", f"4-GZIP-{80000 + 11}", "xy@z.org")]
     for size in (2048, 65536):
         assert scanned(images, contents, size) == expected
 
 
+def test_what_came_before_a_fault_is_kept(images):
+    text = b"ab@c.com " + os.urandom(30000).hex().encode() + b" xy@z.org "
+    packed = gzip.compress(text)
+    damaged = packed[:-2000] + bytes(1000) + packed[-1000:]
+    contents = {"cut": packed[:-1000], "damaged": damaged, "whole": packed}
+    expected = [("cut", "0-GZIP-0", "ab@c.com"), ("damaged", "0-GZIP-0", "ab@c.com")]
+    expected += [("whole", "0-GZIP-0", "ab@c.com"), ("whole", "0-GZIP-60010", "xy@z.org")]
+    for size in (2048, 65536):
+        assert scanned(images, contents, size) == expected
+
+
+def test_long_content_leaves_in_slices(images):
+    text = b"." * 5_000_000 + b" ab@c.com "
+    assert scanned(images, {"a": gzip.compress(text)}) == [("a", "0-GZIP-5000001", "ab@c.com")]
+    level = next(iter(embedded.expand_embedded(chunk(images({"a": gzip.compress(text)}), "image", "data", 65536, 1024))))
+    assert level.agg(F.max(F.length("data"))).first()[0] == embedded.SLICE_BYTES
+    assert level.agg(F.sum(F.length("data"))).first()[0] == len(text)
+
+
+def test_any_scanner_and_seen_buffers(images, spark):
+    inner = gzip.compress(b"number 123456 here")
+    s = chunk(images({"a": b"zz" + inner, "b": b"yy" + gzip.compress(b"number 777777")}), "image", "data", 65536, 1024)
+    seen = spark.range(1).select(F.md5(F.lit("number 777777").cast("binary")).alias("digest"))
+    found = embedded.scan_recursive(s, scanner=lambda x: scan(x, {"number": "number [0-9]{6}"}), seen=seen)
+    assert rows(found.select("artifact_class", "image", "recursion_prefix", "feature")) == [("number", "a", "2-GZIP", "number 123456")]
+
+
+def test_misplaced_slices_are_an_error(images, spark):
+    packed = gzip.compress(os.urandom(9000))
+    s = chunk(images({"a": packed}), "image", "data", 2048, 0)
+    with pytest.raises(Exception, match="multiples"):
+        embedded.expand_once(s, 3000).count()
+
+
 def test_match_over_slices_of_a_buffer(images):
     text = b"." * (embedded.SLICE_BYTES - 4) + b" abcd@example.com " + b"." * 100
     assert scanned(images, {"a": gzip.compress(text)}) == [("a", f"0-GZIP-{embedded.SLICE_BYTES - 3}", "abcd@example.com")]

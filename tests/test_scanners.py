@@ -9,7 +9,7 @@ from conftest import rows
 from slicewise.functions.patterns import default_tlds
 from slicewise.operators.boundary import reslice, seams
 from slicewise.operators.scanners import scan, scan_email, scan_email_anchor, scan_pattern, to_artifacts
-from slicewise.sources.files import chunk
+from slicewise.sources.files import chunk, read_raw
 
 TLD8 = "|".join(sorted(default_tlds(), key=len, reverse=True)).encode()
 TLD16 = b"|".join(
@@ -179,3 +179,12 @@ def test_artifact_rows_keep_bytes(images):
 def test_scan_stays_in_the_jvm(images):
     plan = scan_email(chunk(images({"a": b"x"}), "image", "data"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_any_number_of_classes_reads_once(spark, tmp_path):
+    (tmp_path / "a.raw").write_bytes(b"call 12345 or ab@c.com now " * 3)
+    slices = read_raw(spark, str(tmp_path), overlap=64)
+    found = scan(slices, {"email": None, "number": "[0-9]{5}", "word": "now"})
+    assert [r.artifact_class for r in found.orderBy("offset").collect()] == ["number", "email", "word"] * 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1 and "Exchange" not in plan
