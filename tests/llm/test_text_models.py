@@ -95,7 +95,7 @@ def test_bpe_of_random_texts(vocabulary_file):
 
 
 def test_segment_tree_gives_the_leftmost_lowest_pair():
-    leaves = np.array([[5, 3, 9, 3], [7, 7, 1, bpe.NONE]]) << 3 | np.arange(4)
+    leaves = np.array([[5, 3, 9, 3], [7, 7, 1, 1000]]) << 3 | np.arange(4)
     trees = bpe.Trees(leaves.copy())
     assert (trees.root(np.arange(2)) & 7).tolist() == [1, 2]
     trees.put(np.array([0, 1]), np.array([1, 2]), np.array([bpe.NONE, bpe.NONE]))
