@@ -39,10 +39,10 @@ WORDS, PERCENT = 4, 85
 #: shingles in the list of frequent ones
 FREQUENT = 1 << 17
 #: groups of a shingle that its other groups are matched with first, and the orders they are least in
-HUBS, TRIES = 4, 6
+HUBS, TRIES = 4, 10
 ORDERS = [k * 0x0F1BBCDCBFA53E0B % (1 << 63) for k in range(HUBS)]
 #: 64-bit numbers of a parity map; they are folded into FOLDS of them, in columns, where pairs are looked for
-MAPS, FOLDS = 16, 4
+MAPS, FOLDS = 32, 4
 BITS = [f"b{k}" for k in range(FOLDS)]
 #: shingles a task looks at together when it counts repetitions
 HELD = 6 << 20
@@ -250,9 +250,12 @@ def verified(pairs: DataFrame, maps: DataFrame, docs: DataFrame, text: str, word
     `maps` (v, n, map) rules out most others before any set is moved. Then each set is dealt out once, and one of the
     two once more for each pair.
     """
+    pairs = stored(pairs.select("a", "b").distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    maps = stored(maps.join(ends, "v", "left_semi").dropDuplicates(["v"]), "maps")
     left = maps.select(F.col("v").alias("a"), "n", "map")
     right = maps.select(F.col("v").alias("b"), F.col("n").alias("n2"), F.col("map").alias("map2"))
-    near = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+    near = pairs.join(left, "a").join(right, "b")
     apart = F.aggregate(
         F.zip_with("map", "map2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("int"), lambda s, x: s + x
     )
@@ -273,15 +276,15 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def link_classes(docs: DataFrame, marks: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """(a, b): verified links between classes, enough for the components of all links."""
+def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+    """(v, label): the component of every class that has a link."""
     repeated = marks.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     listed = frequent(repeated, "times", FREQUENT).toArrow().sort_by("shingle")
     last, weight = listed.column("shingle").to_numpy(), listed.column("times").to_numpy()
     rows = stored(prefixes(docs, text, words, percent, last, weight), "prefixes")
     members = stored(rows.select("v", "n", "g").distinct(), "members")
     firsts = members.groupBy("g").agg(F.min("v").alias("first"))
-    maps = rows.select("v", "n", "map").dropDuplicates(["v"])
+    maps = rows.select("v", "n", "map")
     cold = rows.select(F.posexplode("cold").alias("at", "shingle"), "g")
     warm = rows.where(F.size("hot") > 0).select(F.size("cold").alias("c"), F.posexplode("hot").alias("at", "shingle"), "g")
     warm = warm.select((F.col("at") + F.col("c")).alias("at"), "shingle", "g")
@@ -361,15 +364,21 @@ def link_classes(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
     two = placed.select(F.col("v").alias("b"), F.col("g").alias("g2"), F.col("label").alias("lb"))
     rest = ordered(pairs.join(one, "g").join(two, "g2").where("la != lb"), "a", "b")
     rest = rest.join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(verified(rest, maps, docs, text, words, percent))
+    more = stored(verified(rest, maps, docs, text, words, percent), "links")
+    # the components of the first round, joined by the links between them
+    of = placed.select("v", "label")
+    bridges = more.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(
+        F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")
+    )
+    joined = components(bridges.distinct()).toDF("label", "whole")
+    return of.join(joined, "label", "left").select("v", F.coalesce("whole", "label").alias("label"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT):
     """(key, n_shingles, component_id) of every row: the component by its smallest id."""
     marks = stored(signatures(docs, key, text, words), "signatures")
     rows = marks.where("n is not null").select("id", "n", "v")
-    links = stored(link_classes(docs, marks, text, words, percent), "all-links")
-    labels = components(links)
+    labels = stored(class_labels(docs, marks, text, words, percent), "classes")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"))
     known = classes.join(labels, "v", "left").select("v", "least", F.coalesce("label", F.col("v")).alias("label"))
     smallest = known.groupBy("label").agg(F.min("least").alias("component_id"))
