@@ -96,9 +96,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_upper", "n_letters",
     ]
     rest = docs.drop(*names)
-    kept = [c for c in rest.columns if c not in ("_w", "_m")]
+    kept = [c for c in rest.columns if c != "_w"]
     split = rest.select(*kept, words(F.col(text)).alias("_w"))
-    return split.select(*kept, measures.alias("_m")).select(*kept, "_m.*")
+    # a generator of one row: a filter on a measurement is not moved below it, where all would be worked out once more
+    # for each measurement the filter names
+    return split.select(*kept, F.inline_outer(F.array(measures)))
 
 
 @dataclass(frozen=True)
