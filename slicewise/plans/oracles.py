@@ -280,7 +280,7 @@ ORACLES: dict[str, str] = {
     "not_ingested_images": """SELECT doc_id AS image, octet_length(encode(text)) AS length FROM documents
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "neighbour_blocks": f"""WITH {_DOCS}, {_blocks()},
-        several AS (SELECT block_md5 FROM blocks GROUP BY 1 HAVING count(DISTINCT image) > 1)
+        several AS (SELECT block_md5 FROM blocks GROUP BY 1 HAVING count(DISTINCT image) > 1),
         n AS (SELECT x.block_md5, y.block_md5 AS next_md5, x.block_md5 IN (SELECT block_md5 FROM several) AS block_shared,
         y.block_md5 IN (SELECT block_md5 FROM several) AS next_shared, x.image FROM blocks x JOIN blocks y
         ON x.image = y.image AND y."offset" = x."offset" + 512)
