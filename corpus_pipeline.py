@@ -43,15 +43,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: by slot, then by place in the block."""
+    """All documents, written near each other as the mixture has them; the last stage gives their places."""
     mixed = mixing.mix(docs, queries.MIX_EXPONENT)
     return mixed.orderBy("slot", "place").select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, and the digests of them and of the text decoded from them."""
+    """The ids of every document, the digests of them and of the text decoded from them, and its place in the mixture.
+
+    Written rows have no order of their own, so the mixture is in phase, slot and place. Places depend only on ids,
+    texts, sources and the set of documents, so they are those that the stage before sorted by.
+    """
+    mixed = mixing.mix(docs, queries.MIX_EXPONENT).drop("release", "deadline")
     with open(queries.tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
-        return bpe.encode(docs, f.read(), ids=True).drop("text")
+        return bpe.encode(mixed, f.read(), ids=True).drop("text")
 
 
 STAGES = [

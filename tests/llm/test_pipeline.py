@@ -1,5 +1,7 @@
 """The pipeline and the registered queries."""
 
+import collections
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +67,21 @@ def test_run_against_its_parts(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens").collect()
     groups = jaccard.near_copies(docs.where(F.col("doc_id").isin(*good))).collect()
     assert sorted(r.doc_id for r in found) == sorted({r.component_id for r in groups})
+
+
+def test_rows_of_a_run_say_their_place_in_the_mixture(spark, tmp_path, sf_dir):
+    other = "Ein ganz anderer Text mit vielen eigenen Worten, der zu nichts sonst passt und lang genug ist, um zu bleiben."
+    sources = ["hot"] * 400 + ["a"] * 100 + [None] * 100
+    rows = [(k, f"{other} {k} " + " ".join(f"u{k}x{j}" for j in range(30)), "de", s, 1) for k, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "phase", "slot", "place").collect()
+    assert sorted(r.doc_id for r in got) == list(range(600))
+    assert len({(r.slot, r.place) for r in got}) == 600
+    slots = {r.slot: r.source for r in got if r.phase == 0}
+    assert sorted(slots) == list(range(len(slots))) and len(slots) >= 20
+    done = collections.Counter()
+    for t in range(len(slots)):
+        done[slots[t]] += 1
+        for source, weight in {"hot": 0.5, "a": 0.25, None: 0.25}.items():
+            assert abs(done[source] - weight * (t + 1)) < 1
