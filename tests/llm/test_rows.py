@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -142,6 +143,35 @@ def test_mixture_of_all_rows(spark):
         mixing.mix(docs, {"big": 1, "small": 1, None: 0})
 
 
+def test_long_schedules_keep_to_unrounded_weights():
+    sizes = {"hot": 400_000, **{f"s{k}": 30_000 + 997 * k for k in range(20)}}
+    weights = {s: float(n) ** 0.5 for s, n in sizes.items()}
+    blocks = {s: -(-n // mixing.BLOCK) for s, n in sizes.items()}
+    total, done = sum(map(Fraction, weights.values())), collections.Counter()
+    seen, worst = 0, 0
+    for t, (s, k, phase, slot, release, deadline) in enumerate(mixing.schedule(blocks, mixing.whole_weights(weights))):
+        assert slot == t and release <= slot < deadline and k == done[s]
+        done[s] += 1
+        if phase == 0:
+            w = Fraction(weights[s]) / total
+            assert release == k / w // 1 and deadline == -(-(k + 1) / w // 1)
+            seen = t + 1
+            if t % 101 == 0:
+                worst = max(worst, *(abs(done[x] - Fraction(weights[x]) / total * seen) for x in sizes))
+    assert dict(done) == blocks and seen > 20_000 and worst < 1
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    docs = spark.range(700).selectExpr("id AS doc_id", "concat('t', id) AS text", "concat('s', id % 300) AS source")
+    got = mixing.mix(docs, 0.5, block=1).collect()
+    assert sorted(r.slot for r in got) == list(range(700)) and len({r.doc_id for r in got}) == 700
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    # sources of equal weights: each phase ends where a source does
+    many = {f"s{k}": 1 for k in range(100_000)}
+    assert sum(1 for _ in mixing.schedule(many, many)) == 100_000
+
+
 # ---- archives
 
 
