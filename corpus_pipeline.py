@@ -17,6 +17,8 @@ from slicewise.llm.tables import documents, stored
 ORACLE_SQL = None
 #: least cosine with a language for a text to count as written in it
 LEAST_SCORE = 0.2
+#: near copies: words of a shingle, and least similarity of their sets in percent
+COPY_WORDS, COPY_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
     named = docs.where(F.col("doc_id").isNotNull())
-    found = jaccard.near_copies(named.select("doc_id", "text"))
+    found = jaccard.near_copies(named.select("doc_id", "text"), words=COPY_WORDS, percent=COPY_PERCENT)
     chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     kept = named.join(chosen, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")

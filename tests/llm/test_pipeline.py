@@ -1,6 +1,7 @@
 """The pipeline and the registered queries."""
 
 import collections
+import itertools
 
 import duckdb
 import pytest
@@ -85,3 +86,25 @@ def test_rows_of_a_run_say_their_place_in_the_mixture(spark, tmp_path, sf_dir):
         done[slots[t]] += 1
         for source, weight in {"hot": 0.5, "a": 0.25, None: 0.25}.items():
             assert abs(done[source] - weight * (t + 1)) < 1
+
+
+def test_near_copies_of_five_words_and_four_fifths(spark, sf_dir):
+    def texts(n, changed):
+        base = [f"w{n}x{k}" for k in range(84)]
+        return [" ".join(base), " ".join([*base[:-changed], *[f"v{n}x{k}" for k in range(changed)]])]
+
+    rows = [(2 * n + j, t) for n, changed in enumerate([1, 4, 7, 8, 9, 10, 20]) for j, t in enumerate(texts(n, changed))]
+    # changes inside a text: five words take five shingles of five words each
+    rows += [(100 + k, " ".join(f"z{j if (j + 3) % 42 or not k else -j}" for j in range(84))) for k in range(2)]
+    sets = {}
+    for i, text in rows:
+        words = text.split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    gone = set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            gone.add(b)
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_copies(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(sets) - gone) and {1, 3, 5, 7} <= gone
+    assert not {11, 13} & gone
