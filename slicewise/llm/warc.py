@@ -14,7 +14,7 @@ not among them, whatever it looks like. A chain must end at the end of its file,
 Each task hashes the payload of its candidates as it reads them, so no payload is ever moved; it may read on past its
 range's end, in pieces of READ bytes. An archive folder is any path that pyarrow's file systems know.
 
-Defined results: a null page is an empty payload; pages of equal payload and id are records of their own; a null id
+Defined results: a null page is an empty payload; an url may have any length, as a header is read to its empty line; pages of equal payload and id are records of their own; a null id
 is written as an empty one, sorts below all others and comes back as null; an empty table gives an archive without
 records.
 """
@@ -36,7 +36,7 @@ from .tables import stored
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: bytes of a range, and bytes that are read at once
 RANGE, READ = 4 << 20, 1 << 20
-#: bytes that a header may take
+#: bytes of a header that are read first; a longer one is read on to its end
 HEADER = 1 << 16
 # The alphabet of base 32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -136,6 +136,15 @@ def candidates(spark: SparkSession, folder: str, span: int = RANGE) -> DataFrame
             f.seek(low)
             return f.read(min(n, size - low))
 
+        def header(place: int) -> bytes:
+            """The bytes from `place` to an empty line, or else to a line that is no field or the file's end."""
+            data = at(place, HEADER)
+            while END not in data and place + len(data) < size:
+                if any(b":" not in line for line in data[len(MAGIC) :].split(b"\r\n")[:-1]):
+                    break
+                data += at(place + len(data), len(data))
+            return data
+
         position = start
         while position < stop:
             end = min(position + READ, stop)
@@ -146,7 +155,7 @@ def candidates(spark: SparkSession, folder: str, span: int = RANGE) -> DataFrame
             for place in found:
                 if not position <= place < end or (place and data[place - low - 1 : place - low] != b"\n"):
                     continue
-                parsed = parse_header(at(place, HEADER))
+                parsed = parse_header(header(place))
                 if parsed is None:
                     continue
                 fields, head = parsed

@@ -217,6 +217,19 @@ def test_chain_rejects_magic_inside_payloads_at_any_range(spark, tmp_path):
         warc.read(spark, str(tmp_path))
 
 
+def test_archive_with_long_urls(spark):
+    trap = "x\nWARC/1.1\r\nWARC-Type: response\r\nX: " + "y" * 200_000 + "\r\nContent-Length: 3\r\n"
+    urls = ["u", "data:," + "a" * 100_000, "data:," + "é:" * 400_000, "data:," + "b" * (1 << 16), "v", None]
+    pages = [(i, url, f"page {i}") for i, url in enumerate(urls)] + [(90, "w" * 99_999, trap), (91, "x", "page 1")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.round_trip(df).collect()}
+    assert got == {i: (len(html), "revisit" if i == 1 else "response") for i, _, html in pages}
+    folder = warc.new_folder(spark, "long-urls")
+    warc.write(df, folder)
+    for span in (1 << 15, warc.RANGE):
+        assert sorted(r.uri for r in warc.read(spark, folder, span).collect()) == sorted(url or "" for _, url, _ in pages)
+
+
 # ---- neighbours
 
 
