@@ -13,10 +13,20 @@ from . import arrays
 # Names of elements by what they do to the text around them.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr "
+    # a formula is part of its sentence; what stands in for an object is part of the text around it
+    "object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup "
+    "msubsup munder mover munderover mmultiscripts mprescripts semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "object", "math")
+RAW = ("script", "style", "template")
+HIDDEN = frozenset({"svg", "noscript", "iframe"})
+# elements that end a drawing when they begin in it, and those that may hold them there
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+IN_SVG = frozenset({"foreignobject", "desc", "title"})
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr main menu nav ol p pre section table ul".split()
@@ -33,7 +43,7 @@ SIBLINGS = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    + "".join(rf"|<{name}\b[^>]*>.*?(?:</{name}\s*>|\Z)" for name in RAW)
+    + "".join(rf"|<{name}(?=[\s/>])[^>]*>.*?(?:</{name}\s*>|\Z)" for name in RAW)
     + r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+|<)""",
     re.S | re.I,
 )
@@ -55,11 +65,13 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
 
     A path is a tuple of (element, words of its class, id and role), from the outermost element on. Character
     references are decoded, runs of white space are one space. Text between tags belongs to one block until an
-    element that is not inline begins or ends.
+    element that is not inline begins or ends. The text of scripts, styles and templates is left out up to their
+    close tag, that of HIDDEN elements up to their close tag or where what they stand in ends.
     """
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    hidden: list[str] = []  # a HIDDEN element that is open, and what is open in it
     linked = in_link = 0
 
     def flush() -> None:
@@ -81,7 +93,29 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             if stack[k][0] in until:
                 return
 
+    def ends_hidden(name: str, closes: bool) -> bool:
+        """Whether a tag that is not the hidden element's own shows that it has ended."""
+        if closes:
+            return name in INLINE or any(name == n for n, _ in stack)
+        if hidden[0] == "svg" and name in ENDS_SVG and IN_SVG.isdisjoint(hidden):
+            return True
+        ends, until = SIBLINGS.get(name, ((), ()))
+        return any(n in ends for n, _ in stack) and not any(n in ends or n in until for n in hidden)
+
     for token in _TOKEN.finditer(page):
+        if hidden:
+            name = (token.group(2) or "").lower()
+            closes = bool(token.group(1))
+            if not name:
+                continue
+            if closes and name in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                continue
+            if not ends_hidden(name, closes):
+                if not closes and name not in VOID and not token.group(3).rstrip().endswith("/"):
+                    hidden.append(name)
+                continue
+            hidden.clear()
         text = token.group(4)
         if text is not None:
             parts.append(text)
@@ -100,6 +134,10 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
                 parts.append(" " if name == "br" else "")
             continue
         flush()
+        if name in HIDDEN and not token.group(1):
+            if not token.group(3).rstrip().endswith("/"):
+                hidden.append(name)
+            continue
         in_link = 0
         if token.group(1):
             close({name})

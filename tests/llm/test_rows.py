@@ -289,6 +289,24 @@ def test_blocks_of_broken_markup():
     assert html_blocks.blocks("") == [] and html_blocks.attribute_words(' class="postBody main-text"') == ("post", "body", "main", "text")
 
 
+def test_text_after_embedded_elements_is_kept():
+    def texts(page):
+        return [t for t, _, _ in html_blocks.blocks(page)]
+
+    for icon in (
+        "<svg class=i />", "<svg/>", "<svg-icon name=x></svg-icon>", "<svg><path d=M0 /><text>no</text></svg>",
+        "<svg><g><g>no</g></g></svg>", "<svg><foreignObject><p>no</p></foreignObject></svg>", "<svg><path>",
+        "<div><svg><path>no</div>", "<div><noscript>no</div>", "<span><iframe src=x>no</span>", "<iframe src=x />",
+        "<noscript><p>no</p></noscript>", "<script>'<p>no</p>'</script>", "<template><p>no</p></template>",
+        "<style/>no</style>", "<style-guide></style-guide>", "<script-x></script-x>",
+    ):
+        assert texts(f"<body><p>a</p>{icon}<p>b</p></body>") == ["a", "b"], icon
+    assert texts("<ul><li>a<noscript>no<li>b</ul><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <math/>here</p>") == ["so x=2 holds here"]
+    assert texts("<article><object data=f><p>instead</p></object><p>b</p></article>") == ["instead", "b"]
+    assert texts("<p>a</p><script>x<p>no</p>") == ["a"]
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(0)
     model = Labeller(5, 3, 1)
