@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, extraction, jaccard, language_id, mixing, neighbours, piece_counts, rules, warc
+from . import (
+    bpe, brown, collocations, extraction, hard_negatives, jaccard, language_id, minhash, mixing, neighbours, piece_counts,
+    rules, warc,
+)
 from .oracles import ORACLES as ORACLES
 from .tables import documents
 
@@ -87,6 +90,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 5-word shingles with a similarity of 0.85 or more."""
+    return minhash.near_dedup(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five positives of every vector whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = documents(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_scores": op1_brown_scores,
     "op2_mixing": op2_mixing,
@@ -98,4 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language": op9_language,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_collocations": op11_collocations,
+    "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
