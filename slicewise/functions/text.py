@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .patterns import ANCHOR_DOMAIN, ANCHOR_LOCAL, address_class, default_tlds
 
 
+#: bytes shown on either side of a match
+CONTEXT = 16
+
+
 def sql_literal(text: str) -> str:
     """A raw SQL string literal; the patterns of this package hold no single quote."""
     if "'" in text:
@@ -45,7 +49,7 @@ def escape(text: Column) -> Column:
     return F.when(text.rlike(r"\A[ -\[\]-~]*\z"), text).otherwise(escaped)
 
 
-def context(data: Column, position: Column, length: Column, pad: int = 16) -> Column:
+def context(data: Column, position: Column, length: Column, pad: int = CONTEXT) -> Column:
     """Latin-1 text of a match with up to `pad` bytes on either side, cut at the buffer ends."""
     start = F.greatest(position - pad, F.lit(0).cast("long"))
     stop = F.least(position + length + pad, F.length(data).cast("long"))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import ANCHOR_DOMAIN, ANCHOR_LOCAL, AnchorPatterns, LexerPatterns
 from ..functions.text import bind, context, latin1_bytes, narrow16, sql_literal
-from .boundary import id_columns, own, windows
+from .boundary import MARGIN, id_columns, own, windows
+from .stitching import Within, runs, settled
 
 _FOUND = "array<struct<pos:bigint,feature:string>>"
 #: matches collected before they are joined with those found earlier
@@ -53,7 +54,8 @@ def _fold(count: str, step: str, state: dict[str, str]) -> str:
 def _emit(slices: DataFrame, found: str, needle: Column | None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Rows (extra, ids, offset, feature, context) of an expression that finds matches in `buffer`.
 
-    `extra` names further fields of a match.
+    `extra` names further fields of a match. A match that reaches the end of a slice's context, beyond which the image
+    goes on, may be longer than that and is an error; `Within` is for such.
     """
     ids = id_columns(slices)
     rows = windows(slices)
@@ -63,13 +65,22 @@ def _emit(slices: DataFrame, found: str, needle: Column | None, extra: tuple[str
     hits = rows.select(
         *ids, "base", "buffer", "own_from", "own_to", F.explode_outer(F.expr(found)).alias("hit")
     ).where("hit is not null")
+    feature = F.col("hit.feature")
+    if "before" in slices.columns:
+        reached = F.col("hit.pos") + F.length(feature) == F.length("buffer")
+        ours = F.col("base") + F.col("hit.pos") < F.col("own_to")
+        ahead, behind = F.col("own_from") - F.col("base"), F.col("base") + F.length("buffer") - F.col("own_to")
+        # a context as wide as the one before the slice, or as wide as usual, is not the end of the image
+        full = (behind > 0) & (behind >= F.when(ahead > 0, ahead).otherwise(F.lit(MARGIN)))
+        cut = F.raise_error(F.lit("a match is longer than the context around its slice: scan its class with Within"))
+        feature = F.when(reached & full & ours, cut.cast("string")).otherwise(feature)
     hits = hits.select(
         *[F.col(f"hit.{name}").alias(name) for name in extra],
         *ids,
         (F.col("base") + F.col("hit.pos")).alias("position"),
         "own_from",
         "own_to",
-        F.col("hit.feature").alias("feature"),
+        feature.alias("feature"),
         context(F.col("buffer"), F.col("hit.pos"), F.length("hit.feature")).alias("context"),
     )
     return own(hits).select(*extra, *ids, F.col("position").alias("offset"), "feature", "context")
@@ -171,23 +182,32 @@ def found_by_pattern(pattern: str) -> str:
     )
 
 
-def scan_pattern(slices: DataFrame, pattern: str) -> DataFrame:
+def scan_pattern(slices: DataFrame, pattern: str | Within) -> DataFrame:
     """Matches of any regular expression over the Latin-1 text, leftmost and without overlap.
 
-    A match may be as long as the context around the slices. The pattern must not match the empty
-    text.
+    A match may be as long as the context around the slices (a longer one is an error), or of any length where the
+    pattern is given as `Within`. The pattern must not match the empty text.
     """
+    if isinstance(pattern, Within):
+        return scan(slices, {"": pattern}).drop("artifact_class")
     return _emit(slices, found_by_pattern(pattern), None)
 
 
-def scan(slices: DataFrame, patterns: Mapping[str, str | None] | None = None) -> DataFrame:
+def scan(slices: DataFrame, patterns: Mapping[str, str | Within | None] | None = None) -> DataFrame:
     """Matches of the selected scanners with their `artifact_class`; one pass, whatever their number.
 
-    A class given as None uses the built-in rule; "email" is the only such class.
+    A class given as None uses the built-in rule; "email" is the only such class. A class given as `Within` has matches
+    of any length: what reaches the edges of a slice is stitched together, from a second, light pass over the slices.
     """
+    patterns = patterns or {"email": None}
+    rules = {name: p for name, p in patterns.items() if isinstance(p, Within)}
+    if rules and "own_from" in slices.columns:
+        raise ValueError("seams and Within both join slices: give the slices themselves")
     classes = []
-    for name, pattern in (patterns or {"email": None}).items():
-        if pattern is not None:
+    for name, pattern in patterns.items():
+        if isinstance(pattern, Within):
+            found = settled(found_by_pattern(pattern.pattern), pattern)
+        elif pattern is not None:
             found = found_by_pattern(pattern)
         elif name == "email":
             found = f"if(contains(buffer, X'40'), {found_by_email()}, null)"
@@ -196,7 +216,12 @@ def scan(slices: DataFrame, patterns: Mapping[str, str | None] | None = None) ->
         match = f"named_struct('artifact_class', {sql_literal(name)}, 'pos', m.pos, 'feature', m.feature)"
         classes.append(f"transform({found}, m -> {match})")
     every = f"flatten(filter(array({', '.join(classes)}), c -> c is not null))"
-    return _emit(slices, every, None, ("artifact_class",))
+    hits = _emit(slices, every, None, ("artifact_class",))
+    if not rules:
+        return hits
+    whens = " ".join(f"when {sql_literal(n)} then {found_by_pattern(r.pattern)}" for n, r in rules.items())
+    stitched = _emit(runs(slices, rules), f"case artifact_class {whens} end", None)
+    return hits.unionByName(stitched)
 
 
 def to_artifacts(features: DataFrame, artifact_class: str | None = None) -> DataFrame:

@@ -175,6 +175,9 @@ ORACLES: dict[str, str] = {
     "scan_classes": f"""WITH {_DOCS}, {_mail()}, {_words()}
         SELECT 'email' AS artifact_class, image, pos AS "offset", feature FROM mail
         UNION ALL SELECT 'word', image, pos, feature FROM word""",
+    "long_runs": f"""WITH {_DOCS}, {_words()}, {_found("line", "docs", "[^\\n]+", 0)}
+        SELECT 'line' AS artifact_class, image, pos AS "offset", md5(feature) AS md5 FROM line
+        UNION ALL SELECT 'word', image, "offset", md5(artifact) FROM words""",
     "artifact_rows": f"""WITH {_DOCS}, {_mail()} SELECT 'email' AS artifact_class, image AS stream_name, '' AS recursion_prefix,
         pos AS "offset", hex(encode(feature)) AS artifact_hex FROM mail""",
     "page_email_scan": f"""WITH docs AS (SELECT page_id AS image, html AS text FROM pages), {_mail()}

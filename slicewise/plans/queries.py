@@ -14,6 +14,7 @@ from ..operators import artifacts as art
 from ..operators import cells as cell
 from ..operators import embedded, hashes, histogram, joins, scanners, similarity, sinks, throughput
 from ..operators.boundary import reslice, seams
+from ..operators.stitching import Within
 from ..session import new_folder
 from ..sources import files, logs, tables
 from ..streaming import ingest
@@ -309,8 +310,16 @@ def email_scan_utf16(spark, sf_dir):
 @query
 def scan_classes(spark, sf_dir):
     """Two classes in one go."""
-    s = files.chunk(v.document_images(spark, sf_dir), "image", "data", 1 << 26)
-    return scanners.scan(s, {"email": None, "word": v.WORD}).select("artifact_class", "image", "offset", "feature")
+    found = scanners.scan(v.slices(spark, sf_dir), {"email": None, "word": v.WORDS})
+    return found.select("artifact_class", "image", "offset", "feature")
+
+
+@query
+def long_runs(spark, sf_dir):
+    """Lines and words of any length on narrow slices: most lines reach over several of them."""
+    s = files.chunk(v.document_images(spark, sf_dir), "image", "data", 256)
+    found = scanners.scan(s, {"line": Within(r"[^\n]+", r"^\n"), "word": v.WORDS})
+    return found.select("artifact_class", "image", "offset", F.md5(text.latin1_bytes(F.col("feature"))).alias("md5"))
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.boundary import MARGIN
 from ..operators.scanners import scan
+from ..operators.stitching import Within
 from ..session import new_folder
 from ..sources.files import chunk
 from ..sources.tables import spread
@@ -19,6 +20,7 @@ SLICE = 8192
 MARKS = "_*;.*"
 #: words of the documents as a second class of artifacts
 WORD = "[A-Za-z]{5,}"
+WORDS = Within(WORD, "A-Za-z")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +62,8 @@ def plain_slices(spark: SparkSession, sf_dir: str, size: int = SLICE) -> DataFra
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, artifact, offset) of the words of all documents.
-
-    A word can be longer than the usual context around a slice, so documents are scanned whole.
-    """
-    found = scan(chunk(document_images(spark, sf_dir), "image", "data", 1 << 26), {"word": WORD})
+    """(image, artifact, offset) of the words of all documents, of any length."""
+    found = scan(plain_slices(spark, sf_dir), {"word": WORDS})
     return found.select("image", F.col("feature").alias("artifact"), "offset")
 
 
