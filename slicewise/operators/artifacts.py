@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .joins import salted_join
 from .ordered import neighbours
 
@@ -114,6 +114,31 @@ def related_media(file_artifact: DataFrame, media_file: DataFrame, seed) -> Data
     return media_file.join(files, "file", "left_semi").select("media").distinct()
 
 
+def media_within(file_artifact: DataFrame, media_file: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(seed, media, hops): the media each seed file reaches over files that share artifacts, with the least number of hops.
+
+    A file is on media at 0 hops; each hop goes to the files that share an artifact with a file of the hop before. Only
+    files that a seed reaches for the first time go on, and only artifacts that it has not passed, so nothing is walked
+    twice and cycles end. Frequent artifacts are split by salts. Every hop is written, and it ends when no file is new.
+    """
+    edges = stored(file_artifact.select("file", "artifact").distinct(), "edges")
+    counts = edges.groupBy("artifact").agg(F.count("*").alias("n"))
+    files = stored(seeds.select(F.col("file").alias("seed"), "file", F.lit(0).alias("hops")).distinct(), "reached")
+    frontier, reached, passed = files, files, None
+    for hop in range(1, hops + 1):
+        artifacts = frontier.join(edges, "file").select("seed", "artifact").distinct()
+        if passed is not None:
+            artifacts = artifacts.join(passed, ["seed", "artifact"], "left_anti")
+        artifacts = stored(artifacts, "passed")
+        passed = artifacts if passed is None else passed.unionByName(artifacts)
+        met = salted_join(edges, artifacts, "artifact", ["file"], counts=counts).select("seed", "file").distinct()
+        frontier = stored(met.join(reached, ["seed", "file"], "left_anti").withColumn("hops", F.lit(hop)), "reached")
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    return media_file.join(reached, "file").groupBy("seed", "media").agg(F.min("hops").alias("hops"))
+
+
 def slowest_slice(df: DataFrame, cost: str = "cost") -> DataFrame:
     """Offset and cost of the most expensive slice of each image."""
     worst = F.max_by(F.struct("offset", cost), F.struct(F.col(cost), -F.col("offset")))

@@ -175,6 +175,52 @@ ORACLES: dict[str, str] = {
     "scan_classes": f"""WITH {_DOCS}, {_mail()}, {_words()}
         SELECT 'email' AS artifact_class, image, pos AS "offset", feature FROM mail
         UNION ALL SELECT 'word', image, pos, feature FROM word""",
+    "raw_ranges": """SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, true AS even
+        FROM documents WHERE starts_with(source, 'src1') GROUP BY source""",
+    "email_anchor_scan_utf16": "WITH a AS (SELECT * FROM (WITH "
+    + _anchors(_VALID, r"docs AS (SELECT doc_id AS image, regexp_replace(text, '[^\x{00}-\x{7F}]', '?', 'g') AS text FROM documents)")
+    + """)) SELECT image, 2 * "offset" AS "offset", feature FROM a""",
+    "keyword_scan": f"""WITH {_DOCS}, k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD}')) AS keyword FROM benchmark),
+        hexed AS (SELECT keyword, hex(encode(keyword)) AS x FROM k),
+        cut AS (SELECT image, c * 256 AS base, substr(h, 512 * c + 1, 1024) AS h FROM
+            (SELECT image, h, unnest(range(0, length(h) // 512 + 1)) AS c FROM docs)),
+        places AS (SELECT image, base, h, unnest(range(0, least(256, length(h) // 2))) AS i FROM cut)
+        SELECT image, base + i AS "offset", keyword FROM places JOIN hexed ON substr(h, 2 * i + 1, 10) = x[1:10]
+        WHERE substr(h, 2 * i + 1, length(x)) = x""",
+    "padded_blocks": f"""WITH docs AS (SELECT doc_id AS image, hex(encode(text)) || repeat('00', 1024 - octet_length(encode(text)) % 512) AS h FROM documents), {_blocks()}
+        SELECT image, count(*) FILTER (block_md5 <> '{zero_block_md5()}') AS blocks, count(*) FILTER (block_md5 = '{zero_block_md5()}') AS zero
+        FROM blocks GROUP BY 1""",
+    "unlabelled_contents": """SELECT doc_id AS image FROM documents
+        WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))""",
+    "seen_across_runs": """WITH r AS (SELECT 0 AS run, text FROM documents SEMI JOIN labels USING (doc_id) UNION ALL SELECT 0, html FROM pages
+            UNION ALL SELECT 1, text FROM documents),
+        f AS (SELECT text, min(run) AS run FROM r GROUP BY text)
+        SELECT run, count(*) AS buffers, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM f GROUP BY run""",
+    "image_cosine_pairs": f"""WITH {_DOCS}, {_words()}, tf AS (SELECT image, artifact, count(*) AS tf FROM words GROUP BY ALL),
+        df AS (SELECT artifact, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT image) AS n FROM tf),
+        w AS (SELECT image, artifact, tf * ln(n / df) AS w FROM tf JOIN df USING (artifact), n WHERE n <> df),
+        same AS (SELECT image, md5(string_agg(concat(artifact, ' ', w), ',' ORDER BY artifact)) AS print FROM w GROUP BY 1),
+        firsts AS (SELECT min(image) AS image FROM same GROUP BY print),
+        norms AS (SELECT image, sqrt(sum(w * w)) AS norm FROM w SEMI JOIN firsts USING (image) GROUP BY 1),
+        u AS (SELECT image, artifact, w / norm AS w FROM w JOIN norms USING (image))
+        SELECT a.image AS image_a, b.image AS image_b, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b USING (artifact)
+        WHERE a.image < b.image GROUP BY ALL HAVING sum(a.w * b.w) >= 0.5""",
+    "block_runs": f"""WITH {_DOCS}, {_blocks()}, b AS (SELECT * FROM blocks WHERE block_md5 <> '{zero_block_md5()}'),
+        f AS (SELECT block_md5, min(row(image, "offset")) AS f FROM b GROUP BY 1),
+        s AS (SELECT b.image, b."offset" AS o, f.f[1] AS rep, b."offset" - f.f[2] AS diag FROM b JOIN f USING (block_md5)),
+        i AS (SELECT *, o - 512 * row_number() OVER (PARTITION BY image, rep, diag ORDER BY o) AS island FROM s WHERE image <> rep OR diag <> 0)
+        SELECT image, min(o) AS start, rep AS representative, min(o) - diag AS representative_start, max(o) + 512 - min(o) AS length
+        FROM i GROUP BY image, rep, diag, island""",
+    "hot_block_hashes": f"""WITH {_DOCS}, {_blocks()} SELECT block_md5, count(*) AS total FROM blocks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
+    "filtered_block_lookup": f"""WITH {_DOCS}, {_blocks()}, t AS (SELECT block_md5, count(*) AS total FROM blocks
+        WHERE image IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1)
+        SELECT block_md5, image, "offset", total FROM blocks JOIN t USING (block_md5)""",
+    "media_hops": """WITH e AS (SELECT DISTINCT l_orderkey AS file, l_partkey AS artifact FROM lineitem),
+        f0 AS (SELECT min(o_orderkey) AS seed, min(o_orderkey) AS file FROM orders GROUP BY o_orderpriority),
+        a1 AS (SELECT DISTINCT seed, artifact FROM f0 JOIN e USING (file)), f1 AS (SELECT DISTINCT seed, file FROM a1 JOIN e USING (artifact)),
+        a2 AS (SELECT DISTINCT seed, artifact FROM f1 JOIN e USING (file)), f2 AS (SELECT DISTINCT seed, file FROM a2 JOIN e USING (artifact)),
+        f AS (SELECT seed, file, 0 AS hops FROM f0 UNION ALL SELECT seed, file, 1 FROM f1 UNION ALL SELECT seed, file, 2 FROM f2)
+        SELECT seed, o_custkey AS media, min(hops) AS hops FROM f JOIN orders ON o_orderkey = file GROUP BY ALL""",
     "long_runs": f"""WITH {_DOCS}, {_words()}, {_found("line", "docs", "[^\\n]+", 0)}
         SELECT 'line' AS artifact_class, image, pos AS "offset", md5(feature) AS md5 FROM line
         UNION ALL SELECT 'word', image, "offset", md5(artifact) FROM words""",

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import digest, text
 from ..operators import artifacts as art
 from ..operators import cells as cell
-from ..operators import embedded, hashes, histogram, joins, scanners, similarity, sinks, throughput
+from ..operators import (
+    embedded, hashes, histogram, joins, keywords, membership, scanners, similarity, sinks, throughput,
+)
 from ..operators.boundary import reslice, seams
 from ..operators.stitching import Within
 from ..session import new_folder
 from ..sources import files, logs, tables
-from ..streaming import ingest
+from ..streaming import ingest, seen
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +158,21 @@ def raw_image_tolerant(spark, sf_dir):
     return s.groupBy("source").agg(F.sum(F.length("data").cast("long")).alias("bytes"), F.count("error").alias("errors"))
 
 
+@query
+def raw_ranges(spark, sf_dir):
+    """Files of some sources, their first slices and the rest read apart; other files and ranges are not opened."""
+    path = v.raw_document_files(spark, sf_dir)
+    prefix = f"{files.image_name(path)}/source=src1"
+    zero, length = F.lit(0).cast("long"), F.length("data").cast("long")
+    head = files.read_raw(spark, path, exclude=v.MARKS, sliceBytes=4096, prefix=prefix, to=8191)
+    rest = files.read_raw(spark, path, exclude=v.MARKS, sliceBytes=4096, prefix=prefix, **{"from": 8192})
+    head = head.select("image", length.alias("head"), zero.alias("rest"))
+    rest = rest.select("image", zero.alias("head"), length.alias("rest"))
+    sums = head.unionByName(rest).groupBy("image").agg(F.sum("head").alias("head"), F.sum("rest").alias("rest"))
+    even = F.count_if((F.col("rest") > 0) & (F.col("head") < 8192)) == 0
+    return sums.groupBy(v.source_of().alias("source")).agg(F.sum(F.col("head") + F.col("rest")).alias("bytes"), even.alias("even"))
+
+
 @query
 def whole_file_sizes(spark, sf_dir):
     """Image files in one row each: their lengths and their line breaks."""
@@ -249,6 +266,17 @@ def nonzero_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir).where(digest.not_zero_block(F.col("block_md5"))).groupBy("image").agg(F.count("*").alias("n"))
 
 
+@query
+def padded_blocks(spark, sf_dir):
+    """Documents filled up with zeros to whole blocks and one more: blocks that hold something, and the others."""
+    d = v.document_images(spark, sf_dir)
+    missing = 1024 - F.length("data") % 512
+    padded = d.select("image", F.concat("data", F.substring(F.lit(bytes(1024)), F.lit(1), missing)).alias("data"))
+    b = hashes.block_hashes(files.chunk(padded, "image", "data", v.SLICE))
+    full = digest.not_zero_block(F.col("block_md5"))
+    return b.groupBy("image").agg(F.count_if(full).alias("blocks"), F.count_if(~full).alias("zero"))
+
+
 @query
 def context_windows(spark, sf_dir):
     """Context of the first word of each slice, cut at the ends of the slice."""
@@ -322,6 +350,23 @@ def long_runs(spark, sf_dir):
     return found.select("artifact_class", "image", "offset", F.md5(text.latin1_bytes(F.col("feature"))).alias("md5"))
 
 
+@query
+def email_anchor_scan_utf16(spark, sf_dir):
+    """The anchor rule on documents widened to UTF-16LE; its addresses come as 8-bit text."""
+    d = v.text_table(spark, sf_dir, "documents")
+    wide = F.encode(F.regexp_replace("text", r"[^\x00-\x7f]", "?"), "UTF-16LE")
+    s = files.chunk(d.select(F.col("doc_id").alias("image"), wide.alias("data")), "image", "data", v.SLICE, 1024)
+    return scanners.scan_email_anchor(s).select("image", "offset", "feature")
+
+
+@query
+def keyword_scan(spark, sf_dir):
+    """Every place of every longer word of the benchmark passages in the documents, inside other words too."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(v.WORD), F.lit(0)))
+    listed = v.table(spark, sf_dir, "benchmark").select(words.alias("keyword")).distinct()
+    return keywords.scan_keywords(v.plain_slices(spark, sf_dir), listed).select("image", "offset", "keyword")
+
+
 @query
 def artifact_rows(spark, sf_dir):
     a = scanners.to_artifacts(scanners.scan_email(v.slices(spark, sf_dir)), "email")
@@ -348,6 +393,27 @@ def unseen_buffers(spark, sf_dir):
     return embedded.drop_seen(v.document_images(spark, sf_dir), seen).select("image")
 
 
+@query
+def unlabelled_contents(spark, sf_dir):
+    """Images whose content is not that of a labelled image: copies of labelled ones go too."""
+    labelled = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image"))
+    seen_before = joins.lookup(v.document_images(spark, sf_dir), labelled, "image").select(F.md5("data").alias("digest"))
+    return embedded.drop_seen(v.document_images(spark, sf_dir), seen_before).select("image")
+
+
+@query
+def seen_across_runs(spark, sf_dir):
+    """Two runs of a stream of buffers: pages and labelled documents, then all documents. Each content comes once."""
+    source, table, state = (new_folder(spark, n) for n in ("buffers", "unseen", "state"))
+    labelled = v.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image"))
+    docs = v.document_images(spark, sf_dir)
+    first = joins.lookup(docs, labelled, "image").unionByName(v.page_images(spark, sf_dir))
+    for number, run in enumerate((first, docs)):
+        run.select(F.col("image").cast("string").alias("image"), F.lit(0).cast("long").alias("offset"), "data").write.mode("append").parquet(source)
+        seen.unseen_stream(spark, source, table, state, columns={"run": F.lit(number)}).awaitTermination()
+    return spark.read.parquet(table).groupBy("run").agg(F.count("*").alias("buffers"), F.sum(F.length("data").cast("long")).alias("bytes"))
+
+
 @query
 def block_hash_table(spark, sf_dir):
     return _blocks(spark, sf_dir)
@@ -633,6 +699,35 @@ def similar_image_pairs(spark, sf_dir):
     return pairs.select("image_a", "image_b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query
+def image_cosine_pairs(spark, sf_dir):
+    """All images compared by their words, rare ones weighing most."""
+    weights = art.tfidf(v.words(spark, sf_dir)).select("image", F.col("artifact").alias("token"), F.col("tfidf").alias("weight"))
+    pairs = similarity.cosine_pairs(weights, 0.5)
+    return pairs.select("image_a", "image_b", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def block_runs(spark, sf_dir):
+    """Stretches of blocks that each image shares with the first image that has them."""
+    return similarity.block_runs(_blocks(spark, sf_dir), width=8192)
+
+
+@query
+def hot_block_hashes(spark, sf_dir):
+    return similarity.hot_hashes(_blocks(spark, sf_dir), 20)
+
+
+@query
+def filtered_block_lookup(spark, sf_dir):
+    """Blocks of all images looked up among those of the images marked as toxic, through a Bloom filter."""
+    marked = v.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("image"))
+    totals = hashes.hash_totals(joins.lookup(_blocks(spark, sf_dir), marked, "image")).select("block_md5", "total")
+    path = new_folder(spark, "bloom")
+    membership.bloom_filter(totals, "block_md5").save(path)
+    return membership.filtered_lookup(_blocks(spark, sf_dir), totals, "block_md5", membership.load_bloom(spark, path))
+
+
 @query
 def image_copy_groups(spark, sf_dir):
     return similarity.copy_groups(_tokens(spark, sf_dir))
@@ -671,6 +766,16 @@ def related_media(spark, sf_dir):
     return art.related_media(fa, mf, SEED_FILE)
 
 
+@query
+def media_hops(spark, sf_dir):
+    """Media within two hops of the first file of each kind."""
+    fa = v.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("artifact"))
+    orders = v.table(spark, sf_dir, "orders")
+    mf = orders.select(F.col("o_custkey").alias("media"), F.col("o_orderkey").alias("file"))
+    seeds = orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("file"))
+    return art.media_within(fa, mf, seeds, 2)
+
+
 @query
 def block_lookup(spark, sf_dir):
     """All places of the blocks that the images marked as toxic consist of."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import key_ranges, running_sum
-from .rawimage import SLICE_BYTES, ImageListSource, RawImageSource
+from .rawimage import SLICE_BYTES, ImageListSource, RawImageSource, open_filesystem
 
 
 #: most bytes of a file in one row
@@ -25,6 +25,11 @@ def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader.load()
 
 
+def image_name(path: str) -> str:
+    """The beginning of the names that images below a path have."""
+    return open_filesystem(path)[1].rstrip("/")
+
+
 def whole_files(spark: SparkSession, path: str, exclude: str = "") -> DataFrame:
     """One row per file that is not empty, named as by `read_raw` and `list_images`.
 

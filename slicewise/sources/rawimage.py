@@ -10,8 +10,15 @@ Options
     splitBytes    most bytes read by one task, default 128 MiB, rounded to whole slices
     minTasks      tasks wanted at least; small inputs are cut finer for it (down to 1 MiB)
     exclude       patterns of file and folder names to leave out, joined by semicolons; default none
+    prefix        beginning of the names of the files wanted
+    from, to      first and last offset of the slices wanted
     onError       "fail" (default) or "skip": an unreadable range gives one row with `error` set
 
+Ranges that are not wanted are never opened: options `prefix`, `from` and `to` give them. With `pushFilters` set to true,
+in sessions with `spark.sql.python.filterPushdown.enabled`, filters on `image` (equality, `in`, beginning of the name) and
+on `offset` (comparisons) do so too. Load anew for each such filter: Spark 4.1 keeps the reader of the last query on a
+loaded DataFrame, with its filters, for the next query. So neither is set by this package.
+
 Each task opens one file, seeks to its range and yields Arrow batches of a few MiB; nothing is read
 on the driver but the directory listing. A path may be any URI that pyarrow's file systems know
 (local, hdfs, s3, gs); the container must bring that file system's client library.
@@ -23,7 +30,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
+)
 
 SLICE_BYTES = 65536
 SPLIT_BYTES = 128 << 20
@@ -113,20 +132,36 @@ class RawImageReader(DataSourceReader):
         self.on_error = options.get("onerror", "fail")
         if self.slice_bytes <= 0 or self.overlap < 0 or self.on_error not in ("fail", "skip"):
             raise ValueError("sliceBytes > 0, overlap >= 0 and onError fail|skip are required")
+        self.names: set[str] | None = None
+        self.prefixes: list[str] = [options["prefix"]] if options.get("prefix") else []
+        #: first and last offset wanted
+        self.low, self.high = int(options.get("from", 0)), int(options["to"]) if "to" in options else None
+
+    def wanted(self, image: str) -> bool:
+        return (self.names is None or image in self.names) and all(image.startswith(p) for p in self.prefixes)
+
+    def bounds(self, size: int) -> tuple[int, int]:
+        """First and end byte of the slices of a file whose offsets are wanted."""
+        low = -(-self.low // self.slice_bytes) * self.slice_bytes
+        high = size if self.high is None else min(size, (self.high // self.slice_bytes + 1) * self.slice_bytes)
+        return low, high
 
     def partitions(self) -> list[InputPartition]:
-        files = [(root, image, size) for root in self.paths for image, size in find_files(root, self.exclude)]
+        found = [(root, image, size) for root in self.paths for image, size in find_files(root, self.exclude)]
+        files = [f for f in found if self.wanted(f[1])]
         even = max(SMALLEST_SPLIT, sum(size for _, _, size in files) // self.min_tasks)
         step = max(1, min(self.split_bytes, even) // self.slice_bytes) * self.slice_bytes
         ranges = [
-            ByteRange(root, image, start, min(start + step, size), size)
+            ByteRange(root, image, start, min(start + step, high), size)
             for root, image, size in files
-            for start in range(0, size, step)
+            for low, high in [self.bounds(size)]
+            for start in range(low, high, step)
         ]
         return pack(ranges, step)
 
-    def read(self, partition: ByteRanges) -> Iterator:
-        for byte_range in partition.ranges:
+    def read(self, partition: ByteRanges | None) -> Iterator:
+        # without any partition Spark asks for the rows of None
+        for byte_range in partition.ranges if partition else ():
             yield from self.read_range(byte_range)
 
     def read_range(self, partition: ByteRange) -> Iterator:
@@ -173,6 +208,32 @@ class RawImageReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, fields.values())], schema=schema)
 
 
+class FilteringReader(RawImageReader):
+    """A reader that takes over filters. Sessions that do not push filters refuse one that could."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on names are taken over whole, those on offsets narrow the ranges; the rest is left to Spark."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if self.on_error == "skip":
+                yield f  # a row that tells of an error stands for a whole range
+            elif column == ("image",) and isinstance(f, (EqualTo, In)):
+                named = set(f.value) if isinstance(f, In) else {value}
+                self.names = named if self.names is None else self.names & named
+            elif column == ("image",) and isinstance(f, StringStartsWith):
+                self.prefixes.append(value)
+            elif column == ("offset",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    last = value - isinstance(f, LessThan)
+                    self.high = last if self.high is None else min(self.high, last)
+                if isinstance(f, EqualTo):
+                    yield f  # a range begins at the slice that the offset is in
+            else:
+                yield f
+
+
 class RawImageSource(DataSource):
     """Byte-range slices of raw images: (image, offset, data, before, after, error)."""
 
@@ -188,7 +249,8 @@ class RawImageSource(DataSource):
         return "image string, offset bigint, data binary, before binary, after binary, error string"
 
     def reader(self, schema) -> RawImageReader:
-        return RawImageReader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (FilteringReader if options.get("pushfilters") == "true" else RawImageReader)(options)
 
 
 @dataclass
