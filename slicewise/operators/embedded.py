@@ -31,6 +31,8 @@ MAX_DEPTH = 7
 SLICE_BYTES = 65536
 #: bytes given to a decoder at once, and in its second try where these hold a fault
 FEED_BYTES, CAREFUL_BYTES = 4096, 64
+#: unpacked bytes that leave a task together
+FLUSH_BYTES = 4 << 20
 
 _HIT = ["kind", "at"]
 
@@ -42,25 +44,25 @@ def drop_seen(slices: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def find_streams(slices: DataFrame) -> DataFrame:
-    """(ids, kind, at, packed) with the bytes at hand from each signature on.
+    """(ids, base, buffer, hits): the bytes at hand of each slice, once, and where signatures begin in its own bytes.
 
-    One pass looks for all signatures; no two of them can overlap.
+    One pass looks for all signatures; no two of them can overlap. `hits` is an array of (kind, at).
     """
     ids = id_columns(slices)
     found = F.expr(found_by_pattern("|".join(SIGNATURES.values())))
-    hits = windows(slices).select(
-        *ids, "base", "buffer", "own_from", "own_to", F.explode_outer(found).alias("hit")
-    ).where("hit is not null")
-    kind = F.when(F.lit(False), "")
-    for name, pattern in SIGNATURES.items():
-        kind = kind.when(F.col("hit.feature").rlike(rf"\A(?:{pattern})"), name)
-    at = F.col("base") + F.col("hit.pos")
-    return hits.where((at >= F.col("own_from")) & (at < F.col("own_to"))).select(
-        *ids,
-        kind.alias("kind"),
-        at.alias("at"),
-        F.expr("substring(buffer, cast(hit.pos as int) + 1)").alias("packed"),
-    )
+    # outer, as an inner generator would have the expression evaluated a second time in an inferred filter
+    rows = windows(slices).select(*ids, "base", "buffer", "own_from", "own_to", F.explode_outer(F.array(found)).alias("found"))
+    rows = rows.where("found is not null")
+
+    def named(feature):
+        kind = F.when(F.lit(False), "")
+        for name, pattern in SIGNATURES.items():
+            kind = kind.when(feature.rlike(rf"\A(?:{pattern})"), name)
+        return kind
+
+    hits = F.transform("found", lambda m: F.struct(named(m["feature"]).alias("kind"), (F.col("base") + m["pos"]).alias("at")))
+    ours = F.filter(hits, lambda h: (h["at"] >= F.col("own_from")) & (h["at"] < F.col("own_to")))
+    return rows.select(*ids, "base", "buffer", ours.alias("hits")).where(F.size("hits") > 0)
 
 
 class Stream:
@@ -76,9 +78,9 @@ class Stream:
         self.kind, self.state, self.head, self.ready = kind, "more", b"", kind != "zip"
         self.decoder = zlib.decompressobj({"gzip": 31, "zlib": 15, "zip": -15}[kind])
 
-    def feed(self, data: bytes) -> Iterator[bytes]:
+    def feed(self, data: bytes | memoryview) -> Iterator[bytes]:
         if not self.ready:
-            data = self.head = self.head + data
+            data = self.head = self.head + bytes(data)
             if len(data) < 30:
                 return
             if int.from_bytes(data[8:10], "little") != 8:
@@ -145,21 +147,40 @@ class Slicer:
         return row
 
 
-def _unpacked(pieces: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, kind, at, state, offset, data, before, after) of streams given as (ids, kind, at, from, packed).
+def _at_hand(batch, ids: int) -> Iterator[tuple[tuple, int, memoryview]]:
+    """(key, start, bytes from there on) of each hit of a batch of `find_streams`, all of a slice out of one buffer."""
+    named, base, buffer, hits = ([batch.column(k) for k in range(ids)], *(batch.column(ids + k) for k in range(3)))
+    for n in range(batch.num_rows):
+        name = tuple(c[n].as_py() for c in named)
+        start, view = base[n].as_py(), memoryview(buffer[n].as_buffer())
+        for hit in hits[n].as_py():
+            yield (*name, hit["kind"], hit["at"]), hit["at"], view[hit["at"] - start :]
+
+
+def _in_order(batch, ids: int) -> Iterator[tuple[tuple, int, memoryview]]:
+    """The like for a batch of `_following`: pieces of a stream, in order."""
+    columns = [batch.column(k) for k in range(ids + 4)]
+    for n in range(batch.num_rows):
+        *name, kind, at, start = (c[n].as_py() for c in columns[:-1])
+        view = memoryview(columns[-1][n].as_buffer())
+        yield (*name, kind, at), max(start, at), view[max(0, at - start) :]
+
+
+def _unpacked(rows: DataFrame, ids: list[str], pieces: Callable, kinds: dict[str, T.DataType]) -> DataFrame:
+    """(ids, kind, at, state, offset, data, before, after) of the streams whose pieces `pieces` gives.
 
     The pieces of a stream lie in one partition, in order. Its content comes as slices without a
     state, then one row with its state.
     """
-    keys = [*ids, *_HIT]
-    fields = [pieces.schema[c] for c in keys] + [T.StructField("state", T.StringType()), T.StructField("offset", T.LongType())]
+    fields = [T.StructField(c, kinds[c]) for c in ids] + [T.StructField("kind", T.StringType()), T.StructField("at", T.LongType())]
+    fields += [T.StructField("state", T.StringType()), T.StructField("offset", T.LongType())]
     schema = T.StructType(fields + [T.StructField(c, T.BinaryType()) for c in ("data", "before", "after")])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, rows = to_arrow_schema(schema), []
+        target, rows, held = to_arrow_schema(schema), [], 0
 
         def batch():
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), target)]
@@ -168,24 +189,27 @@ def _unpacked(pieces: DataFrame, ids: list[str]) -> DataFrame:
 
         key = stream = slicer = None
         for part in batches:
-            columns = [part.column(k) for k in range(part.num_columns)]
-            for n in range(part.num_rows):
-                this = tuple(c[n].as_py() for c in columns[: len(keys)])
+            for this, _, view in pieces(part, len(ids)):
                 if this != key:
                     if key is not None:
                         rows += [(*key, None, *r) for r in slicer.rest()] + [(*key, stream.state, None, None, None, None)]
                     key, stream, slicer = this, Stream(this[-2]), Slicer()
-                start, data = columns[-2][n].as_py(), columns[-1][n].as_buffer()
-                for piece in stream.feed(bytes(memoryview(data)[max(0, key[-1] - start) :])):
-                    rows += [(*key, None, *r) for r in slicer.put(piece)]
-                    if len(rows) >= 64:
+                for piece in stream.feed(view):
+                    new = [(*key, None, *r) for r in slicer.put(piece)]
+                    rows += new
+                    held += sum(len(r[-3]) for r in new)
+                    if held > FLUSH_BYTES:
                         yield batch()
+                        held = 0
+                if len(rows) >= 1024:
+                    yield batch()
+                    held = 0
         if key is not None:
             rows += [(*key, None, *r) for r in slicer.rest()] + [(*key, stream.state, None, None, None, None)]
         if rows:
             yield batch()
 
-    return pieces.select(*keys, "from", "packed").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _following(hits: DataFrame, slices: DataFrame, ids: list[str], width: int, size: int) -> DataFrame:
@@ -210,15 +234,15 @@ def expand_once(slices: DataFrame, size: int = SLICE_BYTES) -> DataFrame:
         slices = slices.withColumn("recursion_prefix", F.lit(""))
     ids = id_columns(slices)
     content = ["offset", "data", "before", "after"]
-    at_hand = find_streams(slices).withColumn("from", F.col("at"))
-    found = stored(_unpacked(at_hand, ids), "unpacked")
+    kinds = {c: slices.schema[c].dataType for c in ids}
+    found = stored(_unpacked(find_streams(slices), ids, _at_hand, kinds), "unpacked")
     ends = slices.groupBy(*ids).agg(F.max(F.col("offset") + F.length("data")).alias("end"))
     open_hits = stored(found.where("state = 'more'").select(*ids, *_HIT).join(ends, ids), "open")
     result = found.where("state is null").join(open_hits.select(*ids, *_HIT), [*ids, *_HIT], "left_anti")
     width = size
     while not open_hits.isEmpty():
         width *= 8
-        found = stored(_unpacked(_following(open_hits, slices, ids, width, size), ids), "unpacked")
+        found = stored(_unpacked(_following(open_hits, slices, ids, width, size), ids, _in_order, kinds), "unpacked")
         # a stream that was given all bytes of its image has no more to come
         going_on = found.where("state = 'more'").select(*ids, *_HIT).join(open_hits, [*ids, *_HIT])
         open_hits = stored(going_on.where(F.col("at") + width < F.col("end")), "open")

@@ -106,3 +106,10 @@ def test_seen_buffers_are_dropped(images, spark):
     df = images({"a": b"one", "b": b"two"})
     seen = spark.range(1).select(F.md5(F.lit("one").cast("binary")).alias("digest"))
     assert rows(embedded.drop_seen(df, seen).select("image")) == [("b",)]
+
+
+def test_a_slice_of_signatures_costs_its_own_size(images):
+    data = b"\x78\x01" * 16384
+    found = embedded.find_streams(chunk(images({"a": data}), "image", "data", 65536)).collect()
+    assert len(found) == 1 and len(found[0].hits) == 16384 and len(found[0].buffer) == len(data)
+    assert scanned(images, {"a": data + b" ab@c.com "}) == [("a", "32769", "ab@c.com")]
