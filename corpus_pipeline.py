@@ -2,7 +2,8 @@
 
 Every stage works on all rows that the one before kept, and all but the last return the columns of `documents`.
 Rows with a null or empty text fail the rules. Of the members of a component of near copies the one with the smallest
-id stays; an id names one document, so of rows with one id one stays; rows without an id are never matched and stay.
+id stays. Rows that share an id but not their text are documents of their own; of rows alike in both, one stays. Rows
+without an id are matched by their texts like all others, and stay only where no row with an id has such a text.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = jaccard.near_copies(named.select("doc_id", "text"), words=COPY_WORDS, percent=COPY_PERCENT)
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = named.join(chosen, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each component of near copies: that with the smallest id and, of its texts, the smallest hash."""
+    # a row is known by its id and its text; rows without an id come last
+    parts = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"), F.coalesce(F.octet_length("text"), F.lit(-1))]
+    named = docs.withColumn("_key", F.struct(*[p.alias(f"k{n}") for n, p in enumerate(parts)]))
+    found = jaccard.near_copies(named.select("_key", "text"), key="_key", words=COPY_WORDS, percent=COPY_PERCENT)
+    chosen = found.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
+    first = F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(*docs.columns)))
+    kept = named.join(chosen, "_key", "left_semi").withColumn("_first", first).where("_first = 1")
+    return kept.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
