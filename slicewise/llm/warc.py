@@ -14,8 +14,9 @@ not among them, whatever it looks like. A chain must end at the end of its file,
 Each task hashes the payload of its candidates as it reads them, so no payload is ever moved; it may read on past its
 range's end, in pieces of READ bytes. An archive folder is any path that pyarrow's file systems know.
 
-Defined results: a null page is an empty payload; an url may have any length, as a header is read to its empty line; pages of equal payload and id are records of their own; a null id
-is written as an empty one, sorts below all others and comes back as null; an empty table gives an archive without
+Defined results: a null page is an empty payload; an url may have any length, as a header is read to its empty line; rows that repeat the
+largest id with its payload are responses too, so no payload is in no record, however `pages` is read; a null id is
+written as an empty one, sorts below all others (pages without any id are all responses) and comes back as null; an empty table gives an archive without
 records.
 """
 
@@ -60,17 +61,15 @@ def records(pages: DataFrame, key: str, url: str, html: str, least: int = 0) ->
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("bigint"))
     rows = rows.withColumn("digest", sha1_base32(F.encode("payload", "UTF-8")))
-    # the page of a payload by (id, order of rows): equal ids have one response between them
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # a group is named by its largest id alone, so nothing depends on how often or in which order rows are read
     long = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes")
-    last = stored(long.agg(F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("n")).where("n > 1"), "copies")
-    last = last.select(F.col("digest"), F.col("bytes"), F.col("last.id").alias("first_id"), F.col("last.row").alias("first_row"))
-    joined = rows.join(last, ["digest", "bytes"], "left")
-    revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
+    last = stored(long.agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1"), "copies")
+    joined = rows.join(last.select("digest", "bytes", "last"), ["digest", "bytes"], "left")
+    revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     return joined.select(
         "id", "url", "payload", "bytes", "digest",
         F.when(revisit, "revisit").otherwise("response").alias("kind"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(revisit, F.col("last")).alias("refers_to"),
     )
 
 
@@ -198,19 +197,20 @@ def reachable(found: DataFrame) -> DataFrame:
     """The candidates on their file's chain, by pointer jumping from the file's start.
 
     `reached` grows from the start by the jumps of 2^k records; `jump` doubles in each round, so a file of n records
-    takes log2(n) rounds. Only offsets are moved.
+    takes log2(n) rounds. Only offsets are moved, by merge joins: written tables are smaller than what they hold, so
+    they would pass for ones that can be broadcast.
     """
     jump = stored(found.select("file", "start", F.col("next").alias("to")), "jumps")
     reached = stored(found.where("start = 0").select("file", "start"), "reached")
     while True:
-        new = reached.join(jump, ["file", "start"]).select("file", F.col("to").alias("start"))
+        new = reached.join(jump.hint("merge"), ["file", "start"]).select("file", F.col("to").alias("start"))
         more = stored(reached.unionByName(new).distinct(), "reached")
         far = jump.select("file", F.col("start").alias("to"), F.col("to").alias("far"))
-        longer = stored(jump.join(far, ["file", "to"]).select("file", "start", F.col("far").alias("to")), "jumps")
+        longer = stored(jump.join(far.hint("merge"), ["file", "to"]).select("file", "start", F.col("far").alias("to")), "jumps")
         reached, jump = more, longer
         if jump.isEmpty():
             break
-    return found.join(reached, ["file", "start"], "left_semi")
+    return found.join(reached.hint("merge"), ["file", "start"], "left_semi")
 
 
 def read(spark: SparkSession, folder: str, span: int = RANGE) -> DataFrame:

@@ -197,6 +197,20 @@ def test_archive_round_trip(spark, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_no_payload_is_lost_however_pages_are_read(spark):
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id") % 50).alias("html"))
+    again = pages.unionByName(pages.where("page_id >= 190"))
+    for rows, responses, revisits in (
+        (pages.repartition(7), 50, 150), (pages.repartition(2), 50, 150), (pages.orderBy(F.rand()), 50, 150), (again.repartition(3), 60, 150)
+    ):
+        folder = warc.new_folder(spark, "shuffled")
+        warc.write(rows, folder)
+        kinds = [r.kind for r in warc.read(spark, folder).collect()]
+        assert (kinds.count("response"), kinds.count("revisit")) == (responses, revisits)
+        bodies = warc.read(spark, folder).where("kind = 'response'").select("body_digest").distinct().count()
+        assert bodies == 50
+
+
 def test_chain_rejects_magic_inside_payloads_at_any_range(spark, tmp_path):
     def record(payload, kind=b"response"):
         return b"WARC/1.1\r\nWARC-Type: " + kind + b"\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload + b"\r\n\r\n"
