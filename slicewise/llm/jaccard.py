@@ -8,7 +8,8 @@ filter knows more than sizes: where all rare shingles of a set are in its prefix
 
 Equal sets are one class from the start. Links are verified in two rounds, and no list of similar documents is ever
 expanded into all its pairs: first, each group meets the hubs of the shingles it shares (HUBS groups of each), and each
-member of a group the group's first member; then only pairs that are still in different components, of shingles whose documents
+member of a group the group's first member; in ROUNDS more rounds, what is not in its component meets one more hub;
+then only pairs that are still in different components, of shingles whose documents
 are not all in one component, are verified. A pair that is left out is in one component already, so the components
 are those of all links.
 
@@ -40,6 +41,8 @@ WORDS, PERCENT = 4, 85
 FREQUENT = 1 << 17
 #: groups of a shingle that its other groups are matched with first, and the orders they are least in
 HUBS, TRIES = 4, 10
+#: further rounds with one hub of each shingle whose groups are not yet in one component
+ROUNDS = 1
 ORDERS = [k * 0x0F1BBCDCBFA53E0B % (1 << 63) for k in range(HUBS)]
 #: 64-bit numbers of a parity map; they are folded into FOLDS of them, in columns, where pairs are looked for
 MAPS, FOLDS = 32, 4
@@ -276,6 +279,18 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
+def joined_labels(labels: DataFrame, links: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Labels (v, label) after links (a, b) join their components; `of` gives the label of every class where it is known."""
+    if of is None:
+        ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
+        of = stored(labels.unionByName(ends.join(labels, "v", "left_anti").select("v", F.col("v").alias("label"))), "labels")
+    bridges = links.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(
+        F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")
+    )
+    whole = components(bridges.where("a != b").distinct()).toDF("label", "whole")
+    return stored(of.join(whole, "label", "left").select("v", F.coalesce("whole", "label").alias("label")), "labels")
+
+
 def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """(v, label): the component of every class that has a link."""
     repeated = marks.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
@@ -337,15 +352,36 @@ def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
     links = stored(verified(tried, maps, docs, text, words, percent), "links")
     labels = components(links)
 
+    def left(labels):
+        """(members with their labels, groups with theirs, and the shingles whose groups are not all in one component)."""
+        label = F.coalesce("label", F.col("v"))
+        placed = stored(members.join(labels, "v", "left").select("v", "n", "g", label.alias("label")), "placed")
+        several = (F.count("*") > 1).alias("several")
+        state = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), several)
+        wide = shared.join(state, "g")
+        mixed = wide.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h"), (F.count("*") > 2).alias("more"), F.max("several").alias("several"))
+        mixed = mixed.where("l != h and (more or several)").select("shingle")
+        return placed, state, stored(wide.drop("several").join(mixed, "shingle").join(bounds, "g"), "mixed")
+
+    # members in different components meet the first member of one more hub of each shingle, in a new order each round
+    for turn in range(ROUNDS):
+        placed, state, every = left(labels)
+        if every.isEmpty():
+            break
+        # first the most central one, which has the fewest shingles of its own; then any
+        own = F.when(F.col("all_rare"), F.col("n") - F.col("m")).otherwise(F.col("n")).cast("long")
+        place = own if turn == 0 else F.xxhash64("g", F.lit(turn))
+        hubs = every.groupBy("shingle").agg(F.min(F.struct(place.alias("place"), "g")).alias("hub"))
+        met = every.join(hubs.select("shingle", F.col("hub.g").alias("hub")), "shingle").where("g != hub")
+        met = met.select("g", *facts, "hub").distinct().join(bounds.select("g", *facts).toDF("hub", *theirs), "hub").where(fits())
+        first = firsts.toDF("hub", "first").join(placed.select(F.col("v").alias("first"), F.col("label").alias("at")), "first")
+        met = met.select("g", "hub").join(first, "hub").select("g", "first", "at").join(placed, "g").where("label != at")
+        fresh = stored(ordered(met, "v", "first").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = tried.unionByName(fresh)
+        labels = joined_labels(labels, stored(verified(fresh, maps, docs, text, words, percent), "links"))
+
     # what is left: members in different components whose groups share a shingle with further groups
-    label = F.coalesce("label", F.col("v"))
-    placed = stored(members.join(labels, "v", "left").select("v", "n", "g", label.alias("label")), "placed")
-    several = (F.count("*") > 1).alias("several")
-    state = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), several)
-    wide = shared.join(state, "g")
-    mixed = wide.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h"), (F.count("*") > 2).alias("more"), F.max("several").alias("several"))
-    mixed = mixed.where("l != h and (more or several)").select("shingle")
-    every = stored(wide.drop("several").join(mixed, "shingle").join(bounds, "g"), "mixed")
+    placed, state, every = left(labels)
     # one of any two components is not the shingle's largest one, so only groups outside that one look for partners
     largest = every.groupBy("shingle", "low").agg(F.count("*").alias("k"))
     largest = largest.groupBy("shingle").agg(F.max(F.struct("k", "low")).alias("top")).select("shingle", "top.low")
@@ -365,13 +401,7 @@ def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
     rest = ordered(pairs.join(one, "g").join(two, "g2").where("la != lb"), "a", "b")
     rest = rest.join(tried, ["a", "b"], "left_anti")
     more = stored(verified(rest, maps, docs, text, words, percent), "links")
-    # the components of the first round, joined by the links between them
-    of = placed.select("v", "label")
-    bridges = more.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(
-        F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")
-    )
-    joined = components(bridges.distinct()).toDF("label", "whole")
-    return of.join(joined, "label", "left").select("v", F.coalesce("whole", "label").alias("label"))
+    return joined_labels(labels, more, placed.select("v", "label"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT):
