@@ -35,7 +35,7 @@ OVERLAP, MODULUS, LONGEST = SIZES - 1, 32, 512
 #: bits of the filters of frequent words and of frequent pairs
 WORD_BITS, PAIR_BITS = 1 << 25, 1 << 27
 #: bytes of chunks that a task looks at together
-HELD = 8 << 20
+HELD = 3 << 20
 _SPACE, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[0x20, 0x09]] = True
 _STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True

@@ -352,20 +352,22 @@ def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
     links = stored(verified(tried, maps, docs, text, words, percent), "links")
     labels = components(links)
 
-    def left(labels):
+    def left(labels, source):
         """(members with their labels, groups with theirs, and the shingles whose groups are not all in one component)."""
         label = F.coalesce("label", F.col("v"))
         placed = stored(members.join(labels, "v", "left").select("v", "n", "g", label.alias("label")), "placed")
         several = (F.count("*") > 1).alias("several")
         state = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), several)
-        wide = shared.join(state, "g")
+        wide = source.join(state, "g")
         mixed = wide.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h"), (F.count("*") > 2).alias("more"), F.max("several").alias("several"))
         mixed = mixed.where("l != h and (more or several)").select("shingle")
         return placed, state, stored(wide.drop("several").join(mixed, "shingle").join(bounds, "g"), "mixed")
 
     # members in different components meet the first member of one more hub of each shingle, in a new order each round
+    source = shared
     for turn in range(ROUNDS):
-        placed, state, every = left(labels)
+        placed, state, every = left(labels, source)
+        source = every.select(*columns)  # components only grow, so no other shingle comes in question later
         if every.isEmpty():
             break
         # first the most central one, which has the fewest shingles of its own; then any
@@ -377,11 +379,11 @@ def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
         first = firsts.toDF("hub", "first").join(placed.select(F.col("v").alias("first"), F.col("label").alias("at")), "first")
         met = met.select("g", "hub").join(first, "hub").select("g", "first", "at").join(placed, "g").where("label != at")
         fresh = stored(ordered(met, "v", "first").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.unionByName(fresh)
+        tried = tried.select("a", "b").unionByName(fresh)
         labels = joined_labels(labels, stored(verified(fresh, maps, docs, text, words, percent), "links"))
 
     # what is left: members in different components whose groups share a shingle with further groups
-    placed, state, every = left(labels)
+    placed, state, every = left(labels, source)
     # one of any two components is not the shingle's largest one, so only groups outside that one look for partners
     largest = every.groupBy("shingle", "low").agg(F.count("*").alias("k"))
     largest = largest.groupBy("shingle").agg(F.max(F.struct("k", "low")).alias("top")).select("shingle", "top.low")
