@@ -240,6 +240,71 @@ def test_scores(spark, monkeypatch):
     assert brown.score(docs.limit(0)).count() == 0
 
 
+def test_classes_of_all_words_and_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(brown, "CORE", 6)
+    monkeypatch.setattr(brown, "FREQUENT", 9)
+    rng = np.random.default_rng(6)
+    kinds = [[f"n{i}{i % 7}" for i in range(60)], [f"v{i}{i % 5}" for i in range(60)], ["the", "a", "of", "in"]]
+    line = lambda: " ".join(str(rng.choice(kinds[k])) for _ in range(int(rng.integers(1, 8))) for k in (2, 0, 1))
+    rows = [(i, line()) for i in range(120)] + [(500, "The unseen n00"), (501, None), (502, "v00 v11 v22 n33")]
+    seen, exchange = [], brown.word_classes
+
+    def kept(texts, core, classes, left):
+        words, matrix = exchange(texts, core, classes, left)
+        seen.append((core, classes, words.collect(), matrix))
+        return words, matrix
+
+    monkeypatch.setattr(brown, "word_classes", kept)
+    found = brown.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    core, classes, words, matrix = seen[0]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    tokens = lambda t: [*(w.encode() for w in WORD.findall(lower(t or ""))), b""]
+    counts = collections.Counter(w for i, t in rows if i not in held for w in tokens(t))
+    assert {bytes(r.word): r.n for r in words} == counts and len(words) == len(counts)
+    c = {bytes(r.word): r.c for r in words}
+    history = lambda w: classes[core.index(w) if w in core else brown.CORE + brown.endings([w])[0]]
+    assert all(c[w] == history(w) for w in core)
+    want, start = np.zeros((2, brown.CLASSES, brown.CLASSES))
+    for i, t in rows:
+        for v, w in zip([b"", *tokens(t)], tokens(t)) if i not in held else ():
+            want[history(v), c[w]] += 1
+            start[history(v), history(w)] += 1
+    assert (want == matrix).all()
+    assert brown.likelihood(matrix) > brown.likelihood(start) and any(c[w] != history(w) for w in c)
+    sizes = np.zeros(brown.CLASSES)
+    for w, n in counts.items():
+        sizes[c[w]] += n + 1
+    step = (want + brown.ALPHA) / (want + brown.ALPHA).sum(1, keepdims=True)
+    for r in found:
+        total = 0.0
+        text = dict(rows)[r.doc_id]
+        for v, w in zip([b"", *tokens(text)], tokens(text)):
+            if w in counts:
+                total += math.log10(step[history(v), c[w]] * (counts[w] + 1) / (sizes[c[w]] + 1))
+            else:
+                total += math.log10((step[history(v)] / (sizes + 1)).sum())
+        assert math.isclose(r.score, total, abs_tol=1e-6)
+
+
+def test_each_word_moves_to_the_class_of_the_highest_likelihood():
+    rng = np.random.default_rng(7)
+    codes, history = np.sort(rng.integers(0, 30, 400)), rng.integers(0, brown.CLASSES, 400)
+    values = pa.array([bytes([65 + i]) for i in range(30)], pa.large_binary())
+    _, n, packed = brown.cells(codes, history, np.ones(400), values)
+    own = rng.integers(0, 6, len(n))
+    matrix = rng.integers(0, 40, (brown.CLASSES, brown.CLASSES)).astype(float)
+    np.add.at(matrix, (history, own[np.unique(codes, return_inverse=True)[1]]), 1)
+    best = brown.chosen(packed, n.to_numpy(), own, matrix)
+    for word, code in enumerate(np.unique(codes)):
+        values = []
+        for c in range(brown.CLASSES):
+            changed = matrix.copy()
+            np.subtract.at(changed, (history[codes == code], own[word]), 1)
+            np.add.at(changed, (history[codes == code], c), 1)
+            values.append(brown.likelihood(changed))
+        assert values[best[word]] >= max(values) - 1e-6
+
+
 def test_probabilities_of_all_words_add_up_to_one():
     rng = np.random.default_rng(4)
     classes = rng.integers(0, brown.CLASSES, brown.CORE + brown.TAILS)
