@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import SHARD_BYTES, shard
+from .manifest import merged_puts
 
 # Column family of all tables; the layouts below join their parts with commas.
 KEY = ("row_key", "family", "qualifier")
@@ -79,16 +80,20 @@ def keyed_put(cells: DataFrame, table: str, batch: int | None = None, put: str |
 
     `put` names the put: the same name again replaces it (also by nothing, if there are no cells this
     time). Without a name it gets one that no other put has; without a batch, the time in microseconds.
+    The name of a put that `compaction` has merged is not used again: the cells go in beside it.
     """
     batch = time.time_ns() // 1000 if batch is None else batch
     name = re.sub(r"[^A-Za-z0-9-]", "-", put or uuid.uuid4().hex)
+    if put is not None and name in merged_puts(cells.sparkSession, table)[0]:
+        name = f"{name}-again-{uuid.uuid4().hex}"
     rows = collapse(cells).withColumn("batch", F.lit(batch).cast("long"))
     rows.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{table.rstrip('/')}/put={name}")
 
 
 def latest(puts: DataFrame) -> DataFrame:
     """The current value of each cell; combined map-side before its shuffle."""
-    return puts.groupBy(*KEY).agg(F.max_by("value", F.struct("batch", "put")).alias("value"))
+    put = F.coalesce("origin", "put") if "origin" in puts.columns else F.col("put")
+    return puts.groupBy(*KEY).agg(F.max_by("value", F.struct("batch", put.alias("put"))).alias("value"))
 
 
 def upsert(current: DataFrame, put: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def write_slices(slices: DataFrame, path: str, done: DataFrame | None = None) ->
     slices.write.mode("append").option("compression", "snappy").partitionBy("image").parquet(path)
 
 
+def complete_images(stored: DataFrame, listing: DataFrame, size: int) -> DataFrame:
+    """Images of `listing` (image, length) of which all slices of this size are stored; no bytes are read for it.
+
+    Offsets are made distinct before they are counted, so slices stored twice do not stand in for others.
+    """
+    held = stored.select("image", "offset").distinct().groupBy("image").agg(F.count("*").alias("held"))
+    both = listing.join(held, "image", "left")
+    return both.where(F.coalesce("held", F.lit(0)) >= F.ceil(F.col("length") / size)).select("image")
+
+
 def write_artifacts(artifacts: DataFrame, path: str) -> None:
     artifacts.write.mode("errorifexists").partitionBy("artifact_class").parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import sinks
@@ -10,7 +11,8 @@ from ..operators.cells import cells_block_to_media, cells_media_to_block, keyed_
 from ..operators.hashes import block_hashes
 from ..operators.histogram import byte_histogram, histogram_report, histogram_total
 from ..operators.scanners import scan, scan_email, to_artifacts
-from ..sources.files import read_raw
+from ..sources.files import read_absent, read_raw
+from ..sources.tables import read_slices
 
 
 def features_of_images(spark: SparkSession, path: str, out: str) -> None:
@@ -34,6 +36,21 @@ def slices_of_images(spark: SparkSession, path: str, out: str, done: DataFrame |
     sinks.write_slices(slices, out, done)
 
 
+def complete_slices(spark: SparkSession, path: str, out: str, **options) -> None:
+    """Bring the slice table up to all slices of the images under `path`, whatever of them it holds.
+
+    For runs that ended between the commits of their files, and for images that came later: what is stored is
+    neither read nor written again. `options` are those of `read_absent`; slices keep the size they were stored with.
+    """
+    try:
+        stored = read_slices(spark, out)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        stored = spark.createDataFrame([], "image string, offset bigint")
+    sinks.write_slices(read_absent(spark, path, stored, **{"overlap": MARGIN, **options}), out)
+
+
 def block_tables(spark: SparkSession, path: str, hashes: str, media: str, blocks: str, put: str | None = None) -> None:
     """Hash all blocks once into a table, and derive both keyed tables from it.
 

@@ -144,6 +144,12 @@ ORACLES: dict[str, str] = {
         (SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents GROUP BY source)""",
     "raw_email_scan": f"""WITH docs AS (SELECT source AS image, doc_id, text || chr(10) AS text FROM documents),
         {_mail("docs", "image, doc_id")} SELECT image AS source, count(*) AS n, count(DISTINCT feature) AS addresses FROM mail GROUP BY ALL""",
+    "raw_streamed": f"""WITH docs AS (SELECT source AS image, doc_id, text || chr(10) AS text FROM documents),
+        {_mail("docs", "image, doc_id")} SELECT image AS source, count(*) AS n, count(DISTINCT feature) AS addresses FROM mail GROUP BY ALL""",
+    "raw_unreadable": """SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS errors
+        FROM documents GROUP BY source UNION ALL SELECT '', NULL, 1""",
+    "slice_table_resumed": """SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes,
+        CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS open FROM documents GROUP BY source""",
     "top_level_domains": f"""SELECT page_id, host, contains(host, '.') AND upper(string_split(host, '.')[-1]) IN
         ({", ".join(f"'{n}'" for n in default_tlds())}) AS ok
         FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host FROM pages)""",
@@ -258,6 +264,7 @@ ORACLES: dict[str, str] = {
     "cells_collapsed": f"WITH {_EVENT_CELLS} SELECT row_key, family, qualifier, max(value) AS value FROM cells GROUP BY ALL",
     "cells_upserted": _UPSERTED,
     "keyed_table": _UPSERTED,
+    "compacted_table": _UPSERTED,
     "feature_text_files": f"""WITH {_MEDIA}, {_mail("docs", "image, base, h")}
         SELECT image, concat(base + pos, chr(9), feature, chr(9), {_escape(_CONTEXT)}) AS line FROM mail""",
     "feature_append_files": f"""WITH {_MEDIA}, {_PAGES}, {_mail("docs", "image, base")}, {_found("page_mail", "pagedocs", _BOUNDED, 1)}

@@ -13,13 +13,14 @@ from ..functions import digest, text
 from ..operators import artifacts as art
 from ..operators import cells as cell
 from ..operators import (
-    embedded, hashes, histogram, joins, keywords, membership, scanners, similarity, sinks, throughput,
+    compaction, embedded, hashes, histogram, joins, keywords, membership, scanners, similarity, sinks, throughput,
 )
 from ..operators.boundary import reslice, seams
 from ..operators.stitching import Within
 from ..session import new_folder
 from ..sources import files, logs, tables
 from ..streaming import ingest, seen
+from . import lifecycle
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +159,14 @@ def raw_image_tolerant(spark, sf_dir):
     return s.groupBy("source").agg(F.sum(F.length("data").cast("long")).alias("bytes"), F.count("error").alias("errors"))
 
 
+@query
+def raw_unreadable(spark, sf_dir):
+    """A tolerant scan of image files and of a folder that is gone: its error is a row of the result."""
+    path = v.raw_document_files(spark, sf_dir)
+    s = files.read_raw(spark, f"{path},{path}/gone", exclude=v.MARKS, onError="skip")
+    return s.groupBy(v.source_of().alias("source")).agg(F.sum(F.length("data").cast("long")).alias("bytes"), F.count("error").alias("errors"))
+
+
 @query
 def raw_ranges(spark, sf_dir):
     """Files of some sources, their first slices and the rest read apart; other files and ranges are not opened."""
@@ -579,6 +588,24 @@ def slice_table(spark, sf_dir):
     return tables.read_slices(spark, path).select("image", "offset", F.md5("data").alias("md5"))
 
 
+@query
+def slice_table_resumed(spark, sf_dir):
+    """A slice table that holds one slice of three of some images is completed: every slice once, of every image."""
+    path, out = v.raw_document_files(spark, sf_dir), new_folder(spark, "slices")
+    part = files.read_raw(spark, path, sliceBytes=v.SLICE, overlap=1024, exclude=v.MARKS).drop("error")
+    held = part.where((F.col("offset") % (3 * v.SLICE) == 0) & v.source_of().startswith("src1"))
+    sinks.write_slices(held, out)
+    lifecycle.complete_slices(spark, path, out, size=v.SLICE, exclude=v.MARKS)
+    s = tables.read_slices(spark, out).select("image", "offset", F.length("data").cast("long").alias("length"))
+    listing = files.list_images(spark, path, v.MARKS)
+    whole = sinks.complete_images(s, listing, v.SLICE).select("image", F.lit(1).alias("whole"))
+    by_image = s.groupBy("image").agg(F.sum("length").alias("bytes"), (F.count("*") - F.count_distinct("offset")).alias("twice"))
+    both = listing.where("length > 0").join(by_image, "image", "left").join(whole, "image", "left")
+    return both.groupBy(v.source_of().alias("source")).agg(
+        F.sum("bytes").alias("bytes"), F.sum("twice").alias("twice"), F.count_if(F.col("whole").isNull()).alias("open")
+    )
+
+
 @query
 def artifact_table(spark, sf_dir):
     path = new_folder(spark, "artifacts")
@@ -612,6 +639,33 @@ def streamed_cells(spark, sf_dir):
     return tables.scan_cells(spark, path)
 
 
+@query
+def compacted_table(spark, sf_dir):
+    """The puts of `keyed_table` merged while the table is in use: a later put, a repeated one, old folders deleted."""
+    path = new_folder(spark, "cells")
+    old, new = _last_keys(spark, sf_dir)
+    cell.keyed_put(old, path, 0)
+    cell.keyed_put(old.withColumn("value", F.lit("none")), path, 1, put="users")
+    compaction.compact_live(spark, path, 8)
+    cell.keyed_put(old, path, 1, put="users")
+    cell.keyed_put(new, path, 2)
+    compaction.vacuum(spark, path)
+    compaction.compact_live(spark, path, 8)
+    return tables.scan_cells(spark, path, "f")
+
+
+@query
+def raw_streamed(spark, sf_dir):
+    """Image files taken in as a stream, a third of their bytes at a time at most, by two runs with more files at the second."""
+    path, table, state = v.raw_document_files(spark, sf_dir), new_folder(spark, "streamed"), new_folder(spark, "progress")
+    total = files.list_images(spark, path, v.MARKS).agg(F.sum("length")).collect()[0][0] or 3
+    options = {"exclude": v.MARKS, "trigger_bytes": total // 3 + 1, "compact_every": 2}
+    ingest.ingest_raw(spark, path, table, state, prefix=f"{files.image_name(path)}/source=src1", **options)
+    ingest.ingest_raw(spark, path, table, state, **options)
+    cells = tables.scan_cells(spark, table).withColumn("source", v.source_of("qualifier"))
+    return cells.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("row_key").alias("addresses"))
+
+
 # ---- aggregations
 
 @query

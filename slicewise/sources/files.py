@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import key_ranges, running_sum
-from .rawimage import SLICE_BYTES, ImageListSource, RawImageSource, open_filesystem
+from .rawimage import SLICE_BYTES, ByteRange, ImageListSource, RawImageReader, RawImageSource, open_filesystem
 
 
 #: most bytes of a file in one row
@@ -46,6 +47,38 @@ def list_images(spark: SparkSession, path: str, exclude: str = "") -> DataFrame:
     return spark.read.format("imagelist").option("path", path).option("exclude", exclude).load()
 
 
+def read_absent(
+    spark: SparkSession, path: str, stored: DataFrame, size: int = SLICE_BYTES, overlap: int = 0, exclude: str = ""
+) -> DataFrame:
+    """The slices of the files under `path` that are not among `stored` (image, offset), which has slices of this size.
+
+    Only names and offsets are compared and shuffled; then each task opens the files for the slices it is to read, and
+    reads neighbouring ones together. Several paths have to be of one file system.
+    """
+    listed = list_images(spark, path, exclude).where("length > 0")
+    step = F.lit(size).cast("long")
+    wanted = listed.select("image", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("offset"))
+    absent = wanted.join(stored.select("image", "offset"), ["image", "offset"], "left_anti")
+    ordered = absent.repartitionByRange("image", "offset").sortWithinPartitions("image", "offset")
+    options = {"path": path, "slicebytes": size, "overlap": overlap}
+
+    def read(batches: Iterator) -> Iterator:
+        reader = RawImageReader(options)
+        for batch in batches:
+            ranges: list[ByteRange] = []
+            for row in batch.to_pylist():
+                stop = min(row["offset"] + size, row["length"])
+                if ranges and (ranges[-1].image, ranges[-1].stop) == (row["image"], row["offset"]):
+                    ranges[-1].stop = stop
+                else:
+                    ranges.append(ByteRange(reader.paths[0], row["image"], row["offset"], stop, row["length"]))
+            for r in ranges:
+                for part in reader.read_range(r):
+                    yield part.drop_columns(["error"])
+
+    return ordered.mapInArrow(read, "image string, offset bigint, data binary, before binary, after binary")
+
+
 def chunk(
     df: DataFrame, image: str | Column, data: str | Column, size: int = SLICE_BYTES, overlap: int = 0
 ) -> DataFrame:

@@ -12,7 +12,8 @@ Options
     exclude       patterns of file and folder names to leave out, joined by semicolons; default none
     prefix        beginning of the names of the files wanted
     from, to      first and last offset of the slices wanted
-    onError       "fail" (default) or "skip": an unreadable range gives one row with `error` set
+    onError       "fail" (default) or "skip": an unreadable range gives one row with `error` set, and so does a path
+                  under which there is nothing
 
 Ranges that are not wanted are never opened: options `prefix`, `from` and `to` give them. With `pushFilters` set to true,
 in sessions with `spark.sql.python.filterPushdown.enabled`, filters on `image` (equality, `in`, beginning of the name) and
@@ -147,7 +148,15 @@ class RawImageReader(DataSourceReader):
         return low, high
 
     def partitions(self) -> list[InputPartition]:
-        found = [(root, image, size) for root in self.paths for image, size in find_files(root, self.exclude)]
+        found, gone = [], []
+        for root in self.paths:
+            try:
+                found += [(root, image, size) for image, size in find_files(root, self.exclude)]
+            except FileNotFoundError:
+                if self.on_error == "fail":
+                    raise
+                # a range without bytes, whose task tells of the error
+                gone.append(ByteRange(root, open_filesystem(root)[1], 0, 0, 0))
         files = [f for f in found if self.wanted(f[1])]
         even = max(SMALLEST_SPLIT, sum(size for _, _, size in files) // self.min_tasks)
         step = max(1, min(self.split_bytes, even) // self.slice_bytes) * self.slice_bytes
@@ -157,7 +166,7 @@ class RawImageReader(DataSourceReader):
             for low, high in [self.bounds(size)]
             for start in range(low, high, step)
         ]
-        return pack(ranges, step)
+        return pack(gone + ranges, step)
 
     def read(self, partition: ByteRanges | None) -> Iterator:
         # without any partition Spark asks for the rows of None

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cells import latest
+from ..operators.compaction import live_puts
 
 #: columns that stand in folder names, and are text whatever they look like
 NAMES = ("image", "artifact_class", "put")
-CELLS = "row_key string, family string, qualifier string, value string, batch bigint, put string"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def read_artifacts(spark: SparkSession, path: str, fmt: str = "parquet", skip_co
 
 def scan_cells(spark: SparkSession, table: str, family: str | None = None) -> DataFrame:
     """Current cells of a keyed table, restricted to one column family if given."""
-    puts = spark.read.schema(CELLS).parquet(table)
+    puts = live_puts(spark, table)
     if family is not None:
         puts = puts.where(F.col("family") == family)
     return latest(puts)
