@@ -64,6 +64,19 @@ def test_similarity_to_seeds(spark, tokens):
     assert rows(got.select("image_a", "image_b", "shared")) == expected
 
 
+@pytest.mark.parametrize("block, meetings", [(1 << 19, 1 << 21), (25, 7), (3, 1)])
+def test_similarity_to_shuffles_no_pairs(spark, tokens, monkeypatch, block, meetings):
+    """One block, several, and seeds too large for one; a pair is a row only once it is counted."""
+    monkeypatch.setattr(similarity, "SEED_TOKENS", block)
+    monkeypatch.setattr(similarity, "MET", meetings)
+    expected = sorted((a, b, len(tokens[a] & tokens[b])) for a, b in itertools.permutations(tokens, 2) if tokens[a] & tokens[b])
+    frame = spark.createDataFrame([(i,) for i in tokens], "image string")
+    got = similarity.similarity_to(token_frame(spark, tokens), frame)
+    assert rows(got.select("image_a", "image_b", "shared")) == expected
+    if block > 3:
+        assert "hashpartitioning(image_a" not in got._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 1.0])
 def test_similar_pairs(spark, tokens, threshold):
     groups = defaultdict(list)
