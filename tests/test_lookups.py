@@ -167,6 +167,27 @@ def test_cosine_pairs_against_brute_force(spark, least):
     assert similarity.cosine_pairs(weights.limit(0), least).count() == 0
 
 
+def test_cosine_pairs_makes_few_candidates(spark, monkeypatch):
+    """Images that share a rare token or two, but are not similar, are never rows of their own."""
+    monkeypatch.setattr(similarity, "INDEX_TOKENS", 100, raising=False)
+    monkeypatch.setattr(similarity, "MET", 50, raising=False)
+    sizes, kept = {}, similarity.stored
+
+    def counted(df, name):
+        sizes[name] = df.count()
+        return kept(df, name)
+
+    monkeypatch.setattr(similarity, "stored", counted)
+    rng = random.Random(7)
+    docs = {k: rng.sample(range(60), 10) for k in range(60)} | {k: [*range(100, 110), k] for k in (60, 61)}
+    weights = spark.createDataFrame([(i, str(t), 1.0) for i, d in docs.items() for t in d], "image int, token string, weight double")
+    expected = {(a, b) for a, b in itertools.combinations(docs, 2) if len(set(docs[a]) & set(docs[b])) / math.sqrt(len(docs[a]) * len(docs[b])) >= 0.7}
+    assert (60, 61) in expected
+    assert {(r.image_a, r.image_b) for r in similarity.cosine_pairs(weights, 0.7).collect()} == expected
+    met = sum(bool(set(docs[a]) & set(docs[b])) for a, b in itertools.combinations(docs, 2))
+    assert met > 1000 and sizes["candidates"] < met / 10
+
+
 # ---- closures
 
 
