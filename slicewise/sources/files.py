@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import key_ranges, running_sum
+from ..session import stored as kept
 from .rawimage import SLICE_BYTES, ByteRange, ImageListSource, RawImageReader, RawImageSource, open_filesystem
 
 
 #: most bytes of a file in one row
 WHOLE_BYTES = (1 << 31) - 1
+#: bytes of absent slices that one task reads
+TASK_BYTES = 1 << 27
 
 
 def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -53,13 +56,16 @@ def read_absent(
     """The slices of the files under `path` that are not among `stored` (image, offset), which has slices of this size.
 
     Only names and offsets are compared and shuffled; then each task opens the files for the slices it is to read, and
-    reads neighbouring ones together. Several paths have to be of one file system.
+    reads neighbouring ones together. The number of tasks follows the bytes to be read, TASK_BYTES each, as the names that
+    stand for them are few. Several paths have to be of one file system.
     """
     listed = list_images(spark, path, exclude).where("length > 0")
     step = F.lit(size).cast("long")
     wanted = listed.select("image", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("offset"))
-    absent = wanted.join(stored.select("image", "offset"), ["image", "offset"], "left_anti")
-    ordered = absent.repartitionByRange("image", "offset").sortWithinPartitions("image", "offset")
+    absent = kept(wanted.join(stored.select("image", "offset"), ["image", "offset"], "left_anti"), "absent")
+    n = absent.count()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-n * size // TASK_BYTES))
+    ordered = absent.repartitionByRange(tasks, "image", "offset").sortWithinPartitions("image", "offset")
     options = {"path": path, "slicebytes": size, "overlap": overlap}
 
     def read(batches: Iterator) -> Iterator:

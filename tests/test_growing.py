@@ -111,6 +111,16 @@ def test_a_slice_table_cut_short_is_completed(spark, image_files, tmp_path):
     assert together(tables.read_slices(spark, fresh), path) == {k: v for k, v in data.items() if v}
 
 
+def test_absent_slices_are_read_by_as_many_tasks_as_their_bytes_need(spark, image_files, tmp_path, monkeypatch):
+    """The names of all absent slices fit one partition; what they stand for does not."""
+    path, data = image_files
+    monkeypatch.setattr(files, "TASK_BYTES", 4096, raising=False)
+    none = spark.createDataFrame([], "image string, offset bigint")
+    absent = files.read_absent(spark, path, none, size=512)
+    assert absent.rdd.getNumPartitions() >= sum(map(len, data.values())) / 4096 > 4
+    assert together(absent, path) == {k: v for k, v in data.items() if v}
+
+
 def test_complete_images(spark):
     listing = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10), ("e", 0)], "image string, length long")
     held = [("a", o) for o in (0, 4, 8)] + [("b", 0), ("b", 4), ("b", 4)]
