@@ -75,3 +75,14 @@ def test_chains_take_few_rounds(spark, monkeypatch):
     roots = stitching.chains(parts.unionByName(spark.sql("select 'a' image, 9000L start, 9001L end")), ["image"])
     assert {(r.start, r.root) for r in roots.collect()} == {(10 * k, 0) for k in range(300)} | {(9000, 9000)}
     assert len(made) <= 10
+
+
+@pytest.mark.parametrize("range_bytes", [64, 200, 1 << 22])
+def test_runs_of_a_range_need_no_chain(images, contents, monkeypatch, range_bytes):
+    """Fragments of one range are put together at once; only what reaches into another range is chained."""
+    monkeypatch.setattr(stitching, "RANGE_BYTES", range_bytes, raising=False)
+    called, chains = [], stitching.chains
+    monkeypatch.setattr(stitching, "chains", lambda *args: called.append(1) or chains(*args))
+    s = chunk(images(contents), "image", "data", 16)
+    assert found(scan_pattern(s, DIGITS)) == expected(contents, rb"[0-9]{4,}")
+    assert bool(called) == (range_bytes < 1 << 22)
