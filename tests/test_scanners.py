@@ -5,10 +5,11 @@ import re
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from slicewise.functions.patterns import default_tlds
 from slicewise.operators.boundary import reslice, seams
-from slicewise.operators.scanners import scan, scan_email, scan_email_anchor, scan_pattern, to_artifacts
+from slicewise.operators.scanners import found_by_pattern, scan, scan_email, scan_email_anchor, scan_pattern, to_artifacts
 from slicewise.sources.files import chunk, read_raw
 
 TLD8 = "|".join(sorted(default_tlds(), key=len, reverse=True)).encode()
@@ -188,3 +189,12 @@ def test_any_number_of_classes_reads_once(spark, tmp_path):
     assert [r.artifact_class for r in found.orderBy("offset").collect()] == ["number", "email", "word"] * 3
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchScan") == 1 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 5000])
+def test_positions_of_many_matches_are_not_appended_one_by_one(images, n):
+    """Offsets come from sums by doubling; a fold that appends was most of a scan's time."""
+    data = b"".join(b"x" * (k % 3) + b"%d" % k + b" " for k in range(n))
+    got = rows(scan_pattern(images({"i": data}).withColumn("offset", F.lit(0).cast("long")), "[0-9]+").select("offset", "feature"))
+    assert got == sorted((m.start(), m.group().decode()) for m in re.finditer(rb"[0-9]+", data))
+    assert "a.found" not in found_by_pattern("[0-9]+")
