@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, stored
+from ..session import stored
 from .joins import salted_join
 from .ordered import neighbours
 
@@ -20,7 +20,13 @@ def artifact_histogram(a: DataFrame) -> DataFrame:
 
 
 def artifact_by_image(a: DataFrame) -> DataFrame:
-    return a.groupBy("artifact", "image").agg(F.count("*").alias("n"))
+    """Rows per artifact and image. Nearly all such pairs are distinct, so the rows go to their task before they are
+    counted: a count in the reading task would hold all pairs of what it reads, however much that is.
+    """
+    # a number, as partitions without one are put together by their bytes, which are few for the pairs that they hold
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = a.select("artifact", "image").repartition(parts, "artifact", "image")
+    return dealt.groupBy("artifact", "image").agg(F.count("*").alias("n"))
 
 
 def inverted_index(a: DataFrame, width: int = INDEX_BYTES) -> DataFrame:
@@ -37,9 +43,9 @@ def inverted_index(a: DataFrame, width: int = INDEX_BYTES) -> DataFrame:
 
 def tfidf(a: DataFrame) -> DataFrame:
     """(artifact, image, tf, df, tfidf) with tf·ln(images / images with the artifact)."""
-    # Used three times below, and much smaller than the artifacts: computed once.
-    tf = cut_lineage(artifact_by_image(a).withColumnRenamed("n", "tf"))
-    df = tf.groupBy("artifact").agg(F.count("*").alias("df"))
+    # Used several times below: computed once.
+    tf = stored(artifact_by_image(a).withColumnRenamed("n", "tf"), "tf")
+    df = stored(tf.groupBy("artifact").agg(F.count("*").alias("df")), "df")
     images = tf.agg(F.count_distinct("image")).scalar()
     joined = salted_join(tf, df, "artifact", ["image"], counts=df.withColumnRenamed("df", "n"))
     return joined.select(

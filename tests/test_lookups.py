@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -167,6 +168,18 @@ def test_cosine_pairs_against_brute_force(spark, least):
     assert similarity.cosine_pairs(weights.limit(0), least).count() == 0
 
 
+def test_counts_by_image_are_made_behind_the_exchange(spark):
+    """No task holds the pairs of all it reads, and the weights are kept as columns, not as rows of a dump."""
+    a = spark.createDataFrame([("w", 1), ("w", 1), ("v", 1), ("w", 2)], "artifact string, image int")
+    counts = artifacts.artifact_by_image(a)
+    assert rows(counts) == [("v", 1, 1), ("w", 1, 2), ("w", 2, 1)]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_count") < plan.index("Exchange")
+    weights = artifacts.tfidf(a)
+    assert [tuple(r)[:4] for r in sorted(weights.collect())] == [("v", 1, 1, 1), ("w", 1, 2, 2), ("w", 2, 1, 2)]
+    assert not re.search(r"ExistingRDD\[artifact#\d+, ?image", weights._jdf.queryExecution().toString())
+
+
 def test_cosine_pairs_makes_few_candidates(spark, monkeypatch):
     """Images that share a rare token or two, but are not similar, are never rows of their own."""
     monkeypatch.setattr(similarity, "INDEX_TOKENS", 100, raising=False)
