@@ -30,6 +30,8 @@ DIMENSIONS = 512
 UNITS = 1 << 20
 #: cells of one matrix of trigram counts
 CELLS = 1 << 22
+#: bytes of text that are bundled at once, each of which takes about a hundred bytes of memory
+PIECE_BYTES = 1 << 19
 UNDETERMINED = "und"
 _UNSEEN = np.uint32(0xFFFFFFFF)
 
@@ -139,7 +141,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         space, sums = Space(dimensions), {}
         for batch in batches:
             names = batch.column(1).to_pylist()
-            for low, _, data, rows in arrays.pieces(batch.column(0)):
+            for low, _, data, rows in arrays.pieces(batch.column(0), PIECE_BYTES):
                 for first, end, vectors in space.bundles(data, rows):
                     length = np.linalg.norm(vectors, axis=1)
                     unit = np.rint(vectors * (UNITS / np.maximum(length, 1e-9))[:, None]).astype(np.int64)
@@ -178,7 +180,7 @@ def predict(docs: DataFrame, prototypes: dict, text: str = "text") -> DataFrame:
         for batch in batches:
             best = np.full(batch.num_rows, len(names))
             score = np.zeros(batch.num_rows)
-            for low, _, data, rows in arrays.pieces(batch.column(batch.schema.get_field_index(text))):
+            for low, _, data, rows in arrays.pieces(batch.column(batch.schema.get_field_index(text)), PIECE_BYTES):
                 for first, end, vectors in space.bundles(data, rows) if names else ():
                     length = np.linalg.norm(vectors, axis=1)
                     cosine = vectors @ matrix.T / np.maximum(length, 1e-9)[:, None]

@@ -328,3 +328,18 @@ def test_exchanges_raise_the_likelihood():
         classes = brown.exchanged(left, right, classes)
     assert max(values) > values[0]
     assert not set(classes[:20]) & set(classes[20:])  # words of even places are never in a class with those of odd ones
+
+
+def test_language_vectors_need_bounded_memory():
+    """Texts are bundled in small pieces, whose arrays take many times the bytes of the texts."""
+    import tracemalloc
+
+    space = language_id.Space(language_id.DIMENSIONS)
+    texts = pa.array([f"word{k % 97} other{k % 89} " * 40 for k in range(5000)])
+    tracemalloc.start()
+    for _, _, data, rows in arrays.pieces(texts, language_id.PIECE_BYTES):
+        for _ in space.bundles(data, rows):
+            pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
