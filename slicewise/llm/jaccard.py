@@ -216,7 +216,7 @@ def prefixes(docs: DataFrame, text: str, words: int, percent: int, last: np.ndar
 
 
 def wanted_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(v, shingles) of the sets named in `wanted` (v), each once in a task, and of some more.
+    """(v, shingles) of the sets named in `wanted` (v, may repeat), each once in a task, and of some more.
 
     A filter of FILTER_BITS bits, built by tasks and of that size whatever the number of sets, goes to the tasks that
     read the documents; what it lets through by chance meets no pair.
@@ -248,14 +248,11 @@ def wanted_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> Da
 
 
 def verified(pairs: DataFrame, maps: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.
+    """Those of the pairs (a, b), each given once, whose sets are similar enough.
 
-    `maps` (v, n, map) rules out most others before any set is moved. Then each set is dealt out once, and one of the
-    two once more for each pair.
+    `maps` (v, n, map; each v once) rules out most others before any set is moved. Then each set is dealt out once, and
+    one of the two once more for each pair.
     """
-    pairs = stored(pairs.select("a", "b").distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    maps = stored(maps.join(ends, "v", "left_semi").dropDuplicates(["v"]), "maps")
     left = maps.select(F.col("v").alias("a"), "n", "map")
     right = maps.select(F.col("v").alias("b"), F.col("n").alias("n2"), F.col("map").alias("map2"))
     near = pairs.join(left, "a").join(right, "b")
@@ -264,7 +261,7 @@ def verified(pairs: DataFrame, maps: DataFrame, docs: DataFrame, text: str, word
     )
     near = near.where((100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("n") + F.col("n2")).cast("long"))
     pairs = stored(near.select("a", "b"), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v"))
     # equal sets of different tasks meet here; the exchange serves both sides
     sets = wanted_sets(docs, text, words, ends).repartition("v").dropDuplicates(["v"])
     left = pairs.join(sets, pairs["a"] == sets["v"]).select("a", "b", F.col("shingles").alias("left"))
@@ -279,27 +276,30 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def joined_labels(labels: DataFrame, links: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """Labels (v, label) after links (a, b) join their components; `of` gives the label of every class where it is known."""
-    if of is None:
-        ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
-        of = stored(labels.unionByName(ends.join(labels, "v", "left_anti").select("v", F.col("v").alias("label"))), "labels")
+def joined_labels(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """`placed` (v, label, ...) after links (a, b) join their components."""
+    of = placed.select("v", "label")
     bridges = links.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(
         F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")
     )
-    whole = components(bridges.where("a != b").distinct()).toDF("label", "whole")
-    return stored(of.join(whole, "label", "left").select("v", F.coalesce("whole", "label").alias("label")), "labels")
+    bridges = stored(bridges.where("a != b").distinct(), "bridges")
+    if bridges.isEmpty():
+        return placed
+    whole = components(bridges).toDF("label", "whole")
+    after = placed.join(whole, "label", "left").withColumn("label", F.coalesce("whole", "label"))
+    return stored(after.select(*placed.columns), "placed")
 
 
 def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """(v, label): the component of every class that has a link."""
+    """(v, label): the component of every class."""
     repeated = marks.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     listed = frequent(repeated, "times", FREQUENT).toArrow().sort_by("shingle")
     last, weight = listed.column("shingle").to_numpy(), listed.column("times").to_numpy()
     rows = stored(prefixes(docs, text, words, percent, last, weight), "prefixes")
-    members = stored(rows.select("v", "n", "g").distinct(), "members")
+    # equal sets of different tasks meet here
+    members = stored(rows.select("v", "n", "g", "map").dropDuplicates(["v"]), "members")
+    maps, members = members.select("v", "n", "map"), members.select("v", "n", "g")
     firsts = members.groupBy("g").agg(F.min("v").alias("first"))
-    maps = rows.select("v", "n", "map")
     cold = rows.select(F.posexplode("cold").alias("at", "shingle"), "g")
     warm = rows.where(F.size("hot") > 0).select(F.size("cold").alias("c"), F.posexplode("hot").alias("at", "shingle"), "g")
     warm = warm.select((F.col("at") + F.col("c")).alias("at"), "shingle", "g")
@@ -342,32 +342,31 @@ def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
     # pairs that only shingles of two groups give are all tried; of the others, those of each group that share most
     stars = stars.where("g != hub").select("g", "hub", "more").groupBy("g", "hub").agg(
         F.count("*").alias("k"), F.min("more").alias("more")
-    )
+    ).repartition("g")
     best = F.row_number().over(W.partitionBy("g", "more").orderBy(F.desc("k"), "hub"))
     stars = stars.withColumn("r", best).where((F.col("r") <= TRIES) | ~F.col("more")).select("g", "hub").join(bounds, "g")
     stars = stars.join(bounds.select("g", *facts).toDF("hub", *theirs), "hub").where(fits())
     # each member meets the first members of the hubs that its group shares most with, and of its own group
     stars = stars.select("g", F.col("hub").alias("h")).join(firsts.withColumnRenamed("g", "h"), "h").select("g", "first")
     tried = ordered(members.join(stars, "g"), "v", "first").unionByName(ordered(members.join(firsts, "g"), "v", "first"))
+    # written, as later rounds leave these pairs out
+    tried = stored(tried.distinct(), "candidates")
     links = stored(verified(tried, maps, docs, text, words, percent), "links")
-    labels = components(links)
+    label = F.coalesce("label", F.col("v")).alias("label")
+    placed = stored(members.join(components(links), "v", "left").select("v", "n", "g", label), "placed")
 
-    def left(labels, source):
-        """(members with their labels, groups with theirs, and the shingles whose groups are not all in one component)."""
-        label = F.coalesce("label", F.col("v"))
-        placed = stored(members.join(labels, "v", "left").select("v", "n", "g", label.alias("label")), "placed")
+    def left(placed, source):
+        """(groups with their labels, and the shingles whose groups are not all in one component)."""
         several = (F.count("*") > 1).alias("several")
         state = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), several)
         wide = source.join(state, "g")
         mixed = wide.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h"), (F.count("*") > 2).alias("more"), F.max("several").alias("several"))
         mixed = mixed.where("l != h and (more or several)").select("shingle")
-        return placed, state, stored(wide.drop("several").join(mixed, "shingle").join(bounds, "g"), "mixed")
+        return state, stored(wide.drop("several").join(mixed, "shingle").join(bounds, "g"), "mixed")
 
     # members in different components meet the first member of one more hub of each shingle, in a new order each round
-    source = shared
+    state, every = left(placed, shared)
     for turn in range(ROUNDS):
-        placed, state, every = left(labels, source)
-        source = every.select(*columns)  # components only grow, so no other shingle comes in question later
         if every.isEmpty():
             break
         # first the most central one, which has the fewest shingles of its own; then any
@@ -378,12 +377,16 @@ def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
         met = met.select("g", *facts, "hub").distinct().join(bounds.select("g", *facts).toDF("hub", *theirs), "hub").where(fits())
         first = firsts.toDF("hub", "first").join(placed.select(F.col("v").alias("first"), F.col("label").alias("at")), "first")
         met = met.select("g", "hub").join(first, "hub").select("g", "first", "at").join(placed, "g").where("label != at")
-        fresh = stored(ordered(met, "v", "first").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.select("a", "b").unionByName(fresh)
-        labels = joined_labels(labels, stored(verified(fresh, maps, docs, text, words, percent), "links"))
+        fresh = stored(ordered(met, "v", "first").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+        if fresh.isEmpty():
+            continue
+        tried = tried.unionByName(fresh)
+        after = joined_labels(placed, stored(verified(fresh, maps, docs, text, words, percent), "links"))
+        if after is not placed:
+            placed = after
+            state, every = left(placed, every.select(*columns))  # components only grow, so no other shingle comes in question
 
     # what is left: members in different components whose groups share a shingle with further groups
-    placed, state, every = left(labels, source)
     # one of any two components is not the shingle's largest one, so only groups outside that one look for partners
     largest = every.groupBy("shingle", "low").agg(F.count("*").alias("k"))
     largest = largest.groupBy("shingle").agg(F.max(F.struct("k", "low")).alias("top")).select("shingle", "top.low")
@@ -393,24 +396,25 @@ def class_labels(docs: DataFrame, marks: DataFrame, text: str, words: int, perce
     apart = (F.col("low") != F.col("low2")) | (F.col("high") != F.col("high2")) | (F.col("low") != F.col("high"))
     # if this is the first shingle that both have, they share no more than what comes from it on; where it is not the
     # first, the first one gives the pair
-    left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")).cast("long")
-    first = (100 + percent) * left >= percent * (F.col("n") + F.col("n2"))
+    common = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")).cast("long")
+    first = (100 + percent) * common >= percent * (F.col("n") + F.col("n2"))
     pairs = outside.join(other, "shingle").where((F.col("g") != F.col("g2")) & first & fits() & apart)
     pairs = ordered(pairs, "g", "g2").distinct().toDF("g", "g2")
     pairs = pairs.unionByName(state.where("low != high").select("g", F.col("g").alias("g2")))
     one = placed.select(F.col("v").alias("a"), "g", F.col("label").alias("la"))
     two = placed.select(F.col("v").alias("b"), F.col("g").alias("g2"), F.col("label").alias("lb"))
     rest = ordered(pairs.join(one, "g").join(two, "g2").where("la != lb"), "a", "b")
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(rest, maps, docs, text, words, percent), "links")
-    return joined_labels(labels, more, placed.select("v", "label"))
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
+    if not rest.isEmpty():
+        placed = joined_labels(placed, stored(verified(rest, maps, docs, text, words, percent), "links"))
+    return placed.select("v", "label")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT):
     """(key, n_shingles, component_id) of every row: the component by its smallest id."""
     marks = stored(signatures(docs, key, text, words), "signatures")
     rows = marks.where("n is not null").select("id", "n", "v")
-    labels = stored(class_labels(docs, marks, text, words, percent), "classes")
+    labels = class_labels(docs, marks, text, words, percent)
     classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"))
     known = classes.join(labels, "v", "left").select("v", "least", F.coalesce("label", F.col("v")).alias("label"))
     smallest = known.groupBy("label").agg(F.min("least").alias("component_id"))

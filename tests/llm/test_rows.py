@@ -82,6 +82,19 @@ def test_near_copies_against_brute_force(spark, monkeypatch, seed, most):
     assert got == brute_components(rows)
 
 
+def test_near_copies_deal_out_rows_a_bounded_number_of_times(spark, monkeypatch):
+    """Each exchange and each write costs the driver memory, whatever the size of the table."""
+    exchanges = []
+
+    def counted(df, name):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return tables.stored(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    jaccard.near_copies(spark.createDataFrame(copies(1), "doc_id long, text string")).collect()
+    assert len(exchanges) <= 24 and sum(exchanges) <= 95
+
+
 def test_near_copies_of_no_rows(spark):
     assert jaccard.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
