@@ -31,10 +31,9 @@ held out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +70,31 @@ def with_ends(values: pa.Array, before: np.ndarray) -> tuple[pa.Array, np.ndarra
     return tokens, before + np.arange(n + 1)
 
 
-def endings(values: list[bytes]) -> np.ndarray:
+def flat(values: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all values in a row, where each begins in them and the last one ends)."""
+    values = pa.array(values, pa.large_binary()) if isinstance(values, list) else values.cast(pa.large_binary())
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
+def places(values: pa.Array | list[bytes], listed: pa.Array) -> np.ndarray:
+    """The place of each value in a list, or -1."""
+    values = pa.array(values, pa.large_binary()) if isinstance(values, list) else values
+    return pc.fill_null(pc.index_in(values, value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def endings(values: pa.Array | list[bytes]) -> np.ndarray:
     """The unit of each word by its last three bytes, counted from 0."""
-    code = np.array([int.from_bytes(v[-3:], "big") + 1 for v in values], np.uint64)
+    data, at = flat(values)
+    code = np.zeros(len(at) - 1, np.uint64)
+    for k in (3, 2, 1):
+        inside = np.flatnonzero(at[1:] - k >= at[:-1])
+        code[inside] = code[inside] * np.uint64(256) + data[at[1:][inside] - k]
+    code += np.uint64(1)
     with np.errstate(over="ignore"):
         return (arrays.mixed(code * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(TAILS)).astype(np.int64)
 
@@ -83,11 +104,12 @@ class Units:
 
     def __init__(self, core: list[bytes]):
         self.core = {w: i for i, w in enumerate(core)}
+        self.listed = pa.array(core, pa.large_binary())
 
-    def of(self, values: list[bytes]) -> np.ndarray:
-        own = np.array([self.core.get(v, -1) for v in values], np.int64)
+    def of(self, values: pa.Array) -> np.ndarray:
+        own = places(values, self.listed)
         tail = np.flatnonzero(own < 0)
-        own[tail] = CORE + endings([values[i] for i in tail])
+        own[tail] = CORE + endings(values.take(pa.array(tail)))
         return own
 
 
@@ -95,24 +117,30 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of all texts, the end token among them."""
 
     def run(batches):
-        held: dict[bytes, int] = {}
+        held, size = [], 0
 
-        def passed():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"]
-            )
-            held.clear()
+        def added():
+            codes, distinct = arrays.coded(pa.concat_arrays([v for v, _ in held]))
+            return distinct, np.bincount(codes, np.concatenate([n for _, n in held]), len(distinct)).astype(np.int64)
+
+        def passed(values, n):
+            return pa.RecordBatch.from_arrays([values.cast(pa.binary()), pa.array(n)], ["word", "n"])
 
         for batch in batches:
-            held[END] = held.get(END, 0) + batch.num_rows
+            held.append((pa.array([END], pa.large_binary()), np.array([batch.num_rows])))
             for _, _, data, rows in arrays.pieces(batch.column(0)):
                 values, _ = arrays.words(data, rows)
                 codes, distinct = arrays.coded(values)
-                for value, n in zip(distinct.to_pylist(), np.bincount(codes, minlength=len(distinct)).tolist()):
-                    held[value] = held.get(value, 0) + n
-                if len(held) > HELD:
-                    yield from passed()
-        yield from passed()
+                held.append((distinct, np.bincount(codes, minlength=len(distinct))))
+                size += len(distinct)
+                if size > 2 * HELD:
+                    held = [added()]
+                    size = len(held[0][0])
+                    if size > HELD:
+                        yield passed(*held[0])
+                        held, size = [], 0
+        if held:
+            yield passed(*added())
 
     return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -127,7 +155,7 @@ def unit_texts(texts: DataFrame, core: list[bytes]) -> DataFrame:
             for _, _, data, rows in arrays.pieces(batch.column(0)):
                 tokens, _ = with_ends(*arrays.words(data, rows))
                 codes, distinct = arrays.coded(tokens)
-                found = units.of(distinct.to_pylist())[codes]
+                found = units.of(distinct)[codes]
                 line = np.concatenate([[units.core[END]], found]).astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["units"])
 
@@ -238,10 +266,10 @@ def cells(codes: np.ndarray, history: np.ndarray, times: np.ndarray, values: pa.
 
 def uncelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, history, times) of each cell, and the first cell of each row."""
-    packed = column.to_pylist()
-    many = np.array([len(p) // 8 for p in packed], np.int64)
-    flat = np.frombuffer(b"".join(packed), "<i8")
-    return np.repeat(np.arange(len(packed)), many), flat % CLASSES, flat // CLASSES, np.cumsum(many) - many
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data, at = flat(column)
+    packed = np.frombuffer(data.tobytes(), "<i8")
+    return np.repeat(np.arange(len(column)), np.diff(at) // 8), packed % CLASSES, packed // CLASSES, at[:-1] // 8
 
 
 def contexts(texts: DataFrame, core: list[bytes], classes: np.ndarray) -> DataFrame:
@@ -268,7 +296,7 @@ def contexts(texts: DataFrame, core: list[bytes], classes: np.ndarray) -> DataFr
             for _, _, data, rows in arrays.pieces(batch.column(0)):
                 tokens, before = with_ends(*arrays.words(data, rows))
                 codes, distinct = arrays.coded(tokens)
-                unit = units.of(distinct.to_pylist())[codes]
+                unit = units.of(distinct)[codes]
                 outside = np.flatnonzero(unit >= CORE)
                 held.append((tokens.take(pa.array(outside)), histories(classes[unit], before, classes[0])[outside]))
                 if sum(len(h) for _, h in held) >= GATHERED:
@@ -280,7 +308,7 @@ def contexts(texts: DataFrame, core: list[bytes], classes: np.ndarray) -> DataFr
         last = None
 
         def rows(word, n, packed):
-            c = classes[CORE + endings(word.to_pylist())]
+            c = classes[CORE + endings(word)]
             return pa.RecordBatch.from_arrays([word, n, packed, pa.array(c)], [*names, "c"])
 
         for batch in batches:
@@ -308,7 +336,18 @@ def by_turn(words: DataFrame) -> DataFrame:
 
 
 def chosen(column: pa.Array, n: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The class of each word at which the likelihood is highest, all other words staying where they are."""
+    """The class of each word at which the likelihood is highest, all other words staying where they are.
+
+    Words of one class with the same cells, as most rare ones are, have the same answer, which is worked out once.
+    """
+    codes, _ = arrays.coded(column)
+    _, first, again = np.unique(codes.astype(np.int64) * CLASSES + own, return_index=True, return_inverse=True)
+    parts = [first[low : low + AT_ONCE] for low in range(0, len(first), AT_ONCE)]
+    found = [_chosen(column.take(pa.array(p)), n[p], own[p], matrix) for p in parts]
+    return np.concatenate([own[:0], *found])[again]
+
+
+def _chosen(column: pa.Array, n: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     row, history, times, starts = uncelled(column)
     each, totals = np.arange(len(own)), matrix.sum(0)
     rest = matrix[history]
@@ -320,13 +359,6 @@ def chosen(column: pa.Array, n: np.ndarray, own: np.ndarray, matrix: np.ndarray)
     return np.where(gain[each, own] >= gain.max(1) - 1e-9, own, gain.argmax(1))
 
 
-def parts_of(batches) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, at most AT_ONCE in one."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, AT_ONCE):
-            yield batch.slice(low, AT_ONCE)
-
-
 def word_matrix(words: DataFrame, matrix: np.ndarray | None = None) -> np.ndarray:
     """How often a class follows a class of history, over all rows of `words`.
 
@@ -336,7 +368,7 @@ def word_matrix(words: DataFrame, matrix: np.ndarray | None = None) -> np.ndarra
 
     def run(batches):
         matrix, sums = shipped.value, np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in parts_of(batches):
+        for batch in batches:
             row, history, times, _ = uncelled(batch.column(1))
             own = batch.column(2).to_numpy()
             if matrix is None:
@@ -361,7 +393,7 @@ def moved(words: DataFrame, steps: list[np.ndarray | None]) -> DataFrame:
 
     def run(batches):
         steps = shipped.value
-        for batch in parts_of(batches):
+        for batch in batches:
             c, turns = batch.column(3).to_numpy().copy(), batch.column(4).to_numpy()
             for turn, matrix in enumerate(steps):
                 some = np.flatnonzero(turns == turn)
@@ -444,7 +476,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held=held_ou
     words, matrix = word_classes(train, core, classes, left)
     model = Model(core, classes, matrix, class_sizes(words))
     list_ = frequent(words, "n", FREQUENT, F.length("word") <= LONGEST).toArrow()
-    place = {w: i for i, w in enumerate(list_.column("word").to_pylist())}
+    place = pa.array(list_.column("word").to_pylist(), pa.large_binary())
     # one place more, for words that are not in the list
     listed = np.array([[*list_.column(name).to_pylist(), 0] for name in ("n", "c")], np.int64)
     shipped = spark.sparkContext.broadcast((core, classes, model.known, place, listed))
@@ -462,9 +494,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held=held_ou
             for low, high, data, at in arrays.pieces(batch.column(1)):
                 tokens, before = with_ends(*arrays.words(data, at))
                 codes, different = arrays.coded(tokens)
-                values = different.to_pylist()
-                previous = histories(classes[units.of(values)][codes], before, classes[0])
-                found = np.array([place.get(v, -1) for v in values], np.int64)[codes]
+                previous = histories(classes[units.of(different)][codes], before, classes[0])
+                found = places(different, place)[codes]
                 counts, c = listed[:, found]
                 sure = found >= 0
                 gain = np.log10(counts + 1.0)
@@ -482,10 +513,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held=held_ou
                 if not len(rare):
                     continue
                 row = np.searchsorted(before, rare, "right") - 1
-                pair = (row * len(values) + codes[rare]) * CLASSES + previous[rare]
+                pair = (row * len(different) + codes[rare]) * CLASSES + previous[rare]
                 pair, times = np.unique(pair, return_counts=True)
                 history, pair = pair % CLASSES, pair // CLASSES
-                row, code = pair // len(values), pair % len(values)
+                row, code = pair // len(different), pair % len(different)
                 zero, nothing = pa.array(np.zeros(len(pair), np.int64)), pa.array(np.zeros(len(pair)))
                 columns = [keys.take(pa.array(row)), held.take(pa.array(row)), pa.array(lines[row]), zero, zero, nothing]
                 columns += [nothing, different.take(pa.array(code)).cast(pa.binary()), pa.array(times.astype(np.int64))]

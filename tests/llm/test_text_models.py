@@ -305,6 +305,25 @@ def test_each_word_moves_to_the_class_of_the_highest_likelihood():
         assert values[best[word]] >= max(values) - 1e-6
 
 
+def test_words_alike_are_looked_at_once(monkeypatch):
+    seen, one = [], brown._chosen
+    monkeypatch.setattr(brown, "_chosen", lambda column, *rest: seen.append(len(column)) or one(column, *rest))
+    matrix = np.random.default_rng(3).integers(0, 40, (brown.CLASSES, brown.CLASSES)).astype(float)
+    cell = [(1 * brown.CLASSES + h).to_bytes(8, "little") for h in (5, 9)]
+    own = np.array([0, 1, 0, 0] * 500)
+    column = pa.array([cell[0], cell[0], cell[1], cell[0]] * 500, pa.binary())
+    best = brown.chosen(column, np.ones(2000, np.int64), own, matrix)
+    assert sum(seen) == 3 and best.tolist() == one(column, np.ones(2000, np.int64), own, matrix).tolist()
+
+
+def test_endings_by_definition():
+    words = [b"", b"a", b"ab", b"abc", b"xabc", "é".encode(), b"zz"]
+    got = brown.endings(pa.array([b"cut", *words], pa.binary())[1:]).tolist()
+    assert got == brown.endings(words).tolist() and got[3] == got[4]
+    code = np.array([int.from_bytes(w[-3:], "big") + 1 for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert got == (arrays.mixed(code) % np.uint64(brown.TAILS)).astype(int).tolist()
+
+
 def test_probabilities_of_all_words_add_up_to_one():
     rng = np.random.default_rng(4)
     classes = rng.integers(0, brown.CLASSES, brown.CORE + brown.TAILS)
