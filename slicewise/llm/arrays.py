@@ -73,7 +73,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, PIECE_BYTES + (PIECE_BYTES >> 1))
+        size = n + (n >> 1)  # follows the pieces, so that small ones need no large tables
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             factors = np.full(size, base & _MASK, np.uint64)
             factors[0] = 1

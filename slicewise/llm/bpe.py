@@ -35,7 +35,9 @@ NONE = np.int64(1) << 62
 #: cells of one matrix of trees
 CELLS = 1 << 21
 #: distinct pre-tokens kept by a task
-KEPT = 1 << 19
+KEPT = 1 << 18
+#: bytes of text that are worked on at once
+PIECE_BYTES = 1 << 20
 
 # Code points with the property White_Space.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -242,7 +244,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.cutter = vocabulary, Cutter(vocabulary.special)
-        self.known: dict[bytes, tuple[bytes, int, bytes, np.ndarray]] = {}
+        self.known: dict[bytes, tuple[bytes, int, bytes, bytes]] = {}
 
     def learn(self, values: list[bytes]) -> None:
         if len(self.known) > KEPT:
@@ -252,9 +254,10 @@ class Encoder:
         for value, ids in zip(new, encode_pieces(new, self.vocabulary)):
             listed = ids.tolist()
             text = ",".join(map(str, listed)).encode()
-            self.known[value] = (text, len(listed), b"".join([parts[i] for i in listed]), ids.astype(np.int32))
+            plain = b"".join([parts[i] for i in listed])
+            self.known[value] = (text, len(listed), value if plain == value else plain, ids.astype(np.int32).tobytes())
         for content, i in self.vocabulary.special.items():
-            self.known[content] = (str(i).encode(), 1, parts[i], np.array([i], np.int32))
+            self.known[content] = (str(i).encode(), 1, parts[i], np.array([i], np.int32).tobytes())
 
     def looked_up(self, data: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, np.ndarray, list[tuple]]:
         """(code of each pre-token, number of pre-tokens before each row, what is known of each code)."""
@@ -285,7 +288,9 @@ class Encoder:
     def lists(self, looked_up: tuple) -> pa.Array:
         """The ids of each row."""
         codes, before, found = looked_up
-        ids = pa.array([f[3] for f in found], pa.large_list(pa.int32())).take(codes)
+        ends = np.concatenate([[0], np.cumsum([f[1] for f in found])]).astype(np.int64)
+        known = pa.array(np.frombuffer(b"".join([f[3] for f in found]), np.int32))
+        ids = pa.LargeListArray.from_arrays(pa.array(ends), known).take(codes)
         return pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[before], pa.int32()), ids.values)
 
 
@@ -307,7 +312,7 @@ def encode(docs: DataFrame, source: str, text: str = "text", ids: bool = False,
         encoder = Encoder(Vocabulary(shipped.value))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for low, high, data, rows in arrays.pieces(column):
+            for low, high, data, rows in arrays.pieces(column, PIECE_BYTES):
                 n, digest, back, decoded = [], [], [], []
                 got = encoder.looked_up(data, rows)
                 for count, joined, plain in encoder.texts(got):

@@ -49,6 +49,8 @@ MAPS, FOLDS = 32, 4
 BITS = [f"b{k}" for k in range(FOLDS)]
 #: shingles a task looks at together when it counts repetitions
 HELD = 6 << 20
+#: bytes of text that are worked on at once, and rows whose parity maps are counted at once
+PIECE_BYTES, MAP_ROWS = 1 << 19, 256
 #: bits of the filter that tells which sets are needed
 FILTER_BITS = 1 << 25
 _FACTORS = np.array(
@@ -103,11 +105,15 @@ def parity_maps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     The bits in which two maps differ are at most as many as the shingles that only one of the sets has. That also
     holds for maps that are folded by exclusive or.
     """
-    width, rows = 64 * MAPS, len(starts) - 1
-    row = np.repeat(np.arange(rows), np.diff(starts))
-    at = row * width + ((values >> 9) & (width - 1))
-    odd = (np.bincount(at, minlength=rows * width) & 1).astype(np.uint8).reshape(rows, width)
-    return np.packbits(odd, axis=1).view(np.int64)
+    width, parts = 64 * MAPS, [np.zeros((0, MAPS), np.int64)]
+    for low in range(0, len(starts) - 1, MAP_ROWS):
+        ends = starts[low : low + MAP_ROWS + 1]
+        rows = len(ends) - 1
+        row = np.repeat(np.arange(rows), np.diff(ends))
+        at = row * width + ((values[ends[0] : ends[-1]] >> 9) & (width - 1))
+        odd = (np.bincount(at, minlength=rows * width) & 1).astype(np.uint8).reshape(rows, width)
+        parts.append(np.packbits(odd, axis=1).view(np.int64))
+    return np.concatenate(parts)
 
 
 def prefix_length(n, percent: int):
@@ -137,15 +143,26 @@ def prefix(values: np.ndarray, length: int, last: np.ndarray, weight: np.ndarray
     return cold, rest[np.lexsort((rest, weight[at]))][: length - len(cold)]
 
 
+def repeated_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur more than once, and how often; `values` is sorted in place."""
+    values.sort()
+    same = values[1:] == values[:-1]
+    first, last = same.copy(), same.copy()
+    first[1:] &= ~same[:-1]
+    last[:-1] &= ~same[1:]
+    begin = np.flatnonzero(first)
+    return values[begin], np.flatnonzero(last) - begin + 2
+
+
 def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(id, n, v) per row, v naming its set, and (shingle, times) for shingles that repeat among a task's rows."""
 
     def run(batches):
-        held, size = [], 0
+        # one array is filled and sorted in place; pages that are not reached take no memory
+        held, size = np.empty(HELD, np.int64), 0
 
         def repeated():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            values, counts = values[counts > 1], counts[counts > 1]
+            values, counts = repeated_values(held[:size])
             none = len(values)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(none, kind), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.array(values),
@@ -155,7 +172,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
         names, kind = ["id", "n", "v", "shingle", "times"], pa.int64()
         for batch in batches:
             kind = batch.column(0).type
-            for low, high, data, rows in arrays.pieces(batch.column(1)):
+            for low, high, data, rows in arrays.pieces(batch.column(1), PIECE_BYTES):
                 values, starts = shingle_sets(data, rows, words)
                 n, sizes = high - low, np.diff(starts)
                 yield pa.RecordBatch.from_arrays(
@@ -163,12 +180,12 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                      pa.array(digests(values, starts, 1), mask=sizes == 0), pa.nulls(n, pa.int64()),
                      pa.nulls(n, pa.int64())], names,
                 )
-                held.append(values)
-                size += len(values)
-                if size > HELD:
+                if size + len(values) > len(held):
                     yield from repeated()
-                    held, size = [], 0
-        if held:
+                    held, size = np.empty(max(HELD, len(values)), np.int64), 0
+                held[size : size + len(values)] = values
+                size += len(values)
+        if size:
             yield from repeated()
 
     schema = f"id {docs.schema[key].dataType.simpleString()}, n int, v bigint, shingle bigint, times bigint"
@@ -186,7 +203,7 @@ def prefixes(docs: DataFrame, text: str, words: int, percent: int, last: np.ndar
         last, weight = shipped.value
         seen: set[int] = set()
         for batch in batches:
-            for _, _, data, rows in arrays.pieces(batch.column(0)):
+            for _, _, data, rows in arrays.pieces(batch.column(0), PIECE_BYTES):
                 values, starts = shingle_sets(data, rows, words)
                 names, sizes = digests(values, starts, 1).tolist(), np.diff(starts).tolist()
                 chosen = []
@@ -231,7 +248,7 @@ def wanted_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> Da
     def run(batches):
         bits, seen = shipped.value.view(np.uint64), set()
         for batch in batches:
-            for _, _, data, rows in arrays.pieces(batch.column(0)):
+            for _, _, data, rows in arrays.pieces(batch.column(0), PIECE_BYTES):
                 values, starts = shingle_sets(data, rows, words)
                 names = digests(values, starts, 1)
                 at = names % FILTER_BITS

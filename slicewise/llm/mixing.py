@@ -105,7 +105,9 @@ def period(parts: Mapping) -> dict:
 def stored_schedule(spark: SparkSession, blocks: Mapping, parts: Mapping) -> DataFrame:
     """The schedule as a table in the shared folder."""
     path, rows = new_folder(spark, "schedule"), schedule(blocks, parts)
-    spark.createDataFrame([], SCHEDULE).write.parquet(path)
+    # of the JVM's own rows: a list of Python's would start workers on the executors, which then stay
+    empty = [F.lit(None).cast(part.split()[1]).alias(part.split()[0]) for part in SCHEDULE.split(", ")]
+    spark.range(0).select(*empty).write.parquet(path)
     types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = [part.split()[0] for part in SCHEDULE.split(", ")]
     while piece := list(itertools.islice(rows, PIECE)):
