@@ -205,9 +205,7 @@ ORACLES: dict[str, str] = {
     "image_cosine_pairs": f"""WITH {_DOCS}, {_words()}, tf AS (SELECT image, artifact, count(*) AS tf FROM words GROUP BY ALL),
         df AS (SELECT artifact, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT image) AS n FROM tf),
         w AS (SELECT image, artifact, tf * ln(n / df) AS w FROM tf JOIN df USING (artifact), n WHERE n <> df),
-        same AS (SELECT image, md5(string_agg(concat(artifact, ' ', w), ',' ORDER BY artifact)) AS print FROM w GROUP BY 1),
-        firsts AS (SELECT min(image) AS image FROM same GROUP BY print),
-        norms AS (SELECT image, sqrt(sum(w * w)) AS norm FROM w SEMI JOIN firsts USING (image) GROUP BY 1),
+        norms AS (SELECT image, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
         u AS (SELECT image, artifact, w / norm AS w FROM w JOIN norms USING (image))
         SELECT a.image AS image_a, b.image AS image_b, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b USING (artifact)
         WHERE a.image < b.image GROUP BY ALL HAVING sum(a.w * b.w) >= 0.5""",

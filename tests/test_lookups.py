@@ -11,6 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from slicewise.operators import artifacts, frequent, keywords, membership, similarity
+from slicewise.plans.queries import QUERIES
 from slicewise.sources.files import chunk, read_raw
 from slicewise.sources.rawimage import FilteringReader
 from slicewise.streaming import seen
@@ -168,6 +169,34 @@ def test_cosine_pairs_against_brute_force(spark, least):
     assert similarity.cosine_pairs(weights.limit(0), least).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.3, 0.7])
+def test_cosine_pairs_of_copies_are_given(spark, monkeypatch, least):
+    """Copies pair with each other and with all that is similar to one of them."""
+    monkeypatch.setattr(similarity, "GROUP_PIECE", 2, raising=False)
+    rng = random.Random(8)
+    docs = {k: {f"t{rng.randrange(30)}": 1 + rng.randrange(3) for _ in range(6)} for k in range(20)}
+    docs |= {k: dict(docs[k % 3]) for k in range(20, 40)} | {40: {"only": 2}, 41: {"only": 2}, 42: {"zero": 0}, 43: {"zero": 0}}
+    rows_ = [(i, t, float(w)) for i, d in docs.items() for t, w in d.items()] + [(None, t, float(w)) for t, w in docs[0].items()]
+    weights = spark.createDataFrame(rows_, "image int, token string, weight double")
+    norm = {i: math.sqrt(sum(w * w for w in d.values())) for i, d in docs.items()}
+    expected = {}
+    for a, b in itertools.combinations([i for i in docs if norm[i]], 2):
+        value = sum(w * docs[b].get(t, 0) for t, w in docs[a].items()) / norm[a] / norm[b]
+        if value >= least - 1e-12:
+            expected[a, b] = value
+    got = [(r.image_a, r.image_b, r.cosine) for r in similarity.cosine_pairs(weights, least, copies=True).collect()]
+    assert len(got) == len(expected) and {g[:2] for g in got} == set(expected)
+    assert all(abs(expected[a, b] - c) < 1e-9 for a, b, c in got)
+    assert (20, 23) in expected and (40, 41) in expected
+
+
+def test_cosine_query_gives_the_pairs_of_copies(spark, tmp_path):
+    texts = ["apple banana cherry", "apple banana cherry", "cherry apple banana", "other words altogether", "grape melon"]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(QUERIES["image_cosine_pairs"](spark, str(tmp_path))) == [(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0)]
+
+
 def test_counts_by_image_are_made_behind_the_exchange(spark):
     """No task holds the pairs of all it reads, and the weights are kept as columns, not as rows of a dump."""
     a = spark.createDataFrame([("w", 1), ("w", 1), ("v", 1), ("w", 2)], "artifact string, image int")
