@@ -190,6 +190,30 @@ def test_cosine_pairs_of_copies_are_given(spark, monkeypatch, least):
     assert (20, 23) in expected and (40, 41) in expected
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_cosine_pairs_are_worked_out_inside_the_tasks(spark, monkeypatch, kind):
+    """No pair meets its tokens in a join, however images, blocks and meetings are cut."""
+    for name, value in {"INDEX_TOKENS": 150, "BLOCKS": 2, "MET": 40, "CELLS": 60, "GATHERED": 30}.items():
+        monkeypatch.setattr(similarity, name, value, raising=False)
+    rng = random.Random(9)
+    docs = {k: {f"t{min(rng.randrange(200), rng.randrange(200))}": 1 + rng.random() for _ in range(rng.randrange(2, 40))} for k in range(70)}
+    for k in range(70, 100):
+        docs[k] = {**docs[k - 60], f"x{k}": rng.random(), "t3": -rng.random()}
+    weights = spark.createDataFrame([(i, t, w) for i, d in docs.items() for t, w in d.items()], "image int, token string, weight double")
+    weights = weights.withColumn("image", F.format_string("%03d", "image") if kind == "string" else F.col("image"))
+    norm = {i: math.sqrt(sum(w * w for w in d.values())) for i, d in docs.items()}
+    expected = {}
+    for a, b in itertools.combinations(docs, 2):
+        value = sum(w * docs[b].get(t, 0) for t, w in docs[a].items()) / norm[a] / norm[b]
+        if value >= 0.4:
+            expected[a, b] = value
+    pairs = similarity.cosine_pairs(weights, 0.4)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = [(int(r.image_a), int(r.image_b), r.cosine) for r in pairs.collect()]
+    assert len(got) == len(expected) > 30 and {g[:2] for g in got} == set(expected)
+    assert all(abs(expected[a, b] - c) < 1e-9 for a, b, c in got)
+
+
 def test_cosine_query_gives_the_pairs_of_copies(spark, tmp_path):
     texts = ["apple banana cherry", "apple banana cherry", "cherry apple banana", "other words altogether", "grape melon"]
     docs = [(k, t) for k, t in enumerate(texts)]
