@@ -1,11 +1,13 @@
 """Raw files in, tables out and back."""
 
 import os
+import time
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from slicewise import session
 from slicewise.operators import cells, sinks
 from slicewise.operators.scanners import scan_email, to_artifacts
 from slicewise.plans import lifecycle
@@ -254,3 +256,20 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         ("ab@c.com", "two,2"),
         ("xy@z.org", "two,11"),
     ]
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    """What shuffles wrote for a stored table is gone soon after, and the setting is as it was."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    before, setting = shuffled(), spark.conf.get(session.RELEASE, None)
+    counts = session.stored(spark.range(50000).groupBy((F.col("id") % 999).alias("k")).agg(F.count("*").alias("n")), "counts")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(session.RELEASE, None) == setting
+    assert counts.count() == 999 and counts.agg(F.sum("n")).collect()[0][0] == 50000
